@@ -37,22 +37,36 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int,
             .where(F.col(rank_col) <= k))
 
 
-def global_index(df: DataFrame, order_cols, index_col: str = "idx",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Add a dense 0-based index following ``order_cols`` (which must be unique)."""
+def rank_within(df: DataFrame, group_cols, order_cols, index_col: str = "idx",
+                num_partitions: int | None = None) -> DataFrame:
+    """Dense 0-based index of each row inside its group (or globally when
+    ``group_cols`` is empty), following ``order_cols`` (unique within a group).
+
+    Range-partition on (group, order); number rows per (partition, group);
+    add the counts of the same group in earlier partitions.  The offsets table
+    has one row per (partition, group) and is itself ranked per group over at
+    most ``num_partitions`` rows, so no task ever holds a whole group."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group = _cols(group_cols or [])
     order = _cols(order_cols)
-    ranged = (df.repartitionByRange(n, *order)
+    gnames = [c for c in (group_cols or [])]
+    ranged = (df.repartitionByRange(n, *group, *order)
               .withColumn("_pid", F.spark_partition_id()))
-    w = Window.partitionBy("_pid").orderBy(*order)
+    w = Window.partitionBy("_pid", *group).orderBy(*order)
     local = ranged.withColumn("_local", F.row_number().over(w) - 1)
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    # one row per partition: bounded by the partition count
-    return (local.join(F.broadcast(offsets), "_pid")
+    counts = local.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"))
+    wo = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
+        if group else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", *gnames, F.sum("_n").over(wo).alias("_off"))
+    if not group:
+        offsets = F.broadcast(offsets)   # one row per partition
+    return (local.join(offsets, ["_pid", *gnames])
             .withColumn(index_col, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local"))
             .drop("_pid", "_local", "_off"))
+
+
+def global_index(df: DataFrame, order_cols, index_col: str = "idx",
+                 num_partitions: int | None = None) -> DataFrame:
+    """Dense 0-based index in a global order (``order_cols`` unique)."""
+    return rank_within(df, [], order_cols, index_col, num_partitions)

@@ -6,19 +6,36 @@ from __future__ import annotations
 
 from . import bindings as B
 from . import oracle as O
-
-ORACLE_NAMES = [
-    "nb_lang_report", "nb_lang_predict", "nb_lang_scores", "nb_lang_model",
-    "nb_multi_predict", "nb_drop_top", "nb_bigram_predict", "token_counts", "log_priors",
-    "nb_top_tokens",
+from . import text_oracle as TO
+from . import text_queries as TQ
+
+# (spark module, sql module, names)
+GROUPS = [
+    (B, O, ["nb_lang_report", "nb_lang_predict", "nb_lang_scores", "nb_lang_model",
+            "nb_multi_predict", "nb_drop_top", "nb_bigram_predict", "token_counts", "log_priors",
+            "nb_top_tokens"]),
+    (TQ, TO, ["clean_text_basic", "clean_text_symbols", "normalize_tokens", "dedupe_clean",
+              "dropna_fill", "canonical_category", "ngrams", "vocabulary", "bucket_counts",
+              "tfidf_long", "lexicon_sentiment", "adjust_label", "adjust_counts",
+              "dictionary_annotate", "dictionary_rewrite", "sequence_encode", "stop_anti_join"]),
 ]
 
-NO_ORACLE: list[str] = []
+NO_ORACLE: list = []   # (module, name) pairs checked by invariants only
 
 
 def spark_queries():
-    return {n: getattr(B, n) for n in ORACLE_NAMES + NO_ORACLE}
+    out = {}
+    for mod, _sql, names in GROUPS:
+        for n in names:
+            out[n] = getattr(mod, n)
+    for mod, n in NO_ORACLE:
+        out[n] = getattr(mod, n)
+    return out
 
 
 def sql_queries():
-    return {n: getattr(O, n)() for n in ORACLE_NAMES}
+    out = {}
+    for _mod, sql, names in GROUPS:
+        for n in names:
+            out[n] = getattr(sql, n)()
+    return out
