@@ -8,6 +8,8 @@ from . import bindings as B
 from . import oracle as O
 from . import text_oracle as TO
 from . import text_queries as TQ
+from . import table_oracle as RO
+from . import table_queries as RQ
 
 # (spark module, sql module, names)
 GROUPS = [
@@ -18,6 +20,12 @@ GROUPS = [
               "dropna_fill", "canonical_category", "ngrams", "vocabulary", "bucket_counts",
               "tfidf_long", "lexicon_sentiment", "adjust_label", "adjust_counts",
               "dictionary_annotate", "dictionary_rewrite", "sequence_encode", "stop_anti_join"]),
+    (RQ, RO, ["confusion", "class_report", "macro_micro_precision", "accuracy_by_target",
+              "off_by_histogram", "mae_by_target", "regression_metrics", "mape_score",
+              "feature_corr", "feature_cov", "corr_matrix", "corr_top_n", "corr_threshold",
+              "cross_entropy", "argmax_accuracy", "factorize", "factorize_codes", "minmax_scale",
+              "standard_scale", "hash_split", "stratified_folds", "undersample", "value_counts",
+              "json_decode_defaults", "json_encode", "tail_n", "head_n"]),
 ]
 
 NO_ORACLE: list = []   # (module, name) pairs checked by invariants only
