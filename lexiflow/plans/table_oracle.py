@@ -203,3 +203,78 @@ def tail_n():
 
 def head_n():
     return "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100"
+
+
+def _d2(a, b):
+    return (f"round(list_sum(list_transform(range(1, len({a}) + 1), "
+            f"lambda i: ({a}[i]::DOUBLE - {b}[i]::DOUBLE) * ({a}[i]::DOUBLE - {b}[i]::DOUBLE))), 9)")
+
+
+def _knn_sql():
+    t = in_test("vec_id", 0, 20)
+    return f"""WITH tr AS (SELECT * FROM embeddings WHERE NOT {t}),
+te AS (SELECT * FROM embeddings WHERE {t}),
+pairs AS (SELECT te.vec_id AS qid, tr.vec_id AS tid, tr.label, {_d2('te.embedding', 'tr.embedding')} AS d2
+          FROM te CROSS JOIN tr),
+nb AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, tid) AS rank FROM pairs
+       QUALIFY rank <= 5)"""
+
+
+def knn_neighbors():
+    return _knn_sql() + "\nSELECT qid AS query_id, rank::BIGINT AS rank, tid AS train_id, d2 FROM nb"
+
+
+def _knn_vote(weighted):
+    if weighted:
+        w = """CASE WHEN max(CASE WHEN d2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) = 1
+                 THEN CASE WHEN d2 = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 / sqrt(d2) END"""
+    else:
+        w = "1.0"
+    return _knn_sql() + f""",
+wv AS (SELECT qid, label, {w} AS w FROM nb),
+s AS (SELECT qid, label, sum(w) AS s FROM wv GROUP BY ALL),
+p AS (SELECT qid, first(label ORDER BY s DESC, label) AS pred FROM s GROUP BY qid)
+SELECT p.qid AS vec_id, te.label::BIGINT AS truth, p.pred::BIGINT AS pred
+FROM p JOIN te ON te.vec_id = p.qid"""
+
+
+def knn_classify():
+    return _knn_vote(False)
+
+
+def knn_classify_weighted():
+    return _knn_vote(True)
+
+
+def _smote_sql():
+    hn = keyed_hash("CAST(b.vec_id AS VARCHAR) || ':' || CAST(b.j AS VARCHAR) || ':n'")
+    hl = keyed_hash("CAST(b.vec_id AS VARCHAR) || ':' || CAST(b.j AS VARCHAR) || ':l'")
+    return f"""WITH sz AS (SELECT label, count(*) AS n_c FROM embeddings GROUP BY label),
+sz2 AS (SELECT label, n_c, max(n_c) OVER () - n_c AS deficit FROM sz),
+rk AS (SELECT e.*, row_number() OVER (PARTITION BY e.label ORDER BY e.vec_id) - 1 AS r FROM embeddings e),
+base AS (SELECT rk.*, sz2.n_c, sz2.deficit FROM rk JOIN sz2 USING (label)
+         WHERE sz2.deficit > 0 AND sz2.n_c > 1 AND rk.r < sz2.deficit),
+reps AS (SELECT base.*, base.r + i * base.n_c AS j
+         FROM base, LATERAL (SELECT unnest(range(0, (floor((deficit - 1 - r) / n_c) + 1)::BIGINT)) AS i)),
+nb AS (SELECT a.vec_id AS qid, b2.vec_id AS tid,
+              row_number() OVER (PARTITION BY a.vec_id ORDER BY {_d2('a.embedding', 'b2.embedding')}, b2.vec_id) AS rank
+       FROM embeddings a JOIN embeddings b2 ON a.label = b2.label AND a.vec_id <> b2.vec_id
+       QUALIFY rank <= 5),
+pick AS (SELECT b.label, b.vec_id AS base_id, b.j, b.embedding AS x,
+                ({hl})::DOUBLE / 4294967296.0 AS lam,
+                ({hn} % least(5, b.n_c - 1)) + 1 AS nn_rank
+         FROM reps b),
+joined AS (SELECT pick.*, e.embedding AS y FROM pick
+           JOIN nb ON nb.qid = pick.base_id AND nb.rank = pick.nn_rank
+           JOIN embeddings e ON e.vec_id = nb.tid)"""
+
+
+def smote():
+    return _smote_sql() + """
+SELECT label::BIGINT AS label, base_id, j::BIGINT AS j, (d - 1)::BIGINT AS dim,
+       round(x[d]::DOUBLE + lam * (y[d]::DOUBLE - x[d]::DOUBLE), 6) AS value
+FROM joined, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS d)"""
+
+
+def smote_class_counts():
+    return """SELECT label::BIGINT AS label, max(count(*)) OVER ()::BIGINT AS n FROM embeddings GROUP BY label"""

@@ -250,3 +250,61 @@ def head_n(spark, sf):
     """First 100 orders by key."""
     o = read_table(spark, sf, "orders")
     return head(o, 100, "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+# ------------------------------------------------------------------- neighbours
+
+def _emb_split(spark, sf):
+    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    t = in_test("vec_id", 0, 20)
+    return e.where(~t), e.where(t)
+
+
+def knn_neighbors(spark, sf):
+    """M7 search: the five nearest training vectors of every test vector."""
+    from ..operators.neighbors import knn
+    train, test = _emb_split(spark, sf)
+    q = test.select(F.col("vec_id").alias("qid"), "embedding")
+    nb = knn(train, q, 5, id_col="vec_id", vec_col="embedding", qid_col="qid")
+    return nb.select(F.col("qid").alias("query_id"), F.col("rank").cast("bigint").alias("rank"),
+                     F.col("vec_id").alias("train_id"), "d2")
+
+
+def _knn_pred(spark, sf, weighted):
+    from ..operators.neighbors import knn, vote
+    train, test = _emb_split(spark, sf)
+    q = test.select(F.col("vec_id").alias("qid"), "embedding")
+    nb = knn(train, q, 5, id_col="vec_id", vec_col="embedding", qid_col="qid")
+    p = vote(nb, train, qid_col="qid", id_col="vec_id", label_col="label", weighted=weighted)
+    return p.join(test.select(F.col("vec_id").alias("qid"), F.col("label").alias("truth")), "qid") \
+        .select(F.col("qid").alias("vec_id"), F.col("truth").cast("bigint").alias("truth"),
+                F.col("pred").cast("bigint").alias("pred"))
+
+
+def knn_classify(spark, sf):
+    """M7 uniform vote, k = 5."""
+    return _knn_pred(spark, sf, weighted=False)
+
+
+def knn_classify_weighted(spark, sf):
+    """M7 distance-weighted vote, k = 5."""
+    return _knn_pred(spark, sf, weighted=True)
+
+
+def smote(spark, sf):
+    """F8: synthetic rows bringing every label to the largest class size (long form)."""
+    from ..operators.smote import synthesize
+    e = read_table(spark, sf, "embeddings")
+    s = synthesize(e, "vec_id", "embedding", "label", k=5)
+    return s.select(F.col("label").cast("bigint").alias("label"), "base_id", "j",
+                    F.posexplode("vec").alias("dim", "v")).select(
+        "label", "base_id", "j", F.col("dim").cast("bigint").alias("dim"), _r("v").alias("value"))
+
+
+def smote_class_counts(spark, sf):
+    """U2 invariant: class sizes after over-sampling (all equal)."""
+    from ..operators.smote import oversample
+    e = read_table(spark, sf, "embeddings")
+    o = oversample(e, "vec_id", "embedding", "label", k=5)
+    return o.groupBy(F.col("label").cast("bigint").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"))
