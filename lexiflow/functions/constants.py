@@ -27,6 +27,7 @@ FUSED_FORMS = {"cannot": "can not", "gimme": "gim me", "gonna": "gon na",
 # Regular expressions (same text is valid Java and RE2).
 ASCII_PUNCT_RE = r"[!-/:-@\[-`{-~]"            # the 32 ASCII punctuation marks
 DIGITS_RE = r"[0-9]"
+PUNCT_OR_DIGIT_RE = r"[!-/:-@\[-`{-~0-9]"      # the two classes above in one pass
 # Blanks that Python's str.split() splits on.
 WHITESPACE_RE = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]+"
 SPACE_BY_SYMBOLS_RE = r"[/(){}\[\]\|@,;]"

@@ -11,9 +11,8 @@ from typing import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import (ASCII_PUNCT_RE, BAD_SYMBOLS_RE, DIGITS_RE, ENGLISH_STOP_WORDS,
-                        EXTRA_STOP_WORDS, FUSED_FORMS, SPACE_BY_SYMBOLS_RE, WHITESPACE_RE,
-                        WORD2_RE)
+from .constants import (BAD_SYMBOLS_RE, ENGLISH_STOP_WORDS, EXTRA_STOP_WORDS, FUSED_FORMS,
+                        PUNCT_OR_DIGIT_RE, SPACE_BY_SYMBOLS_RE, WHITESPACE_RE, WORD2_RE)
 
 
 def _c(col) -> Column:
@@ -27,7 +26,7 @@ def lower(col) -> Column:
 
 def strip_punct_digits(col) -> Column:
     """Lower-case, delete ASCII punctuation, delete ASCII digits (first half of X2)."""
-    return F.regexp_replace(F.regexp_replace(F.lower(_c(col)), ASCII_PUNCT_RE, ""), DIGITS_RE, "")
+    return F.regexp_replace(F.lower(_c(col)), PUNCT_OR_DIGIT_RE, "")
 
 
 def split_ws(col) -> Column:
@@ -38,6 +37,8 @@ def split_ws(col) -> Column:
 def split_fused(tokens) -> Column:
     """Split the fused forms a word tokeniser separates (``cannot`` -> ``can not``)."""
     m = F.create_map(*[x for k, v in FUSED_FORMS.items() for x in (F.lit(k), F.lit(v))])
+    # referenced once: a guard such as arrays_overlap(...) would make the
+    # optimizer evaluate the whole token expression twice
     return F.flatten(F.transform(_c(tokens), lambda t: F.when(
         m[t].isNotNull(), F.split(m[t], " ")).otherwise(F.array(t))))
 
@@ -84,6 +85,16 @@ def clean_text_b(col, extra: bool = False) -> Column:
     return F.array_join(clean_tokens_b(col, extra=extra), " ")
 
 
+def explode_tokens(df, id_col, tokens_col, out: str = "token"):
+    """(id, token) rows, one per token occurrence.
+
+    ``explode_outer`` + a null filter instead of ``explode``: for ``explode``
+    the optimizer infers a ``size(array) > 0`` filter below the projection,
+    which evaluates the whole tokenising expression a second time."""
+    cols = [F.col(id_col)] if id_col else []
+    return df.select(*cols, F.explode_outer(_c(tokens_col)).alias(out)).where(F.col(out).isNotNull())
+
+
 def word_tokens(col) -> Column:
     """F4 token pattern: lower-cased runs of >= 2 word characters."""
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(WORD2_RE), 0)

@@ -20,7 +20,8 @@ UNK_ID = 1
 
 def build_vocabulary(df: DataFrame, tokens_col: str, min_count: int = 1) -> DataFrame:
     """(token, cnt, id) over all tokens of ``df``."""
-    c = (df.select(F.explode(tokens_col).alias("token")).groupBy("token")
+    c = (df.select(F.explode_outer(tokens_col).alias("token")).where(F.col("token").isNotNull())
+         .groupBy("token")
          .agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= min_count))
     v = global_index(c, [F.col("cnt").desc(), F.col("token")], "idx")
     return v.select("token", "cnt", (F.col("idx") + 2).alias("id"))
@@ -31,7 +32,8 @@ def encode(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, max_le
     """(id, input_ids, attention_mask, n_tokens): the whole token sequence is
     mapped to ids, then cut to ``max_len`` and right-padded with PAD_ID."""
     lex = checked_broadcast(vocab.select("token", F.col("id").alias("tid")), max_broadcast_rows)
-    pos = df.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
+    pos = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token")).where(
+        F.col("token").isNotNull())
     j = pos.join(lex, "token", "left")
     g = j.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("pos", F.coalesce("tid", F.lit(UNK_ID)).alias("t"))))

@@ -127,7 +127,7 @@ def tfidf_long(df: DataFrame, id_col: str, tokens_col: str,
     """(id, token, tf, weight): raw counts, smoothed idf ln((1+n)/(1+df)) + 1,
     rows L2-normalised.  The idf table (one row per token) is broadcast only
     under a row bound."""
-    tf = (df.select(id_col, F.explode(tokens_col).alias("token"))
+    tf = (df.select(id_col, F.explode_outer(tokens_col).alias("token")).where(F.col("token").isNotNull())
           .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = df.select(F.count(F.lit(1))).scalar()
     idf = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select(

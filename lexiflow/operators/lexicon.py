@@ -16,7 +16,8 @@ from .joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
 
 
 def _positions(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    return df.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
+    return df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token")).where(
+        F.col("token").isNotNull())
 
 
 def _regroup(df: DataFrame, id_col: str, value: Column, docs: DataFrame) -> DataFrame:
@@ -98,9 +99,11 @@ def adjust_label(s, neg, compound) -> tuple[Column, Column, Column, Column, Colu
 
 def keep_known(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame) -> DataFrame:
     """(id, token) rows whose token is in the vocabulary (left semi join)."""
-    return df.select(id_col, F.explode(tokens_col).alias("token")).join(vocab, "token", "left_semi")
+    return (df.select(id_col, F.explode_outer(tokens_col).alias("token"))
+            .where(F.col("token").isNotNull()).join(vocab, "token", "left_semi"))
 
 
 def drop_listed(df: DataFrame, id_col: str, tokens_col: str, stop: DataFrame) -> DataFrame:
     """J1 for lists too large for an expression: (id, token) rows not in ``stop``."""
-    return df.select(id_col, F.explode(tokens_col).alias("token")).join(stop, "token", "left_anti")
+    return (df.select(id_col, F.explode_outer(tokens_col).alias("token"))
+            .where(F.col("token").isNotNull()).join(stop, "token", "left_anti"))

@@ -87,7 +87,8 @@ def _label_rank_table(priors_rows):
 def doc_terms(df: DataFrame, id_col: str, tokens_col: str, ngram: int = 1) -> DataFrame:
     """(id, token) rows, one per occurrence (X10 applied when ngram > 1)."""
     toks = F.col(tokens_col) if ngram == 1 else ngram_expr(F.col(tokens_col), ngram)
-    return df.select(F.col(id_col), F.explode(toks).alias("token"))
+    return df.select(F.col(id_col), F.explode_outer(toks).alias("token")).where(
+        F.col("token").isNotNull())
 
 
 def label_stats(df: DataFrame, tokens_col: str, targets: list[Target], ngram: int = 1) -> DataFrame:
@@ -100,7 +101,7 @@ def label_stats(df: DataFrame, tokens_col: str, targets: list[Target], ngram: in
     toks = F.col(tokens_col) if ngram == 1 else ngram_expr(F.col(tokens_col), ngram)
     with_doc = F.concat(toks, F.array(F.lit(None).cast("string")))
     return (df.select(with_doc.alias("_toks"), lab)
-            .select("tl.target", "tl.label", F.explode("_toks").alias("token"))
+            .select("tl.target", "tl.label", F.explode_outer("_toks").alias("token"))
             .where(F.col("label").isNotNull())
             .groupBy("target", "label", "token").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -116,7 +117,7 @@ def fit(df: DataFrame, id_col: str, tokens_col: str, targets: list[Target], ngra
         raise ValueError("denominator must be 'docs' or 'tokens'")
     stats = label_stats(df, tokens_col, targets, ngram)
     if materialize:
-        stats = cut_lineage(stats)
+        stats = cut_lineage(stats, "nb-stats")
     counts = stats.where(F.col("token").isNotNull())
     # A2: vocabulary and its size V as a scalar subquery (no cross join).
     vocab = counts.select("token").distinct()
@@ -239,8 +240,8 @@ def token_counts(df: DataFrame, tokens_col: str, targets: list[Target], ngram: i
         for t in targets])).alias("tl")
     toks = F.col(tokens_col) if ngram == 1 else ngram_expr(F.col(tokens_col), ngram)
     return (df.select(toks.alias("_toks"), lab)
-            .select("tl.target", "tl.label", F.explode("_toks").alias("token"))
-            .where(F.col("label").isNotNull())
+            .select("tl.target", "tl.label", F.explode_outer("_toks").alias("token"))
+            .where(F.col("label").isNotNull() & F.col("token").isNotNull())
             .groupBy("target", "label", "token").agg(F.count(F.lit(1)).alias("cnt")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +29,36 @@ def cov_with_target(df: DataFrame, features: list[str], target: str) -> DataFram
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Full correlation matrix in long form (a, b, corr), one pass over
-    the data for all pairs."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    r = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{k}")
-                 for k, (a, b) in enumerate(pairs)])
-    e = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                                     F.col(f"_{k}").alias("corr"))
-                            for k, (a, b) in enumerate(pairs)]))
-    half = r.select(e.alias("e")).select("e.*")
-    mirror = half.where(F.col("a") != F.col("b")).select(
-        F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    return half.unionByName(mirror)
+    """Full correlation matrix in long form (a, b, corr).
+
+    Rows with a null in any listed column are dropped (listwise, as MLlib's
+    ``Correlation``).  Pass 1: column means.  Pass 2: n, sums and centred
+    cross products of all pairs as plain sums in one aggregation (keeps
+    whole-stage codegen).  The result row is bounded by the column count, so
+    the matrix is assembled on the driver."""
+    spark = df.sparkSession
+    x = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]).na.drop()
+    k = len(cols)
+    means = x.agg(*[F.avg(f"_{i}").alias(f"m{i}") for i in range(k)]).first()
+    cen = x.select(*[(F.col(f"_{i}") - F.lit(means[f"m{i}"] or 0.0)).alias(f"_{i}")
+                     for i in range(k)])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    r = cen.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_{i}").alias(f"s{i}") for i in range(k)],
+                *[F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    n = r["n"]
+
+    def cov(i, j):
+        a, b = (i, j) if i <= j else (j, i)
+        return r[f"p{a}_{b}"] - r[f"s{i}"] * r[f"s{j}"] / n
+    rows = []
+    for i in range(k):
+        for j in range(k):
+            c = None
+            if n:
+                cxx, cyy = cov(i, i), cov(j, j)
+                c = cov(i, j) / math.sqrt(cxx * cyy) if cxx > 0 and cyy > 0 else None
+            rows.append((cols[i], cols[j], c))
+    return spark.createDataFrame(rows, "a string, b string, corr double")
 
 
 def top_n(scores: DataFrame, value: str, n: int, exclude: list[str] | None = None) -> DataFrame:

@@ -79,14 +79,15 @@ def canonical_category(spark, sf):
 def ngrams(spark, sf):
     """Word bigram counts over every turn."""
     c = _conv(spark, sf)
-    g = c.select(F.explode(X.ngrams(X.normalize_tokens_a("text"), 2)).alias("ngram"))
+    g = c.select(F.explode_outer(X.ngrams(X.normalize_tokens_a("text"), 2)).alias("ngram")).where(
+        F.col("ngram").isNotNull())
     return g.groupBy("ngram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def vocabulary(spark, sf):
     """A2: vocabulary with document frequency and total count."""
     d = read_table(spark, sf, "documents").select("doc_id", X.normalize_tokens_a("text").alias("t"))
-    tf = d.select("doc_id", F.explode("t").alias("token")).groupBy("doc_id", "token").agg(
+    tf = X.explode_tokens(d, "doc_id", "t").groupBy("doc_id", "token").agg(
         F.count(F.lit(1)).alias("tf"))
     return tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"),
                                    F.sum("tf").cast("bigint").alias("cnt"))
@@ -116,14 +117,14 @@ def _conv_tokens(spark, sf):
 
 def valence_lexicon(tokens_df):
     """(token, valence): integer valence -4..4 for about a fifth of the vocabulary."""
-    v = tokens_df.select(F.explode("tokens").alias("token")).distinct()
+    v = X.explode_tokens(tokens_df, None, "tokens").distinct()
     h = keyed_hash(F.col("token"), "v")
     return v.where(h % 5 == 0).select("token", ((h % 9) - 4).cast("double").alias("valence"))
 
 
 def tag_lexicon(tokens_df):
     """(token, tag) by suffix rule for two thirds of the vocabulary."""
-    v = tokens_df.select(F.explode("tokens").alias("token")).distinct()
+    v = X.explode_tokens(tokens_df, None, "tokens").distinct()
     tag = (F.when(F.col("token").endswith("ment"), "NN").when(F.col("token").endswith("ly"), "RB")
            .when(F.col("token").endswith("ing"), "VBG").when(F.col("token").endswith("ed"), "VBD")
            .otherwise("JJ"))
@@ -132,7 +133,7 @@ def tag_lexicon(tokens_df):
 
 def lemma_lexicon(tokens_df):
     """(form, lemma): plural-looking forms longer than three characters."""
-    v = tokens_df.select(F.explode("tokens").alias("token")).distinct()
+    v = X.explode_tokens(tokens_df, None, "tokens").distinct()
     return v.where((F.length("token") > 3) & F.col("token").endswith("s")).select(
         F.col("token").alias("form"), F.expr("substring(token, 1, length(token) - 1)").alias("lemma"))
 
