@@ -254,3 +254,27 @@ def log_priors(df: DataFrame, targets: list[Target]) -> DataFrame:
          .groupBy("target", "label").agg(F.count(F.lit(1)).alias("n_docs")))
     return c.withColumn("log_prior", F.ln(F.col("n_docs") / F.sum("n_docs").over(
         Window.partitionBy("target"))))
+
+
+# --------------------------------------------------------------------- S9 persistence
+
+def save(model: NBModel, path: str) -> None:
+    """Write the model as Parquet tables plus a one-row metadata table (all
+    through Spark, so ``path`` may be any shared file system)."""
+    import json
+    spark = model.priors.sparkSession
+    model.priors.write.mode("overwrite").parquet(f"{path}/priors")
+    model.weights.write.mode("overwrite").parquet(f"{path}/weights")
+    meta = {"targets": model.targets, "ngram": model.ngram,
+            "labels": [list(x) for x in model.labels]}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
+        .write.mode("overwrite").json(f"{path}/meta")
+
+
+def load(spark, path: str) -> NBModel:
+    import json
+    meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
+    return NBModel(priors=spark.read.parquet(f"{path}/priors"),
+                   weights=spark.read.parquet(f"{path}/weights"),
+                   labels=[tuple(x) for x in meta["labels"]], targets=meta["targets"],
+                   ngram=meta["ngram"])
