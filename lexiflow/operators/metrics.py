@@ -38,36 +38,43 @@ def class_counts(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
                                 F.sum("tp").cast("bigint").alias("tp")))
 
 
-def _row(name, p, r, f, n):
-    return F.struct(F.lit(name).alias("class"), p.alias("precision"), r.alias("recall"),
-                    f.alias("f1"), n.alias("support"))
-
-
 def class_report(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
-    """(class, precision, recall, f1, support) + accuracy / macro avg / weighted avg rows."""
+    """(class, precision, recall, f1, support) + accuracy / macro avg / weighted avg rows.
+
+    One pipeline: the per-class table (one row per class) fans each class out
+    into its own row and its share of the three summary rows, and a second
+    aggregation over that small table finishes all of them -- the predictions
+    are computed once, not once per output branch."""
     cc = class_counts(df, true_col, pred_col)
-    per = cc.select(
-        F.col("cls").alias("class"),
-        _safe_div(F.col("tp"), F.col("predicted")).alias("precision"),
-        _safe_div(F.col("tp"), F.col("support")).alias("recall"),
-        "support", "tp")
-    per = per.withColumn("f1", _safe_div(2 * F.col("precision") * F.col("recall"),
-                                         F.col("precision") + F.col("recall")))
-    tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
-                  F.avg("precision").alias("mp"), F.avg("recall").alias("mr"),
-                  F.avg("f1").alias("mf"),
-                  F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                  F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                  F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    summary = tot.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"),
-                 _safe_div(F.col("tp"), F.col("n")).alias("f1"), F.col("n").alias("support")),
-        _row("macro avg", F.col("mp"), F.col("mr"), F.col("mf"), F.col("n")),
-        _row("weighted avg", _safe_div(F.col("wp"), F.col("n")),
-             _safe_div(F.col("wr"), F.col("n")), _safe_div(F.col("wf"), F.col("n")),
-             F.col("n")))).alias("r")).select("r.*")
-    return per.select("class", "precision", "recall", "f1", "support").unionByName(summary)
+    prec = _safe_div(F.col("tp"), F.col("predicted"))
+    rec = _safe_div(F.col("tp"), F.col("support"))
+    per = cc.select("cls", "support", "tp", prec.alias("p"), rec.alias("r"))
+    per = per.withColumn("f", _safe_div(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
+
+    def part(kind, name):
+        return F.struct(F.lit(kind).alias("kind"), name.alias("class"), "p", "r", "f",
+                        "support", "tp")
+    fan = per.select(F.explode(F.array(
+        part(0, F.col("cls")), part(1, F.lit("accuracy")), part(2, F.lit("macro avg")),
+        part(3, F.lit("weighted avg")))).alias("e")).select("e.*")
+    g = fan.groupBy("kind", "class").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("support").alias("n"), F.sum("tp").alias("tp"),
+        F.sum("p").alias("sp"), F.sum("r").alias("sr"), F.sum("f").alias("sf"),
+        F.sum(F.col("p") * F.col("support")).alias("wp"),
+        F.sum(F.col("r") * F.col("support")).alias("wr"),
+        F.sum(F.col("f") * F.col("support")).alias("wf"))
+    kind = F.col("kind")
+
+    def pick(plain, weighted, acc):
+        return (F.when(kind == 1, acc).when(kind == 3, weighted)
+                .otherwise(_safe_div(plain, F.col("k"))))
+    none = F.lit(None).cast("double")
+    return g.select("class",
+                    pick(F.col("sp"), _safe_div(F.col("wp"), F.col("n")), none).alias("precision"),
+                    pick(F.col("sr"), _safe_div(F.col("wr"), F.col("n")), none).alias("recall"),
+                    pick(F.col("sf"), _safe_div(F.col("wf"), F.col("n")),
+                         _safe_div(F.col("tp"), F.col("n"))).alias("f1"),
+                    F.col("n").alias("support"))
 
 
 def macro_micro_precision(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:

@@ -84,10 +84,11 @@ def _label_rank_table(priors_rows):
     return ranks
 
 
-def doc_terms(df: DataFrame, id_col: str, tokens_col: str, ngram: int = 1) -> DataFrame:
-    """(id, token) rows, one per occurrence (X10 applied when ngram > 1)."""
+def doc_terms(df: DataFrame, id_col: str, tokens_col: str, ngram: int = 1,
+              carry=()) -> DataFrame:
+    """(id, *carry, token) rows, one per occurrence (X10 applied when ngram > 1)."""
     toks = F.col(tokens_col) if ngram == 1 else ngram_expr(F.col(tokens_col), ngram)
-    return df.select(F.col(id_col), F.explode_outer(toks).alias("token")).where(
+    return df.select(F.col(id_col), *carry, F.explode_outer(toks).alias("token")).where(
         F.col("token").isNotNull())
 
 
@@ -169,32 +170,49 @@ def fit(df: DataFrame, id_col: str, tokens_col: str, targets: list[Target], ngra
                    targets=[t.name for t in targets], ngram=ngram, counts=counts)
 
 
-def term_frequencies(df: DataFrame, id_col: str, tokens_col: str, ngram: int = 1) -> DataFrame:
+def term_frequencies(df: DataFrame, id_col: str, tokens_col: str, ngram: int = 1,
+                     carry=()) -> DataFrame:
     """Tf per (id, token), pre-aggregated so repeated tokens join once."""
-    return (doc_terms(df, id_col, tokens_col, ngram)
-            .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
+    return (doc_terms(df, id_col, tokens_col, ngram, carry)
+            .groupBy(id_col, *carry, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def _weights_for_join(model: NBModel, max_rows: int):
+    """(weights, broadcast?) -- broadcast only under a proven row bound."""
     if model.weight_rows is None:
         from .joins import bounded_count
         model.weight_rows = bounded_count(model.weights, max_rows)
-    return checked_broadcast(model.weights, max_rows, known_rows=model.weight_rows)
+    small = model.weight_rows <= max_rows
+    return checked_broadcast(model.weights, max_rows, known_rows=model.weight_rows), small
 
 
 def score_wide(model: NBModel, df: DataFrame, id_col: str, tokens_col: str,
-               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """One row per document, one score column per (target, label)."""
-    tf = term_frequencies(df, id_col, tokens_col, model.ngram)
-    contrib = tf.join(_weights_for_join(model, max_broadcast_rows), "token").select(
-        id_col, "tl", (F.col("tf") * F.col("delta")).alias("c"))
+               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, carry=()) -> DataFrame:
+    """One row per document, one score column per (target, label).
+
+    Broadcast model: every token occurrence probes the hash table in the
+    scan's pipeline and the per-document sum combines map-side (a document
+    lives in one task), so the only shuffle carries one row per document.
+    Shuffle model: occurrences are first folded to tf per (doc, token) so the
+    join on token moves each distinct pair once.
+
+    ``carry`` names per-document columns (e.g. the true label) that ride
+    along as extra grouping keys, so no join back to the documents is needed."""
+    carry = list(carry)
+    weights, small = _weights_for_join(model, max_broadcast_rows)
+    if small:
+        tf = doc_terms(df, id_col, tokens_col, model.ngram, carry).withColumn("tf", F.lit(1))
+    else:
+        tf = term_frequencies(df, id_col, tokens_col, model.ngram, carry)
+    contrib = tf.join(weights, "token").select(
+        id_col, *carry, "tl", (F.col("tf") * F.col("delta")).alias("c"))
     # Documents without any known token still get a row (their scores are the priors).
-    zero = df.select(id_col, F.lit(KNOWN).alias("tl"), F.lit(0.0).alias("c"))
+    zero = df.select(id_col, *carry, F.lit(KNOWN).alias("tl"), F.lit(0.0).alias("c"))
     allc = contrib.unionByName(zero)
     keys = [KNOWN] + [model.label_key(t, l) for t, l, *_ in model.labels]
-    sums = allc.groupBy(id_col).agg(*[
+    sums = allc.groupBy(id_col, *carry).agg(*[
         F.sum(F.when(F.col("tl") == k, F.col("c"))).alias(f"_s{i}") for i, k in enumerate(keys)])
-    out = [F.col(id_col)]
+    out = [F.col(id_col), *carry]
     n_known = F.coalesce(F.col("_s0"), F.lit(0.0))
     for i, (t, l, r, lp, base) in enumerate(model.labels, start=1):
         out.append((F.lit(lp) + n_known * F.lit(base) + F.coalesce(F.col(f"_s{i}"), F.lit(0.0)))
@@ -214,17 +232,18 @@ def score(model: NBModel, df: DataFrame, id_col: str, tokens_col: str,
 
 
 def predict(model: NBModel, df: DataFrame, id_col: str, tokens_col: str,
-            max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """M3 + N3: (id, target, pred); highest score, lowest label on ties."""
-    wide = score_wide(model, df, id_col, tokens_col, max_broadcast_rows)
+            max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, carry=()) -> DataFrame:
+    """M3 + N3: (id, *carry, target, pred); highest score, lowest label on ties."""
+    carry = list(carry)
+    wide = score_wide(model, df, id_col, tokens_col, max_broadcast_rows, carry)
     per_target = []
     for t in model.targets:
         cands = [F.struct(F.col(f"s{i}").alias("s"), F.lit(-r).alias("nr"), F.lit(l).alias("label"))
                  for i, (tt, l, r, *_x) in enumerate(model.labels, start=1) if tt == t]
         best = F.greatest(*cands) if len(cands) > 1 else cands[0]
         per_target.append(F.struct(F.lit(t).alias("target"), best["label"].alias("pred")))
-    return wide.select(id_col, F.explode(F.array(*per_target)).alias("p")).select(
-        id_col, "p.target", "p.pred")
+    return wide.select(id_col, *carry, F.explode(F.array(*per_target)).alias("p")).select(
+        id_col, *carry, "p.target", "p.pred")
 
 
 def top_tokens(model_counts: DataFrame, k: int) -> DataFrame:

@@ -47,10 +47,9 @@ def _lang_model(spark, sf, drop=0):
 def nb_lang_predict(spark: SparkSession, sf: str) -> DataFrame:
     """M1 -> M3 -> N3 on a hash split of documents, class = lang."""
     d, model = _lang_model(spark, sf)
-    test = d.where(F.col("is_test"))
-    pred = nb.predict(model, test, "doc_id", "tokens")
-    return pred.join(test.select("doc_id", F.col("label").alias("truth")), "doc_id").select(
-        "doc_id", "target", "truth", "pred")
+    test = d.where(F.col("is_test")).withColumnRenamed("label", "truth")
+    pred = nb.predict(model, test, "doc_id", "tokens", carry=["truth"])
+    return pred.select("doc_id", "target", "truth", "pred")
 
 
 def nb_lang_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,13 +95,10 @@ def _conv_predict(spark, sf, drop=0, ngram=1):
     model = nb.fit(d.where(~F.col("is_test")), "key", "tokens", _conv_targets(),
                    drop=drop, ngram=ngram)
     test = d.where(F.col("is_test"))
-    pred = nb.predict(model, test, "key", "tokens")
-    truth = test.select("key", F.explode(F.array(
-        F.struct(F.lit("role").alias("target"), F.col("role").alias("truth")),
-        F.struct(F.lit("turn").alias("target"),
-                 F.col("turn_bucket").cast("string").alias("truth")))).alias("t")).select(
-        "key", "t.target", "t.truth")
-    return pred.join(truth, ["key", "target"]).select("key", "target", "truth", "pred")
+    pred = nb.predict(model, test, "key", "tokens", carry=["role", "turn_bucket"])
+    truth = F.when(F.col("target") == "role", F.col("role")).otherwise(
+        F.col("turn_bucket").cast("string"))
+    return pred.select("key", "target", truth.alias("truth"), "pred")
 
 
 def nb_multi_predict(spark, sf):

@@ -62,11 +62,13 @@ def naive_bayes_reviews(spark: SparkSession, path: str, alpha_s: float = 0.07,
     else:
         model = nb.load(spark, model_path)
         test = d
-    pred = nb.predict(model, test, "_key", "tokens")
-    truth = test.select("_key", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("target"), F.col(t).cast("int").alias("raw")) for t in
-        ("stars", "useful", "funny", "cool")])).alias("x")).select("_key", "x.*")
-    p = pred.join(truth, ["_key", "target"]).withColumn("pred_i", F.col("pred").cast("int"))
+    names = ["stars", "useful", "funny", "cool"]
+    pred = nb.predict(model, test, "_key", "tokens", carry=names)
+    raw = F.col("target")
+    raw = F.when(raw == "stars", F.col("stars")).when(raw == "useful", F.col("useful")) \
+        .when(raw == "funny", F.col("funny")).otherwise(F.col("cool"))
+    p = pred.select("_key", "target", "pred", raw.cast("int").alias("raw")).withColumn(
+        "pred_i", F.col("pred").cast("int"))
     stars = p.where(F.col("target") == "stars")
     votes = p.where(F.col("target") != "stars")
     return {

@@ -86,11 +86,23 @@ def ngrams(spark, sf):
 
 def vocabulary(spark, sf):
     """A2: vocabulary with document frequency and total count."""
-    d = read_table(spark, sf, "documents").select("doc_id", X.normalize_tokens_a("text").alias("t"))
-    tf = X.explode_tokens(d, "doc_id", "t").groupBy("doc_id", "token").agg(
-        F.count(F.lit(1)).alias("tf"))
-    return tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"),
-                                   F.sum("tf").cast("bigint").alias("cnt"))
+    d = read_table(spark, sf, "documents").select(X.normalize_tokens_a("text").alias("t"))
+    return vocabulary_table(d, "t")
+
+
+def vocabulary_table(d, tokens_col):
+    """(token, df, cnt) in ONE aggregation on token: every occurrence adds 1 to
+    cnt and each document's distinct tokens add 1 to df, so nothing keyed by
+    (doc, token) is ever shuffled; map-side partial aggregation folds a hot
+    token to one row per task."""
+    t = F.col(tokens_col)
+    both = F.concat(
+        F.transform(t, lambda x: F.struct(x.alias("token"), F.lit(1).alias("o"), F.lit(0).alias("d"))),
+        F.transform(F.array_distinct(t),
+                    lambda x: F.struct(x.alias("token"), F.lit(0).alias("o"), F.lit(1).alias("d"))))
+    e = d.select(F.explode_outer(both).alias("e")).select("e.*").where(F.col("token").isNotNull())
+    return e.groupBy("token").agg(F.sum("d").cast("bigint").alias("df"),
+                                  F.sum("o").cast("bigint").alias("cnt"))
 
 
 def bucket_counts(spark, sf):
