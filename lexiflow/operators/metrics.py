@@ -102,9 +102,14 @@ def confusion(df: DataFrame, true_col: str, pred_col: str, classes: list | None
         if len(rows) > MAX_CLASSES:
             raise ValueError("too many classes for a confusion matrix")
         classes = sorted(r["c"] for r in rows if r["c"] is not None)
+    # the class x class grid is generated by the executors from one array
+    # literal (n names), never as n^2 tuples on the driver
     spark = df.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in classes for b in classes],
-                                 "true_label string, pred_label string")
+    n = len(classes)
+    names = F.array(*[F.lit(c) for c in classes]) if n else F.array().cast("array<string>")
+    grid = spark.range(n * n).select(
+        names[(F.col("id") / n).cast("int")].alias("true_label"),
+        names[(F.col("id") % n).cast("int")].alias("pred_label"))
     full = grid.join(counts, ["true_label", "pred_label"], "left").select(
         "true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     return full.withColumn("share", _safe_div(

@@ -38,6 +38,8 @@ from ..functions.hashing import keyed_hash
 from .joins import DEFAULT_BROADCAST_ROWS
 
 MAX_CELL_ROWS = 1_000_000
+MIN_PIVOTS = 32
+MAX_PIVOTS = 4096
 SLACK = 1e-7
 
 
@@ -61,12 +63,17 @@ def squared_distance(a, b):
 
 def knn(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
         qid_col: str = "qid", group_col: str | None = None, exclude_self: bool = False,
-        n_pivots: int = 32, block_rows: int = 4096) -> DataFrame:
+        n_pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
     """(qid, rank, id, d2): the k nearest training rows of every query row.
 
     ``group_col`` restricts neighbours to the query's own group (SMOTE's
-    within-class search); ``exclude_self`` drops the pair qid == id."""
+    within-class search); ``exclude_self`` drops the pair qid == id.
+    ``n_pivots`` defaults to ~sqrt(n_train / 4) clamped to [32, 4096], so cells
+    stay small (tight pruning) as the training set grows."""
     spark = train.sparkSession
+    if n_pivots is None:
+        n_train = train.count()
+        n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, math.sqrt(n_train / 4.0))))
     g = [group_col] if group_col else []
     tr = train.select(F.col(id_col).alias("_tid"), F.col(vec_col).alias("_tv"),
                       *[F.col(c) for c in g])
@@ -90,11 +97,11 @@ def knn(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_co
                              "dp": np.sqrt(d[np.arange(len(c)), c])})
 
     tr = tr.withColumn("_np", nearest_pivot("_tv")).select("*", "_np.cell", "_np.dp").drop("_np")
-    stats_rows = (tr.groupBy(*g, "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("r"))
-                  .limit(MAX_CELL_ROWS + 1).collect())
+    cell_stats = tr.groupBy(*g, "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("r"))
+    stats_rows = cell_stats.limit(MAX_CELL_ROWS + 1).collect()
     if len(stats_rows) > MAX_CELL_ROWS:
         raise ValueError("too many (group, cell) pairs")
-    # per group: arrays over cells (n, radius, blocks)
+    # per group: arrays over cells (n, radius)
     groups = {}
     for r in stats_rows:
         key = r[group_col] if group_col else None
@@ -103,19 +110,17 @@ def knn(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_co
         gs[1][r["cell"]] = r["r"]
     need = k + (1 if exclude_self else 0)
     bstats = spark.sparkContext.broadcast(groups)
-    blocks = {(key, c): max(1, math.ceil(n / block_rows))
-              for key, (ns, _rs) in groups.items() for c, n in enumerate(ns) if n > 0}
 
-    @F.pandas_udf("cells array<int>, dq array<double>, u double")
+    @F.pandas_udf("cells array<int>, dq array<double>, nb array<int>, u double")
     def candidates(v: pd.Series, grp: pd.Series) -> pd.DataFrame:
         a = _stack(v)
         d = np.sqrt(_sq_dist(a, bpiv.value)) if len(a) else np.zeros((0, m))
         st = bstats.value
-        cells, dqs, us = [], [], []
+        cells, dqs, nbs, us = [], [], [], []
         for i in range(len(a)):
             key = grp.iloc[i] if grp is not None else None
             if key not in st:
-                cells.append([]); dqs.append([]); us.append(0.0)
+                cells.append([]); dqs.append([]); nbs.append([]); us.append(0.0)
                 continue
             ns, rs = st[key]
             ub = d[i] + rs
@@ -127,25 +132,24 @@ def knn(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_co
             keep = np.nonzero((ns > 0) & (d[i] - rs <= u))[0]
             cells.append(keep.astype(np.int32).tolist())
             dqs.append(d[i][keep].tolist())
+            nbs.append(np.maximum(1, np.ceil(ns[keep] / block_rows)).astype(np.int32).tolist())
             us.append(u)
-        return pd.DataFrame({"cells": cells, "dq": dqs, "u": us})
+        return pd.DataFrame({"cells": cells, "dq": dqs, "nb": nbs, "u": us})
 
     grp_col = F.col(group_col) if group_col else F.lit(None).cast("string")
     qc = qs.withColumn("_c", candidates("_qv", grp_col)).select(
         "_qid", "_qv", *g, F.col("_c.u").alias("_u"),
         F.explode(F.transform(F.col("_c.cells"), lambda c, i: F.struct(
-            c.alias("cell"), F.col("_c.dq")[i].alias("dq")))).alias("_cd")).select(
-        "_qid", "_qv", *g, "_u", "_cd.cell", "_cd.dq")
-
-    # blocks per (group, cell): a small literal map from the collected statistics
-    bmap = F.create_map(*[x for (key, c), b in blocks.items()
-                          for x in (F.lit(f"{key}|{c}"), F.lit(b))])
-    gkey = F.concat_ws("|", grp_col.cast("string") if group_col else F.lit("None"),
-                       F.col("cell").cast("string"))
-    qb = qc.withColumn("_nb", F.coalesce(bmap[gkey], F.lit(1))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb")
-    tb = tr.withColumn("block", F.pmod(F.xxhash64("_tid"), F.coalesce(bmap[gkey], F.lit(1)))
-                       .cast("int"))
+            c.alias("cell"), F.col("_c.dq")[i].alias("dq"), F.col("_c.nb")[i].alias("nb"))))
+        .alias("_cd")).select("_qid", "_qv", *g, "_u", "_cd.cell", "_cd.dq", "_cd.nb")
+    # a query row is replicated to every block of each candidate cell
+    qb = qc.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
+    # blocks per (group, cell) for the training side: the cell table is proven
+    # small (<= MAX_CELL_ROWS rows, checked above), so it is broadcast
+    nb_tab = cell_stats.select(*g, "cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows))
+                               .cast("int").alias("_nb"))
+    tb = (tr.join(F.broadcast(nb_tab), [*g, "cell"])
+          .withColumn("block", F.pmod(F.xxhash64("_tid"), F.col("_nb")).cast("int")).drop("_nb"))
 
     keys = [*g, "cell", "block"]
     j = qb.join(tb, keys)

@@ -23,7 +23,7 @@ from .ranking import rank_within
 
 
 def synthesize(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
-               n_pivots: int = 32, block_rows: int = 4096) -> DataFrame:
+               n_pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
     """Synthetic rows only: (label, base_id, j, vec)."""
     base = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
                      F.col(label_col).alias("label"))

@@ -44,15 +44,12 @@ def nb_stream_predict(spark, sf):
     root = scratch_folder(spark, "nb-stream-predict")
 
     def with_truth(pred, b):
-        truth = b.select("key", F.explode(F.array(
-            F.struct(F.lit("role").alias("target"), F.col("role").alias("truth")),
-            F.struct(F.lit("turn").alias("target"),
-                     F.col("turn_bucket").cast("string").alias("truth")))).alias("t")).select(
-            "key", "t.target", "t.truth")
-        return pred.join(truth, ["key", "target"])
+        truth = F.when(F.col("target") == "role", F.col("role")).otherwise(
+            F.col("turn_bucket").cast("string"))
+        return pred.select("key", "target", truth.alias("truth"), "pred")
 
     q = stream_predict(_stream(spark, sf), lambda b: _prepare(b).where(F.col("is_test")), model,
                        "key", "tokens", os.path.join(root, "pred"), os.path.join(root, "checkpoint"),
-                       extra=with_truth)
+                       extra=with_truth, carry=["role", "turn_bucket"])
     q.awaitTermination()
     return spark.read.parquet(os.path.join(root, "pred")).select("key", "target", "truth", "pred")

@@ -50,11 +50,12 @@ def read_counts(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def stream_predict(stream: DataFrame, prepare, model: nb.NBModel, id_col: str, tokens_col: str,
-                   out_dir: str, checkpoint: str, extra=None):
-    """Start the W2 query: score every micro-batch with a static model."""
+                   out_dir: str, checkpoint: str, extra=None, carry=()):
+    """Start the W2 query: score every micro-batch with a static model;
+    ``carry`` columns of the prepared batch ride along with the predictions."""
     def write_batch(batch: DataFrame, batch_id: int):
         b = prepare(batch)
-        p = nb.predict(model, b, id_col, tokens_col)
+        p = nb.predict(model, b, id_col, tokens_col, carry=carry)
         if extra is not None:
             p = extra(p, b)
         p.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
