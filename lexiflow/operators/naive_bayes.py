@@ -120,33 +120,47 @@ def fit(df: DataFrame, id_col: str, tokens_col: str, targets: list[Target], ngra
     if materialize:
         stats = cut_lineage(stats, "nb-stats")
     counts = stats.where(F.col("token").isNotNull())
-    # A2: vocabulary and its size V as a scalar subquery (no cross join).
+    # A1 + A2 in ONE small job: per label (documents, tokens, distinct tokens)
+    # plus one extra row holding the vocabulary size V; bounded by the label
+    # count.  The number of weight rows follows from it, so no count job is
+    # needed before choosing broadcast or shuffle for scoring.
     vocab = counts.select("token").distinct()
-    V = vocab.select(F.count(F.lit(1))).scalar()
-    # A1: documents and tokens per label; priors ln(n_l / N_target).
-    pri = stats.groupBy("target", "label").agg(
-        F.sum(F.when(F.col("token").isNull(), F.col("cnt"))).alias("n_docs"),
+    per_label = stats.groupBy("target", "label").agg(
+        F.sum(F.when(F.col("token").isNull(), F.col("cnt"))).cast("bigint").alias("n_docs"),
         F.coalesce(F.sum(F.when(F.col("token").isNotNull(), F.col("cnt"))), F.lit(0))
-        .cast("bigint").alias("n_tokens"))
-    pri = pri.withColumn("log_prior", F.ln(F.col("n_docs") / F.sum("n_docs").over(
-        Window.partitionBy("target"))))
-    alpha = F.create_map(*[x for t in targets for x in (F.lit(t.name), F.lit(float(t.alpha)))])
-    missing = F.create_map(*[x for t in targets for x in (
-        F.lit(t.name), F.lit(float(t.missing_alpha if t.missing_alpha is not None else t.alpha)))])
-    size = F.col("n_docs") if denominator == "docs" else F.col("n_tokens")
-    pri = (pri.withColumn("alpha", alpha[F.col("target")])
-              .withColumn("den", size + F.col("alpha") * V)
-              .withColumn("base", F.ln(F.col("alpha") / F.col("den"))))
-
-    rows = pri.select("target", "label", "n_docs", "n_tokens", "log_prior", "base").limit(
-        MAX_LABELS + 1).collect()
+        .cast("bigint").alias("n_tokens"),
+        F.count("token").alias("n_pairs"))
+    v_row = vocab.agg(F.count(F.lit(1)).alias("n_pairs")).select(
+        F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("label"),
+        F.lit(None).cast("bigint").alias("n_docs"), F.lit(None).cast("bigint").alias("n_tokens"),
+        "n_pairs")
+    collected = per_label.unionByName(v_row).limit(MAX_LABELS + 2).collect()
+    rows = [r for r in collected if r["target"] is not None]
     if len(rows) > MAX_LABELS:
         raise ValueError("too many labels for a Naive Bayes target")
+    V = next(r["n_pairs"] for r in collected if r["target"] is None)
+    weight_rows = sum(r["n_pairs"] for r in rows) + V
+    alphas = {t.name: float(t.alpha) for t in targets}
+    totals = {}
+    for r in rows:
+        totals[r["target"]] = totals.get(r["target"], 0) + r["n_docs"]
+
+    def _base(r):
+        size = r["n_docs"] if denominator == "docs" else r["n_tokens"]
+        a_ = alphas[r["target"]]
+        return math.log(a_ / (size + a_ * V))
     ranks = _label_rank_table(rows)
-    rank_map = F.create_map(*[x for (t, l), r in ranks.items()
-                              for x in (F.lit(f"{t}|{l}"), F.lit(r))])
-    priors = pri.withColumn("label_rank", rank_map[F.concat_ws("|", "target", "label")]).select(
-        "target", "label", "label_rank", "n_docs", "n_tokens", "log_prior", "base", "alpha")
+    prior_rows = [(r["target"], r["label"], ranks[(r["target"], r["label"])], r["n_docs"],
+                   r["n_tokens"], math.log(r["n_docs"] / totals[r["target"]]), _base(r),
+                   alphas[r["target"]]) for r in rows]
+    spark = df.sparkSession
+    # one row per label: a literal table of bounded size
+    priors = spark.createDataFrame(
+        prior_rows, "target string, label string, label_rank int, n_docs bigint, "
+                    "n_tokens bigint, log_prior double, base double, alpha double")
+    alpha = F.create_map(*[x for t in targets for x in (F.lit(t.name), F.lit(float(t.alpha)))])
+    missing = F.create_map(*[x for t in targets for x in (
+        F.lit(t.name), F.lit(float(t.missing_alpha if t.missing_alpha is not None else t.alpha)))])
 
     w = counts.withColumn("alpha", alpha[F.col("target")])
     w = w.withColumn("delta", F.ln(F.col("cnt") + F.col("alpha")) - F.ln(F.col("alpha")))
@@ -163,11 +177,11 @@ def fit(df: DataFrame, id_col: str, tokens_col: str, targets: list[Target], ngra
     weights = (w.select("token", F.concat_ws("|", "target", "label").alias("tl"), "delta")
                .unionByName(vocab.select("token", F.lit(KNOWN).alias("tl"),
                                          F.lit(1.0).alias("delta"))))
-    labels = sorted(((r["target"], r["label"], ranks[(r["target"], r["label"])],
-                      r["log_prior"], r["base"]) for r in rows),
+    labels = sorted(((p[0], p[1], p[2], p[5], p[6]) for p in prior_rows),
                     key=lambda x: (x[0], x[2]))
     return NBModel(priors=priors, weights=weights, labels=labels,
-                   targets=[t.name for t in targets], ngram=ngram, counts=counts)
+                   targets=[t.name for t in targets], ngram=ngram, counts=counts,
+                   weight_rows=weight_rows)
 
 
 def term_frequencies(df: DataFrame, id_col: str, tokens_col: str, ngram: int = 1,
@@ -285,7 +299,7 @@ def save(model: NBModel, path: str) -> None:
     model.priors.write.mode("overwrite").parquet(f"{path}/priors")
     model.weights.write.mode("overwrite").parquet(f"{path}/weights")
     meta = {"targets": model.targets, "ngram": model.ngram,
-            "labels": [list(x) for x in model.labels]}
+            "labels": [list(x) for x in model.labels], "weight_rows": model.weight_rows}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
         .write.mode("overwrite").json(f"{path}/meta")
 
@@ -296,4 +310,4 @@ def load(spark, path: str) -> NBModel:
     return NBModel(priors=spark.read.parquet(f"{path}/priors"),
                    weights=spark.read.parquet(f"{path}/weights"),
                    labels=[tuple(x) for x in meta["labels"]], targets=meta["targets"],
-                   ngram=meta["ngram"])
+                   ngram=meta["ngram"], weight_rows=meta.get("weight_rows"))
