@@ -72,6 +72,33 @@ def test_rank_within_matches_row_number(spark):
         assert [i for _, i in xs] == list(range(len(xs)))
 
 
+def test_rank_within_hot_group_nulls_and_desc_order(spark):
+    # one group holds a third of the rows, one group is NULL; descending order
+    # on a non-unique column with a unique tie-breaker; many sampled ranges
+    df = spark.range(0, 30000).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit("hot"))
+        .when(F.col("id") % 7 == 1, F.lit(None).cast("string"))
+        .otherwise((F.col("id") % 5).cast("string")).alias("g"),
+        (F.col("id") % 97).alias("c"))
+    r = rank_within(df, ["g"], [F.col("c").desc(), F.col("id")], "idx", num_partitions=13)
+    got = {row["id"]: row["idx"] for row in r.collect()}
+    assert len(got) == 30000
+    rows = [(x["g"], x["c"], x["id"]) for x in df.collect()]
+    by = {}
+    for g, c, i in rows:
+        by.setdefault(g, []).append((-c, i))
+    for g, xs in by.items():
+        xs.sort()
+        assert [got[i] for _, i in xs] == list(range(len(xs))), g
+
+
+def test_global_index_dense(spark):
+    from lexiflow.operators.ranking import global_index
+    df = spark.range(0, 5000).select(F.xxhash64("id").alias("o"))
+    got = sorted((row["o"], row["i"]) for row in global_index(df, ["o"], "i", 9).collect())
+    assert [i for _, i in got] == list(range(5000))
+
+
 def test_top_k_per_group(spark):
     df = spark.createDataFrame([("x", "a", 3), ("x", "b", 3), ("x", "c", 1), ("y", "d", 2)],
                                "g string, t string, c long")
