@@ -257,7 +257,9 @@ def fit_flow_prep(train: DataFrame, family: str, order_cols: list) -> FlowPrep:
 def _balance(df: DataFrame, label: str, key: str, sample: str, samples: int, features: list):
     """F7 then F8 (chained, D8) on a prepared flow table."""
     if sample in ("under", "both"):
-        classes = [r[0] for r in df.select(label).distinct().limit(10001).collect()]
+        classes = [r[0] for r in df.select(label).distinct().limit(M.MAX_CLASSES + 1).collect()]
+        if len(classes) > M.MAX_CLASSES:
+            raise ValueError("too many classes to under-sample")
         df = undersample(df, key, label, {c: samples for c in classes})
     if sample in ("smote", "both"):
         arr = df.select(key, label, vector_to_array("features").alias("vec"))
