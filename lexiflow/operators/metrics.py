@@ -92,24 +92,26 @@ def macro_f1(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
 
 def confusion(df: DataFrame, true_col: str, pred_col: str, classes: list | None = None) -> DataFrame:
     """A5: (true, pred, n) on the full class x class grid, zeros kept, plus
-    ``share`` = n / row total (the row-normalised matrix, N5)."""
+    ``share`` = n / row total (the row-normalised matrix, N5).
+
+    The grid is built from the counts themselves: the sorted class list (one
+    row, at most MAX_CLASSES names -- enforced) is exploded twice, so there is
+    no cross join, no driver round trip and the predictions are aggregated
+    once (both uses read the same aggregation)."""
     t = F.col(true_col).cast("string").alias("true_label")
     p = F.col(pred_col).cast("string").alias("pred_label")
     counts = df.groupBy(t, p).agg(F.count(F.lit(1)).alias("n"))
     if classes is None:
-        cls = counts.select(F.explode(F.array("true_label", "pred_label")).alias("c")).distinct()
-        rows = cls.limit(MAX_CLASSES + 1).collect()
-        if len(rows) > MAX_CLASSES:
-            raise ValueError("too many classes for a confusion matrix")
-        classes = sorted(r["c"] for r in rows if r["c"] is not None)
-    # the class x class grid is generated by the executors from one array
-    # literal (n names), never as n^2 tuples on the driver
-    spark = df.sparkSession
-    n = len(classes)
-    names = F.array(*[F.lit(c) for c in classes]) if n else F.array().cast("array<string>")
-    grid = spark.range(n * n).select(
-        names[(F.col("id") / n).cast("int")].alias("true_label"),
-        names[(F.col("id") % n).cast("int")].alias("pred_label"))
+        names = (counts.select(F.explode(F.array("true_label", "pred_label")).alias("c"))
+                 .where(F.col("c").isNotNull())
+                 .agg(F.array_sort(F.collect_set("c")).alias("cls")))
+        names = names.select(F.when(F.size("cls") <= MAX_CLASSES, F.col("cls")).otherwise(
+            F.raise_error(F.lit("too many classes for a confusion matrix"))).alias("cls"))
+    else:
+        names = df.sparkSession.range(1).select(
+            F.array(*[F.lit(str(c)) for c in classes]).cast("array<string>").alias("cls"))
+    grid = (names.select(F.explode("cls").alias("true_label"), "cls")
+            .select("true_label", F.explode("cls").alias("pred_label")))
     full = grid.join(counts, ["true_label", "pred_label"], "left").select(
         "true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     return full.withColumn("share", _safe_div(
@@ -122,13 +124,18 @@ def confusion_wide(conf: DataFrame, classes: list) -> DataFrame:
 
 
 def off_by_histogram(df: DataFrame, true_col: str, pred_col: str, max_k: int = 4) -> DataFrame:
-    """A11 (first half): for k = 0..max_k, percent of rows with |true - pred| = k."""
+    """A11 (first half): for k = 0..max_k, percent of rows with |true - pred| = k.
+
+    One aggregation over the predictions; zero rows for absent k and the
+    total come from the small per-k table, so the input is read once."""
     d = F.abs(F.col(true_col) - F.col(pred_col)).cast("bigint")
     g = df.groupBy(d.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    ks = df.sparkSession.range(0, max_k + 1).select(F.col("id").alias("k"))
-    total = df.select(F.count(F.lit(1))).scalar()
-    return ks.join(g, "k", "left").select(
-        "k", (100.0 * F.coalesce(F.col("n"), F.lit(0)) / total).alias("pct"))
+    zeros = df.sparkSession.range(0, max_k + 1).select(F.col("id").alias("k"),
+                                                       F.lit(0).cast("bigint").alias("n"))
+    u = g.unionByName(zeros).groupBy("k").agg(F.sum("n").alias("n"))
+    u = u.withColumn("_total", F.sum("n").over(Window.partitionBy()))   # <= distinct k rows
+    return u.where(F.col("k").between(0, max_k)).select(
+        "k", (100.0 * _safe_div(F.col("n"), F.col("_total"))).alias("pct"))
 
 
 def mean_abs_error_by(df: DataFrame, target_col: str, true_col: str, pred_col: str) -> DataFrame:
