@@ -91,18 +91,17 @@ def vocabulary(spark, sf):
 
 
 def vocabulary_table(d, tokens_col):
-    """(token, df, cnt) in ONE aggregation on token: every occurrence adds 1 to
-    cnt and each document's distinct tokens add 1 to df, so nothing keyed by
-    (doc, token) is ever shuffled; map-side partial aggregation folds a hot
-    token to one row per task."""
+    """(token, df, cnt) in ONE aggregation on token.  Each row explodes its
+    tokens followed by its distinct tokens; a position below the token count
+    is an occurrence (adds to cnt), one above is a document hit (adds to df).
+    Nothing keyed by (doc, token) is shuffled, and map-side partial
+    aggregation folds a hot token to one row per task."""
     t = F.col(tokens_col)
-    both = F.concat(
-        F.transform(t, lambda x: F.struct(x.alias("token"), F.lit(1).alias("o"), F.lit(0).alias("d"))),
-        F.transform(F.array_distinct(t),
-                    lambda x: F.struct(x.alias("token"), F.lit(0).alias("o"), F.lit(1).alias("d"))))
-    e = d.select(F.explode_outer(both).alias("e")).select("e.*").where(F.col("token").isNotNull())
-    return e.groupBy("token").agg(F.sum("d").cast("bigint").alias("df"),
-                                  F.sum("o").cast("bigint").alias("cnt"))
+    e = d.select(F.size(t).alias("_n"),
+                 F.posexplode(F.concat(t, F.array_distinct(t))).alias("_pos", "token"))
+    return e.groupBy("token").agg(
+        F.count(F.when(F.col("_pos") >= F.col("_n"), 1)).alias("df"),
+        F.count(F.when(F.col("_pos") < F.col("_n"), 1)).alias("cnt"))
 
 
 def bucket_counts(spark, sf):
