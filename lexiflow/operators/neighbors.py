@@ -152,7 +152,12 @@ def knn(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_co
           .withColumn("block", F.pmod(F.xxhash64("_tid"), F.col("_nb")).cast("int")).drop("_nb"))
 
     keys = [*g, "cell", "block"]
-    j = qb.join(tb, keys)
+    # The join multiplies rows (every query meets every point of its candidate
+    # blocks), so its input size says little about its work: both sides are
+    # hash-partitioned on the block key with a fixed partition count, which
+    # AQE does not coalesce, keeping the distance work spread over all tasks.
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    j = qb.repartition(n_parts, *keys).join(tb.repartition(n_parts, *keys), keys)
     j = j.where(F.abs(F.col("dq") - F.col("dp")) <= F.col("_u"))
     if exclude_self:
         j = j.where(F.col("_qid") != F.col("_tid"))

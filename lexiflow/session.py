@@ -9,7 +9,13 @@ from pyspark.sql import SparkSession
 
 # Settings that matter at any scale: AQE re-plans shuffles at runtime, coalesces
 # small partitions and splits skewed join partitions; Arrow batches Python data.
+# The planner never broadcasts on its own estimates (an exploded or filtered
+# table can be far larger than the file it came from): only our size-checked
+# broadcast hints are planned, and AQE converts a join to a broadcast join
+# only from the measured size of a finished shuffle stage.
 DEFAULT_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
