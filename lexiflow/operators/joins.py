@@ -15,15 +15,10 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_count(df: DataFrame, limit: int) -> int:
-    """Exact row count if it is <= limit, else limit + 1 (reads at most limit+1 rows)."""
-    return df.limit(limit + 1).count()
-
-
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                       known_rows: int | None = None) -> DataFrame:
     """Return ``broadcast(df)`` when its size is proven small, else ``df`` unchanged."""
-    n = known_rows if known_rows is not None else bounded_count(df, max_rows)
+    n = known_rows if known_rows is not None else df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 

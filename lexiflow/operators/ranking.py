@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import DEFAULT_BROADCAST_ROWS, bounded_count
+from .joins import DEFAULT_BROADCAST_ROWS
 
 
 def _cols(xs):
@@ -72,7 +72,7 @@ def rank_within(df: DataFrame, group_cols, order_cols, index_col: str = "idx",
     offsets = firsts.select(*[F.col(c).alias(f"_rk_g{i}") for i, c in enumerate(gnames)],
                             F.col("_rk_pid").alias("_rk_opid"), "_rk_first",
                             F.coalesce(F.sum("_rk_n").over(wo), F.lit(0)).alias("_rk_off"))
-    if bounded_count(offsets, DEFAULT_BROADCAST_ROWS) <= DEFAULT_BROADCAST_ROWS:
+    if offsets.count() <= DEFAULT_BROADCAST_ROWS:   # one number per task, never rows
         offsets = F.broadcast(offsets)
     cond = F.col("_rk_pid") == F.col("_rk_opid")
     for i, c in enumerate(gnames):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,15 +61,62 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+class Scratch:
+    """Owner of the intermediate Parquet tables of one computation.
+
+    ``cut`` writes a table below the shared checkpoint folder and returns the
+    re-read table (survives executor loss, unlike a local checkpoint); ``drop``
+    deletes tables no returned plan reads any more; ``release`` deletes the
+    rest once their readers are done.  Every owner of a session is also
+    released by ``release_scratch``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.base = ensure_checkpoint_dir(spark)
+        self.tables: dict[int, str] = {}
+        _OWNERS.append(self)
+
+    def cut(self, df, name: str = "table"):
+        path = os.path.join(self.base, f"{name}-{uuid.uuid4().hex}")
+        df.write.mode("overwrite").parquet(path)
+        # the written schema is known: no schema inference job, and an empty table still reads
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(table)] = path
+        table._scratch_path = path
+        return table
+
+    def drop(self, *tables):
+        for t in tables:
+            path = getattr(t, "_scratch_path", None)
+            if path and self.tables.pop(id(t), None):
+                _delete(self.spark, path)
+
+    def release(self):
+        for path in self.tables.values():
+            _delete(self.spark, path)
+        self.tables.clear()
+
+
+_OWNERS: list[Scratch] = []
+
+
+def _delete(spark, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table this session still owns; call when the
+    results that read them have been written or collected."""
+    for owner in _OWNERS:
+        if owner.spark is spark:
+            owner.release()
+    _OWNERS[:] = [o for o in _OWNERS if o.spark is not spark]
+
+
 def cut_lineage(df, name: str = "table"):
     """Materialise ``df`` as a Parquet table in a fresh folder under the shared
-    checkpoint folder and return the re-read table.
-
-    Survives executor loss (unlike a local checkpoint) and is far cheaper than
-    an RDD checkpoint, which serialises rows one by one; used for fitted model
-    tables and between rounds of iterative drivers."""
-    import uuid
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    checkpoint folder and return the re-read table (owned by the session:
+    ``release_scratch`` deletes it)."""
+    return Scratch(df.sparkSession).cut(df, name)
