@@ -194,8 +194,7 @@ def term_frequencies(df: DataFrame, id_col: str, tokens_col: str, ngram: int = 1
 def _weights_for_join(model: NBModel, max_rows: int):
     """(weights, broadcast?) -- broadcast only under a proven row bound."""
     if model.weight_rows is None:
-        from .joins import bounded_count
-        model.weight_rows = bounded_count(model.weights, max_rows)
+        model.weight_rows = model.weights.count()
     small = model.weight_rows <= max_rows
     return checked_broadcast(model.weights, max_rows, known_rows=model.weight_rows), small
 
