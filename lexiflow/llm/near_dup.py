@@ -97,34 +97,35 @@ def _set_table(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _forest_neighbours(members: DataFrame, near: int) -> DataFrame:
-    """Candidate pairs of the sorted orders.  ``members`` (key, label, id): one
-    row per tree; sorted by key and label, equal prefixes are adjacent."""
+    """Candidate pairs of the sorted orders, without those known to be in one
+    component.  ``members`` (key, label, id, c): one row per tree; sorted by key
+    and label, equal prefixes are adjacent."""
 
     def run(batches):
         key, label, last, heads = None, b"", [], []
         for batch in batches:
             a_out, b_out = [], []
-            for k, lab, i in zip(*(c.to_pylist() for c in batch.columns)):
-                levels = len(lab) // UNIT
+            for k, lab, i, c in zip(*(x.to_pylist() for x in batch.columns)):
+                levels, here = len(lab) // UNIT, (i, c)
                 if k != key:
-                    key, last, heads = k, [], [i] * levels
+                    key, last, heads = k, [], [here] * levels
                 else:
                     d = 0
                     while d < levels and lab[d * UNIT:(d + 1) * UNIT] == label[d * UNIT:(d + 1) * UNIT]:
                         d += 1
-                    heads[d:] = [i] * (levels - d)
-                    for p in {*last, *heads[:d]}:
-                        if p != i:
+                    heads[d:] = [here] * (levels - d)
+                    for p, pc in {*last, *heads[:d]}:
+                        if pc != c:
                             a_out.append(p), b_out.append(i)
                     if len(last) == near:
                         last.pop(0)
                 label = lab
-                last.append(i)
+                last.append(here)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, batch.column(2).type),
                                               pa.array(b_out, batch.column(2).type)], names=["a", "b"])
 
     idt = members.schema["id"].dataType.simpleString()
-    ordered = (members.select("key", "label", "id").repartitionByRange("key", "label", "id")
+    ordered = (members.select("key", "label", "id", "c").repartitionByRange("key", "label", "id")
                .sortWithinPartitions("key", "label", "id"))
     return _pairs(ordered.mapInArrow(run, f"a {idt}, b {idt}"))
 
@@ -158,11 +159,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct()
 
 
-def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends are not known to be in one component."""
-    side = lambda c: comp.select(F.col("u").alias(c), F.col("v").alias(f"c{c}"))
-    return (pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``rows`` with the component ``c`` of their ``id`` (itself when unlinked)."""
+    return rows.join(comp, F.col("id") == F.col("u"), "left").select(
+        *rows.columns, F.coalesce("v", "id").alias("c"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -204,20 +204,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = confirm(_pairs(members.select(F.col("id").alias("a"), F.col("leader").alias("b"))))
     comp = connected_components(links, scratch)
-    tried = scratch.cut(_across(_forest_neighbours(members, near), comp), "tried")
+    tried = scratch.cut(_forest_neighbours(_with_component(members.select("key", "label", "id"), comp), near),
+                        "tried")
     more = confirm(tried)
     crowded = members.where(F.col("m") > near + 1).select("key", "id")
     while more.count():
         links = scratch.cut(links.unionByName(more), "links")
         comp = connected_components(links, scratch)
-        if crowded.isEmpty():
-            break
+        rows = scratch.cut(_with_component(crowded, comp), "crowded")
         degree = (links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id")
                   .agg(F.count(F.lit(1)).alias("deg")))
-        ranked = crowded.join(degree, "id")
-        hubs = ranked.groupBy("key").agg(F.max_by("id", "deg").alias("hub"))
-        fresh = _across(_pairs(crowded.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))),
-                        comp)
+        hubs = (rows.join(degree, "id").groupBy("key").agg(F.max_by("id", "deg").alias("hub"),
+                                                           F.min("c").alias("low"), F.max("c").alias("high"))
+                .where("low <> high")
+                .join(comp, F.col("hub") == F.col("u")).select("key", "hub", F.col("v").alias("hc")))
+        fresh = _pairs(rows.join(hubs, "key").where("c <> hc").select(F.col("id").alias("a"),
+                                                                     F.col("hub").alias("b")))
         fresh = scratch.cut(fresh.join(tried, ["a", "b"], "left_anti"), "tried")
         tried = scratch.cut(tried.unionByName(fresh), "tried")
         more = confirm(fresh)
@@ -234,6 +236,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each near-duplicate group (the smallest id; one of rows that
+    repeat an id), with its own columns only.  Rows without an id can't be named
+    in a group: one row of each of their distinct texts stays."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    ids = found.where("kept").select(F.col(id_col).alias("_kept_id")).where("_kept_id is not null").distinct()
+    named = docs.join(ids, docs[id_col] == ids["_kept_id"], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+
+
 def op8_minhash_forest(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 

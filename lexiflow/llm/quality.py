@@ -175,3 +175,10 @@ def op3_hashed_ngram_llr(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return (quality_rules(docs, table(spark, sf_dir, "labels"))
             .select("doc_id", "quality.*"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+              buckets: int = 1 << 14, sample: int = 20_000, threshold: float = -0.3) -> DataFrame:
+    """The rows that are kept, with their own columns only."""
+    ratios = fit_ratios(docs, labels, id_col, text_col, buckets=buckets, sample=sample)
+    return docs.where(quality_columns(F.col(text_col), ratios, threshold)["kept"])

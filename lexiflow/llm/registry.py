@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import near_dup, packing, quality, toxicity
 
 QUERIES = {
+    "op3_hashed_ngram_llr": quality.op3_hashed_ngram_llr,
+    "op6_class_kneser_ney": toxicity.op6_class_kneser_ney,
     "op8_minhash_forest": near_dup.op8_minhash_forest,
+    "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
 }
 
 SQL = {

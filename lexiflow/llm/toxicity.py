@@ -63,8 +63,9 @@ class ToxicModel:
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fold: int,
               per_class: int) -> DataFrame:
-    """Texts of at most ``per_class`` labelled rows of each class and fold, chosen
-    by the hash of their id (the same number of both for the counting fold)."""
+    """Texts of a bounded number of labelled rows, chosen by the hash of their id:
+    for the counts ``per_class`` toxic and four times as many ordinary ones, for
+    the calibration ``2 * per_class`` rows as they come."""
     lab = (labels.select(F.col(id_col).alias("lid"), F.col("toxic").cast("int").alias("toxic"))
            .where("lid is not null and toxic in (0, 1)")
            .where(F.pmod(crc_of_id("lid"), F.lit(FOLDS)) == fold)
@@ -72,7 +73,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fo
     order = (F.xxhash64("lid"), F.col("lid"))
     if fold == FIT:
         bad = lab.where("toxic = 1").orderBy(*order).limit(per_class)
-        good = lab.where("toxic = 0").orderBy(*order).limit(max(1, bad.count()))
+        good = lab.where("toxic = 0").orderBy(*order).limit(4 * per_class)
         lab = bad.unionByName(good)
     else:
         lab = lab.orderBy(*order).limit(2 * per_class)
@@ -104,7 +105,8 @@ def _discounted(nt: np.ndarray, no: np.ndarray, odds: np.ndarray, z: float) -> n
     share = odds / (1 + odds)
     et, eo = k * share, k * (1 - share)
     dev = nt - et
-    move = np.sign(dev) * np.maximum(np.abs(dev) - z * np.sqrt(k * share * (1 - share) + 0.25), 0)
+    # the second term is Bernstein's, for the wider tails of small counts
+    move = np.sign(dev) * np.maximum(np.abs(dev) - z * np.sqrt(k * share * (1 - share)) - z * z / 6, 0)
     return np.log1p(move / et) - np.log1p(-move / eo)
 
 
@@ -130,17 +132,28 @@ def _ratios(counts: DataFrame, n_toxic: int, n_ordinary: int, z: float, least: i
     return {x: r for x, r in ratio.items() if r}, bigram
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Newton's method on standardised columns; returns weights on the raw columns."""
-    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Ridge logistic regression on columns scaled to unit root mean square:
+    Newton steps, halved until the objective falls."""
+    scale = np.sqrt((x ** 2).mean(axis=0))
+    scale[scale == 0] = 1.0
     a = np.column_stack([np.ones(len(x)), x / scale])
+    pull = np.diag([1e-6] + [ridge] * x.shape[1])
+
+    def cost(w):
+        t = a @ w
+        return np.sum(np.logaddexp(0, t) - y * t) + 0.5 * w @ pull @ w
+
     w = np.zeros(a.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)),
-                               a.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        grad = a.T @ (p - y) + pull @ w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pull, grad)
+        size = 1.0
+        while size > 1e-6 and cost(w - size * step) > cost(w):
+            size /= 2
+        w -= size * step
+        if np.abs(size * step).max() < 1e-9:
             break
     return np.concatenate([w[:1], w[1:] / scale])
 
@@ -160,9 +173,9 @@ def _margins(model: ToxicModel, spark):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-                 per_class: int = 3000, z: float = 3.5, least: int = 5) -> ToxicModel:
-    """Learn from at most ``2 * per_class`` labelled rows for the counts and as
-    many for the calibration; ``z`` is the discount in standard errors, ``least``
+                 per_class: int = 2000, z: float = 3.5, least: int = 5) -> ToxicModel:
+    """Learn from at most ``5 * per_class`` labelled rows for the counts and
+    ``2 * per_class`` for the calibration; ``z`` is the discount in standard errors, ``least``
     the fewest documents an expression must be in.  Without toxic rows the model
     scores 0 everywhere."""
     scratch = Scratch(docs.sparkSession)
@@ -183,7 +196,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-             threshold: float = 0.7, per_class: int = 3000, model: ToxicModel | None = None) -> DataFrame:
+             threshold: float = 0.7, per_class: int = 2000, model: ToxicModel | None = None) -> DataFrame:
     """The input rows with one more struct column ``toxicity`` (an input column of
     that name is replaced): score in 0..1 and predicted (1 from ``threshold`` up).
 
@@ -200,3 +213,10 @@ def op6_class_kneser_ney(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity(docs, table(spark, sf_dir, "labels")).select(
         "doc_id", (F.pmod(crc_of_id("doc_id"), F.lit(FOLDS)) == HELD_OUT).alias("held_out"), "toxicity.*")
+
+
+def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+                  threshold: float = 0.7, per_class: int = 2000) -> DataFrame:
+    """The rows that are not predicted toxic, with their own columns only."""
+    model = fit_toxicity(docs, labels, id_col, text_col, per_class=per_class)
+    return docs.where(_margins(model, docs.sparkSession)(utf8(text_col))["score"] < threshold)
