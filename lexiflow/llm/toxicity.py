@@ -78,22 +78,35 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fo
     else:
         lab = lab.orderBy(*order).limit(2 * per_class)
     return (docs.select(F.col(id_col).alias("lid2"), F.col(text_col).alias("text"))
-            .join(F.broadcast(lab), F.col("lid2") == F.col("lid")).select("toxic", "text"))
+            .join(F.broadcast(lab), F.col("lid2") == F.col("lid")).select("lid", "toxic", "text"))
+
+
+def _one_per_group(sample: DataFrame) -> DataFrame:
+    """One sampled text of those whose smallest hash of four neighbouring words is
+    the same: copies and most near copies are not independent evidence."""
+    def smallest(w):
+        return F.array_min(F.transform(w, lambda x, i: F.xxhash64(
+            x, F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3))))
+
+    keyed = sample.withColumn("low", let(words(F.translate("text", UPPER, LOWER)), smallest))
+    return (keyed.groupBy("low").agg(F.min("lid").alias("lid")).select("lid")
+            .join(sample, "lid").dropDuplicates(["lid"]).select("toxic", "text"))
 
 
 def _document_counts(sample: DataFrame) -> DataFrame:
-    """Per expression (v empty: the word w; else the pair v w) the toxic and the
-    ordinary documents that hold it.  Kneser-Ney counts contexts instead of
+    """Per expression (a word w, or a pair v w; v empty at the start of a text) the
+    toxic and the ordinary documents that hold it.  Kneser-Ney counts contexts instead of
     occurrences; the context here is the document, so a word that one text
     repeats a thousand times weighs once."""
-    def expressions(w):
-        pairs = F.transform(w, lambda x, i: F.struct(F.coalesce(F.get(w, i - 1), F.lit("")).alias("v"),
-                                                     x.alias("w")))
-        single = F.transform(w, lambda x: F.struct(F.lit("").alias("v"), x.alias("w")))
-        return F.array_distinct(F.concat(single, pairs))
+    def expressions(w):      # as strings: words hold no space
+        pairs = F.transform(w, lambda x, i: F.concat_ws(" ", F.coalesce(F.get(w, i - 1), F.lit("")), x))
+        return F.array_distinct(F.concat(w, pairs))
 
-    return (sample.select("toxic", F.explode(let(words(F.translate("text", UPPER, LOWER)), expressions)).alias("p"))
-            .groupBy("p.v", "p.w").agg(F.sum("toxic").alias("nt"), F.sum(1 - F.col("toxic")).alias("no")))
+    counts = (sample.select("toxic", F.explode(let(words(F.translate("text", UPPER, LOWER)), expressions)).alias("e"))
+              .groupBy("e").agg(F.sum("toxic").alias("nt"), F.sum(1 - F.col("toxic")).alias("no")))
+    pair = F.instr("e", " ") > 0
+    return counts.select(F.when(pair, F.substring_index("e", " ", 1)).otherwise("").alias("v"),
+                         F.substring_index("e", " ", -1).alias("w"), pair.alias("pair"), "nt", "no")
 
 
 def _discounted(nt: np.ndarray, no: np.ndarray, odds: np.ndarray, z: float) -> np.ndarray:
@@ -114,13 +127,13 @@ def _ratios(counts: DataFrame, n_toxic: int, n_ordinary: int, z: float, least: i
     """Class ratios of words, and of word pairs that say more than their last word."""
     if not n_toxic or not n_ordinary:
         return {}, {}
-    uni = counts.where(F.col("v") == "")
+    uni = counts.where(~F.col("pair"))
     w = uni.where(F.col("nt") + F.col("no") >= least).toPandas()
     nt, no = w.nt.to_numpy(float), w.no.to_numpy(float)
     u = _discounted(nt, no, np.full(len(w), n_toxic / n_ordinary), z)
     ratio = {x.encode(): r for x, r in zip(w.w, u.tolist())}
     ctx = uni.select(F.col("w").alias("v"), F.col("nt").alias("ct"), F.col("no").alias("co"))
-    kept = (counts.where((F.col("v") != "") & (F.col("nt") + F.col("no") >= least))
+    kept = (counts.where(F.col("pair") & (F.col("nt") + F.col("no") >= least))
             .join(ctx, "v").where("ct > 0 and co > 0").toPandas())
     back = np.array([ratio.get(x.encode(), 0.0) for x in kept.w])
     odds = kept.ct.to_numpy(float) / kept.co.to_numpy(float) * np.exp(back) if len(kept) else back
@@ -179,7 +192,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     the fewest documents an expression must be in.  Without toxic rows the model
     scores 0 everywhere."""
     scratch = Scratch(docs.sparkSession)
-    fit = scratch.cut(_labelled(docs, labels, id_col, text_col, FIT, per_class), "fit")
+    fit = scratch.cut(_one_per_group(scratch.cut(
+        _labelled(docs, labels, id_col, text_col, FIT, per_class), "sample")), "fit")
     sizes = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
     counts = scratch.cut(_document_counts(fit), "counts")
     model = ToxicModel(*_ratios(counts, sizes.get(1, 0), sizes.get(0, 0), z, least))
