@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import table, utf8
+from .common import Recent, in_parts, table, utf8
 
-MAX_STRETCHES, MAX_PAIRS, LONG = 200_000, 1_000_000, 64
+MAX_PAIRS = 1_000_000
 
 
 class TrieBpe:
@@ -66,9 +66,7 @@ class TrieBpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.raw = {i: int(i).to_bytes(4, "little") for i in self.token}
         self.name = {i: t.encode() for i, t in self.token.items()}
-        # stretches met lately and before that; the older half is dropped as a whole
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        self.recent = Recent(self.learn)
 
     def _compatible(self, a: int, b: int, limit: float = float("inf")) -> bool:
         """Whether tokens a, b stay apart: no merge across their border, undone
@@ -156,19 +154,11 @@ class TrieBpe:
     def encode_batch(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded text) of every text."""
         cut = [t.split() if t else [] for t in texts]
-        met = set().union(*cut) if cut else set()
-        if len(self.known) + len(met) > MAX_STRETCHES:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = met.difference(known)
-        known.update({s: older[s] for s in new if s in older})
-        known.update(self.learn({s for s in new if s not in older}))
+        known = self.recent.values(set().union(*cut))
         out = []
         for stretches in cut:
             found = [known[s] for s in stretches]
             out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])[:-1]))
-        for s in [s for s in new if len(s) > LONG]:
-            del known[s]
         return out
 
 
@@ -193,21 +183,17 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         model = trie_bpe(path)
-        for b in batches:
-            # a batch in parts, so that long texts don't pile up in memory
-            texts = b.column(1)
-            for at in range(0, max(1, b.num_rows), 256):
-                part = texts.slice(at, 256).to_pylist()
-                found = model.encode_batch(part)
-                cols = [b.column(0).slice(at, 256), pa.array([len(i) // 4 for i, _ in found], pa.int64()),
-                        pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string()),
-                        pa.array([hashlib.sha256(t).hexdigest() for _, t in found], pa.string())]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_text:
-                    cols += [pa.array([i for i, _ in found], pa.binary()),
-                             pa.array([t.decode() for _, t in found], pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        for b in in_parts(batches):
+            found = model.encode_batch(b.column(1).to_pylist())
+            cols = [b.column(0), pa.array([len(i) // 4 for i, _ in found], pa.int64()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string()),
+                    pa.array([hashlib.sha256(t).hexdigest() for _, t in found], pa.string())]
+            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_text:
+                cols += [pa.array([i for i, _ in found], pa.binary()),
+                         pa.array([t.decode() for _, t in found], pa.string())]
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     idt = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {idt}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

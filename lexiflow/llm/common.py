@@ -62,3 +62,36 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 def crc_of_id(id_col: str) -> Column:
     """crc32 of the id written as text (null: of the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
+class Recent:
+    """Values of the words met lately, learnt in batches by ``learn(set) -> dict``.
+    Two generations of at most ``limit`` words each (and one batch): when the
+    younger is full the older is dropped, so frequent words stay and memory is
+    bounded.  Words longer than ``longest`` are not kept beyond their batch."""
+
+    def __init__(self, learn, limit: int = 200_000, longest: int = 64):
+        self.learn, self.limit, self.longest = learn, limit, longest
+        self.young: dict = {}
+        self.old: dict = {}
+        self.passing: list = []
+
+    def values(self, met: set) -> dict:
+        """A dictionary with the values of all of ``met``, good until the next call."""
+        for w in self.passing:
+            del self.young[w]
+        if len(self.young) + len(met) > self.limit:
+            self.old, self.young = self.young, {}
+        new = met.difference(self.young)
+        again = {w: self.old[w] for w in new if w in self.old}
+        self.young.update(again)
+        self.young.update(self.learn(new.difference(again)))
+        self.passing = [w for w in new if len(w) > self.longest]
+        return self.young
+
+
+def in_parts(batches, size: int = 256):
+    """Slices of record batches, so that long texts don't pile up in memory."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), size):
+            yield b.slice(at, size)

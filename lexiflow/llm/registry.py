@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dup, packing, quality, toxicity
+from . import bpe_trie, near_dup, packing, quality, token_counts, toxicity
 
 QUERIES = {
+    "op1_trie_unigram": token_counts.op1_trie_unigram,
     "op3_hashed_ngram_llr": quality.op3_hashed_ngram_llr,
     "op6_class_kneser_ney": toxicity.op6_class_kneser_ney,
     "op8_minhash_forest": near_dup.op8_minhash_forest,
+    "op9_prefix_trie_bpe": bpe_trie.op9_prefix_trie_bpe,
     "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
 }
 
