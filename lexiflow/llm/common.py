@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -59,6 +61,11 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def constant_array(values, kind: str) -> Column:
+    """A bounded list as one constant of the plan (folded before execution)."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def crc_of_id(id_col: str) -> Column:
     """crc32 of the id written as text (null: of the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
