@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, near_dup, packing, quality, token_counts, toxicity
+from . import (bpe_trie, html_extract, lm_score, near_dup, packing, quality, sharding, token_counts,
+               toxicity)
 
 QUERIES = {
     "op1_trie_unigram": token_counts.op1_trie_unigram,
+    "op2_backoff_automaton": lm_score.op2_backoff_automaton,
     "op3_hashed_ngram_llr": quality.op3_hashed_ngram_llr,
+    "op4_virtual_slots": sharding.op4_virtual_slots,
     "op6_class_kneser_ney": toxicity.op6_class_kneser_ney,
+    "op7_wrapper_induction": html_extract.op7_wrapper_induction,
     "op8_minhash_forest": near_dup.op8_minhash_forest,
     "op9_prefix_trie_bpe": bpe_trie.op9_prefix_trie_bpe,
     "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
