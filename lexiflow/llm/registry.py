@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (bpe_trie, html_extract, lm_score, near_dup, packing, quality, sharding, token_counts,
+from . import (bm25, bpe_trie, html_extract, lm_score, near_dup, packing, quality, sharding, token_counts,
                toxicity)
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_backoff_automaton": lm_score.op2_backoff_automaton,
     "op3_hashed_ngram_llr": quality.op3_hashed_ngram_llr,
     "op4_virtual_slots": sharding.op4_virtual_slots,
+    "op5_block_max_bm25": bm25.op5_block_max_bm25,
     "op6_class_kneser_ney": toxicity.op6_class_kneser_ney,
     "op7_wrapper_induction": html_extract.op7_wrapper_induction,
     "op8_minhash_forest": near_dup.op8_minhash_forest,
