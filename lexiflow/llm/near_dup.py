@@ -12,10 +12,11 @@
    into all pairs.
 3. Candidates whose sketches agree far less than the threshold asks for are
    passed over; all others are confirmed on the full sets.
-4. Connected components of the confirmed links.  Pairs already in one component
-   are not compared again.  In regions larger than the neighbour window the
+4. Connected components of the confirmed links.  Every region's members are first
+   compared with one leader.  In regions larger than the neighbour window the
    members outside the component of the region's best-linked row (the hub) are
-   compared with it, round after round, until no round finds a link.
+   compared with it, round after round, until no round finds a link.  Then come
+   the neighbours that are not yet in one component, and the hubs once more.
 
 The pass, the sets of region members and every round's table are written to
 the shared checkpoint folder; no ids, links or sketches reach the driver."""
@@ -96,17 +97,18 @@ def _set_table(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, hs array<bigint>")
 
 
-def _forest_neighbours(members: DataFrame, near: int) -> DataFrame:
-    """Candidate pairs of the sorted orders, without those known to be in one
-    component.  ``members`` (key, label, id, c): one row per tree; sorted by key
-    and label, equal prefixes are adjacent."""
+def _forest_neighbours(members: DataFrame, near: int, floor: float) -> DataFrame:
+    """Candidate pairs of the sorted orders whose sketches agree enough, without
+    those known to be in one component.  ``members`` (key, label, id, c, sketch):
+    one row per tree; sorted by key and label, equal prefixes are adjacent."""
 
     def run(batches):
         key, label, last, heads = None, b"", [], []
         for batch in batches:
             a_out, b_out = [], []
-            for k, lab, i, c in zip(*(x.to_pylist() for x in batch.columns)):
-                levels, here = len(lab) // UNIT, (i, c)
+            for k, lab, i, c, sk in zip(*(x.to_pylist() for x in batch.columns)):
+                levels, sk = len(lab) // UNIT, np.frombuffer(sk, np.uint32)
+                here = (i, c, sk)
                 if k != key:
                     key, last, heads = k, [], [here] * levels
                 else:
@@ -114,9 +116,12 @@ def _forest_neighbours(members: DataFrame, near: int) -> DataFrame:
                     while d < levels and lab[d * UNIT:(d + 1) * UNIT] == label[d * UNIT:(d + 1) * UNIT]:
                         d += 1
                     heads[d:] = [here] * (levels - d)
-                    for p, pc in {*last, *heads[:d]}:
-                        if pc != c:
-                            a_out.append(p), b_out.append(i)
+                    others = {p: x for p, pc, x in (*last, *heads[:d]) if pc != c}
+                    if others:
+                        alike = (np.array(list(others.values())) == sk).mean(axis=1) >= floor
+                        found = [p for p, good in zip(others, alike) if good]
+                        a_out += found
+                        b_out += [i] * len(found)
                     if len(last) == near:
                         last.pop(0)
                 label = lab
@@ -125,7 +130,7 @@ def _forest_neighbours(members: DataFrame, near: int) -> DataFrame:
                                               pa.array(b_out, batch.column(2).type)], names=["a", "b"])
 
     idt = members.schema["id"].dataType.simpleString()
-    ordered = (members.select("key", "label", "id", "c").repartitionByRange("key", "label", "id")
+    ordered = (members.select("key", "label", "id", "c", "sketch").repartitionByRange("key", "label", "id")
                .sortWithinPartitions("key", "label", "id"))
     return _pairs(ordered.mapInArrow(run, f"a {idt}, b {idt}"))
 
@@ -165,6 +170,27 @@ def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
         *rows.columns, F.coalesce("v", "id").alias("c"))
 
 
+def _join_hubs(crowded: DataFrame, links: DataFrame, comp: DataFrame, tried: DataFrame, confirm, scratch):
+    """Compare the members of crowded regions that are outside of the component of
+    the region's best-linked row with that row, until no round finds a link."""
+    while not links.isEmpty():
+        rows = scratch.cut(_with_component(crowded, comp), "crowded")
+        degree = (links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id")
+                  .agg(F.count(F.lit(1)).alias("deg")))
+        hubs = (rows.join(degree, "id").groupBy("key").agg(F.max_by("id", "deg").alias("hub"))
+                .join(comp, F.col("hub") == F.col("u")).select("key", "hub", F.col("v").alias("hc")))
+        fresh = _pairs(rows.join(hubs, "key").where("c <> hc").select(F.col("id").alias("a"),
+                                                                     F.col("hub").alias("b")))
+        fresh = scratch.cut(fresh.join(tried, ["a", "b"], "left_anti"), "tried")
+        more = confirm(fresh)
+        if more.isEmpty():
+            break
+        tried = scratch.cut(tried.unionByName(fresh), "tried")
+        links = scratch.cut(links.unionByName(more), "links")
+        comp = connected_components(links, scratch)
+    return links, comp, tried
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                     shingle: int = 5, percent: int = 80, trees: int = 20, depth: int = 8,
                     min_depth: int = 4, near: int = 8) -> DataFrame:
@@ -202,27 +228,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirm(pairs):
         return scratch.cut(_confirmed(_similar_sketches(pairs, sketches, floor), sets, percent), "links")
 
-    links = confirm(_pairs(members.select(F.col("id").alias("a"), F.col("leader").alias("b"))))
-    comp = connected_components(links, scratch)
-    tried = scratch.cut(_forest_neighbours(_with_component(members.select("key", "label", "id"), comp), near),
-                        "tried")
-    more = confirm(tried)
+    # one leader per region, then hubs, then the sorted orders' neighbours, then hubs again
     crowded = members.where(F.col("m") > near + 1).select("key", "id")
-    while more.count():
+    tried = scratch.cut(_pairs(members.select(F.col("id").alias("a"), F.col("leader").alias("b"))), "tried")
+    links = confirm(tried)
+    comp = connected_components(links, scratch)
+    links, comp, tried = _join_hubs(crowded, links, comp, tried, confirm, scratch)
+    rows = _with_component(members.select("key", "label", "id"), comp).join(sketches, "id")
+    fresh = scratch.cut(_forest_neighbours(rows, near, floor).join(tried, ["a", "b"], "left_anti"), "tried")
+    more = scratch.cut(_confirmed(fresh, sets, percent), "links")
+    if not more.isEmpty():
         links = scratch.cut(links.unionByName(more), "links")
         comp = connected_components(links, scratch)
-        rows = scratch.cut(_with_component(crowded, comp), "crowded")
-        degree = (links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id")
-                  .agg(F.count(F.lit(1)).alias("deg")))
-        hubs = (rows.join(degree, "id").groupBy("key").agg(F.max_by("id", "deg").alias("hub"),
-                                                           F.min("c").alias("low"), F.max("c").alias("high"))
-                .where("low <> high")
-                .join(comp, F.col("hub") == F.col("u")).select("key", "hub", F.col("v").alias("hc")))
-        fresh = _pairs(rows.join(hubs, "key").where("c <> hc").select(F.col("id").alias("a"),
-                                                                     F.col("hub").alias("b")))
-        fresh = scratch.cut(fresh.join(tried, ["a", "b"], "left_anti"), "tried")
-        tried = scratch.cut(tried.unionByName(fresh), "tried")
-        more = confirm(fresh)
+        links, comp, tried = _join_hubs(crowded, links, comp, scratch.cut(tried.unionByName(fresh), "tried"),
+                                        confirm, scratch)
     comp = scratch.cut(comp, "comp")
 
     # classes, then components, back to every row; rows without shingles stand alone
