@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import Recent, in_parts, table, utf8
+from .common import Recent, in_parts, small_batches, table, utf8
 
 MAX_PAIRS = 1_000_000
 
@@ -179,6 +179,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text has no tokens; rows are taken one by one, so repeated
     rows and null ids keep theirs; an empty table gives an empty result.  Special
     tokens written out in a text become their ids, as the library has it."""
+    small_batches(docs)
     path = tokenizer or vocab.default_path("word_bpe_49k.json")
 
     def run(batches):

@@ -97,6 +97,16 @@ class Recent:
         return self.young
 
 
+def small_batches(df: DataFrame) -> None:
+    """Texts are long: unless the session has its own limits, Arrow batches hold at
+    most 1,000 rows and 8 MB, in the executors' native memory and in the workers'."""
+    conf = df.sparkSession.conf
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+                                ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+        if conf.get(key, default) == default:
+            conf.set(key, value)
+
+
 def in_parts(batches, size: int = 256):
     """Slices of record batches, so that long texts don't pile up in memory."""
     for b in batches:

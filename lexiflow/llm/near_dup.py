@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import mix64, table, utf8, window_hashes, word_hashes, words_of
+from .common import in_parts, mix64, small_batches, table, utf8, window_hashes, word_hashes, words_of
 from .components import connected_components
 
 UNIT = 4            # bytes of one sketch value
@@ -62,7 +62,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees
 
     def run(batches):
         mul, xor = _permutations(width)
-        for b in batches:
+        for b in in_parts(batches):
             n, cls, sketch, keys = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, shingle)
@@ -89,7 +89,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees
 
 def _set_table(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             sets = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))],
                                              names=["id", "hs"])
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id keep their class's smallest id as component, or null when the
     class has none (then kept).  Repeated rows are returned as often as they
     come.  Other columns are not read."""
+    small_batches(docs)
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sig = scratch.cut(_signatures(docs, "id", "text", shingle, trees, depth, min_depth), "sig")

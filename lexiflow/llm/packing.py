@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from . import vocab
-from .common import table, utf8
+from .common import in_parts, small_batches, table, utf8
 
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)").split
 _RUNS = re.compile(r"\s\s|\A\s|\s\Z").search
 
@@ -88,7 +88,7 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, window: int, path: str,
         model = byte_bpe(path)
         part = TaskContext.get().partitionId()
         used = np.zeros(window + 1, np.int64)
-        for b in batches:
+        for b in in_parts(batches):
             row, start, length, crc, total, local, ids = [], [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 blob = memoryview(model.ids(text.decode("utf-8", "replace")) + b"\0\0\0\0")
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, win
     repeated or null ids are each packed; an empty table packs to nothing.
     Other columns are not read.  Sequences are filled to ``window`` or to a power
     of two where the remaining lengths allow it."""
+    small_batches(docs)
     path = tokenizer or vocab.default_path("byte_bpe_50k.json")
     scratch = Scratch(docs.sparkSession)
     pieces = scratch.cut(_pieces(docs, id_col, text_col, window, path, with_ids), "pieces")

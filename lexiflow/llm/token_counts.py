@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import Recent, in_parts, table, utf8
+from .common import Recent, in_parts, small_batches, table, utf8
 
 MARK = "▁"
 MICRO = 1_000_000
@@ -109,6 +109,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null, empty or blank text has no words and no tokens; repeated rows and
     null ids keep their rows; an empty table gives an empty result.  Characters
     outside the vocabulary count as their UTF-8 bytes."""
+    small_batches(docs)
     path = vocabulary or vocab.default_path("piece_bpe_32k.model")
 
     def run(batches):

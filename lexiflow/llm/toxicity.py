@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import LOWER, UPPER, crc_of_id, table, utf8, words_of
+from .common import LOWER, UPPER, crc_of_id, small_batches, table, utf8, words_of
 from .quality import let, words
 
 FOLDS, HELD_OUT, FIT, CALIBRATE = 3, 1, 0, 2
@@ -191,6 +191,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     ``2 * per_class`` for the calibration; ``z`` is the discount in standard errors, ``least``
     the fewest documents an expression must be in.  Without toxic rows the model
     scores 0 everywhere."""
+    small_batches(docs)
     scratch = Scratch(docs.sparkSession)
     fit = scratch.cut(_one_per_group(scratch.cut(
         _labelled(docs, labels, id_col, text_col, FIT, per_class), "sample")), "fit")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 
 def byte_symbols() -> dict[int, str]:
@@ -14,7 +13,6 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=8)
 def load(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
