@@ -107,3 +107,15 @@ def drop_listed(df: DataFrame, id_col: str, tokens_col: str, stop: DataFrame) ->
     """J1 for lists too large for an expression: (id, token) rows not in ``stop``."""
     return (df.select(id_col, F.explode_outer(tokens_col).alias("token"))
             .where(F.col("token").isNotNull()).join(stop, "token", "left_anti"))
+
+
+def count_unlisted(df: DataFrame, id_col: str, tokens_col: str, stop: DataFrame, out: str) -> DataFrame:
+    """J1 counted: for every input row the number of its tokens that are not in
+    ``stop`` (0 when all are, or there are none; repeated ids keep their rows)."""
+    tokens = F.concat(F.coalesce(F.col(tokens_col), F.array().cast("array<string>")),
+                      F.array(F.lit(None).cast("string")))       # the null keeps rows without tokens
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), id_col, tokens.alias("_toks"))
+    each = (rows.select("_row", id_col, F.explode("_toks").alias("token"))
+            .join(stop.select("token", F.lit(True).alias("_listed")).distinct(), "token", "left"))
+    return (each.groupBy("_row", id_col)
+            .agg(F.count(F.when(F.col("token").isNotNull() & F.col("_listed").isNull(), 1)).alias(out)).drop("_row"))

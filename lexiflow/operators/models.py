@@ -9,6 +9,7 @@ search.
 
 from __future__ import annotations
 
+import itertools
 import random
 
 from pyspark.ml import Pipeline
@@ -24,11 +25,17 @@ from pyspark.sql import functions as F
 from . import metrics as M
 from .sampling import stratified_folds
 
-MAX_DEPTH = 30   # MLlib's limit; deeper or unlimited trees are clamped
+MAX_DEPTH = 30   # MLlib's limit, and what "no limit given" means here
 
 
-def clamp_depth(depth) -> int:
-    return MAX_DEPTH if depth is None else max(0, min(int(depth), MAX_DEPTH))
+def tree_depth(depth) -> int:
+    """The depth asked for; ``None`` is MLlib's largest.  A deeper tree is refused
+    rather than cut without notice."""
+    if depth is None:
+        return MAX_DEPTH
+    if not 0 <= int(depth) <= MAX_DEPTH:
+        raise ValueError(f"tree depth {depth} is outside of 0..{MAX_DEPTH}")
+    return int(depth)
 
 
 # ------------------------------------------------------------------ estimators
@@ -48,7 +55,7 @@ def random_forest(n_trees: int = 100, max_depth=None, min_leaf: int = 1, seed: i
                   label: str = "label") -> RandomForestClassifier:
     """M5: entropy forest."""
     return RandomForestClassifier(featuresCol=features, labelCol=label, impurity="entropy",
-                                  numTrees=n_trees, maxDepth=clamp_depth(max_depth),
+                                  numTrees=n_trees, maxDepth=tree_depth(max_depth),
                                   minInstancesPerNode=min_leaf, featureSubsetStrategy=subset,
                                   bootstrap=True, seed=seed)
 
@@ -57,20 +64,20 @@ def random_forest_regressor(n_trees: int = 100, max_depth=None, seed: int = 0,
                             features: str = "features", label: str = "label") -> RandomForestRegressor:
     """M6."""
     return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=n_trees,
-                                 maxDepth=clamp_depth(max_depth), seed=seed)
+                                 maxDepth=tree_depth(max_depth), seed=seed)
 
 
 def decision_tree(max_depth=None, features: str = "features",
                   label: str = "label") -> DecisionTreeClassifier:
     """M8: entropy tree."""
     return DecisionTreeClassifier(featuresCol=features, labelCol=label, impurity="entropy",
-                                  maxDepth=clamp_depth(max_depth))
+                                  maxDepth=tree_depth(max_depth))
 
 
 def gbt(target: str, max_depth: int = 6, step: float = 0.1, max_iter: int = 100,
         min_gain: float = 0.0, features: str = "features") -> GBTRegressor:
     """M9: squared-error boosted trees for one target."""
-    return GBTRegressor(featuresCol=features, labelCol=target, maxDepth=clamp_depth(max_depth),
+    return GBTRegressor(featuresCol=features, labelCol=target, maxDepth=tree_depth(max_depth),
                         stepSize=step, maxIter=max_iter, minInfoGain=min_gain,
                         predictionCol=f"pred_{target}")
 
@@ -166,12 +173,12 @@ def grid_search(df: DataFrame, estimator, grid: dict, evaluator, folds: int = 3,
 
 def random_search(df: DataFrame, estimator, space: dict, evaluator, n_iter: int = 10,
                   folds: int = 3, seed: int = 42, parallelism: int = 2):
-    """Seeded draws from the parameter lists, then the same cross-validation."""
-    rng = random.Random(seed)
+    """Seeded draws without repeats from the parameter lists (all of them when
+    there are no more than ``n_iter``), then the same cross-validation."""
     names = sorted(space)
-    maps = []
-    for _ in range(n_iter):
-        maps.append({getattr(estimator, p): rng.choice(space[p]) for p in names})
+    every = list(itertools.product(*(space[p] for p in names)))
+    drawn = random.Random(seed).sample(every, min(n_iter, len(every)))
+    maps = [{getattr(estimator, p): v for p, v in zip(names, values)} for values in drawn]
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator,
                         numFolds=folds, seed=seed, parallelism=parallelism)
     m = cv.fit(df)

@@ -3,10 +3,9 @@
 Model (all long tables, never a map column):
 
 * ``priors``  (target, label, label_rank, n_docs, n_tokens, log_prior, base)
-* ``weights`` (token, tl, delta): for every stored (target, label, token) pair the
-  difference between its log-probability and the label's baseline
-  ``base = ln(alpha / den)``; plus one row per vocabulary token with
-  ``tl = '__known__'`` and ``delta = 1`` that counts in-vocabulary tokens.
+* ``weights`` (token, ws): one row per vocabulary token with an array, by label
+  position, of the difference between the token's log-probability and the label's
+  baseline ``base = ln(alpha / den)`` (0 where the label lacks the token).
 
 Scoring uses the sparse form (R1)::
 
@@ -19,9 +18,9 @@ default (document count, as the original model does) or ``n_tokens(l) + alpha *
 Physical plan of fit: explode tokens (no shuffle) -> unpivot targets in the
 same row pipeline -> one hash aggregation on (target, label, token) with
 map-side partial aggregation, so a token present in a third of all documents
-costs one partial row per task.  Predict: explode -> tf per (doc, token) ->
-join to ``weights`` on token (broadcast only under a row bound, else shuffle
-join with AQE skew splitting) -> one aggregation per document.
+costs one partial row per task.  Predict: number the rows -> explode -> join to
+``weights`` on token (broadcast only under a row bound, else tf per (row, token)
+and a shuffle join with AQE skew splitting) -> one aggregation per row.
 """
 
 from __future__ import annotations
@@ -37,7 +36,6 @@ from ..session import cut_lineage
 from .joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
 from .ranking import top_k_per_group
 
-KNOWN = "__known__"
 MAX_LABELS = 100_000
 
 
@@ -64,9 +62,6 @@ class NBModel:
     weight_rows: int | None = None
     counts: DataFrame | None = None
 
-    def label_key(self, target, label):
-        return f"{target}|{label}"
-
 
 def _label_rank_table(priors_rows):
     """Order labels per target: numerically when every label is a number, else as text."""
@@ -139,7 +134,7 @@ def fit(df: DataFrame, id_col: str, tokens_col: str, targets: list[Target], ngra
     if len(rows) > MAX_LABELS:
         raise ValueError("too many labels for a Naive Bayes target")
     V = next(r["n_pairs"] for r in collected if r["target"] is None)
-    weight_rows = sum(r["n_pairs"] for r in rows) + V
+    weight_rows = V
     alphas = {t.name: float(t.alpha) for t in targets}
     totals = {}
     for r in rows:
@@ -174,23 +169,23 @@ def fit(df: DataFrame, id_col: str, tokens_col: str, targets: list[Target], ngra
              .withColumn("delta", F.when(F.col("_dropped"),
                                          F.ln(missing[F.col("target")]) - F.ln(F.col("alpha")))
                          .otherwise(F.col("delta"))))
-    weights = (w.select("token", F.concat_ws("|", "target", "label").alias("tl"), "delta")
-               .unionByName(vocab.select("token", F.lit(KNOWN).alias("tl"),
-                                         F.lit(1.0).alias("delta"))))
     labels = sorted(((p[0], p[1], p[2], p[5], p[6]) for p in prior_rows),
                     key=lambda x: (x[0], x[2]))
+    # one row per token: its weights by label position, 0 where the label lacks it
+    place = spark.createDataFrame([(t, lab, i) for i, (t, lab, *_r) in enumerate(labels)],
+                                  "target string, label string, place int")
+    by_token = (w.join(place, ["target", "label"]).groupBy("token")
+                .agg(F.map_from_entries(F.collect_list(F.struct("place", "delta"))).alias("m")))
+    weights = by_token.select("token", F.transform(
+        F.sequence(F.lit(0), F.lit(max(0, len(labels) - 1))),
+        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("ws"))
+    if materialize:
+        weights = cut_lineage(weights, "nb-weights")
     return NBModel(priors=priors, weights=weights, labels=labels,
                    targets=[t.name for t in targets], ngram=ngram, counts=counts,
                    weight_rows=weight_rows)
 
 
-def term_frequencies(df: DataFrame, id_col: str, tokens_col: str, ngram: int = 1,
-                     carry=()) -> DataFrame:
-    """Tf per (id, token), pre-aggregated so repeated tokens join once."""
-    return (doc_terms(df, id_col, tokens_col, ngram, carry)
-            .groupBy(id_col, *carry, "token").agg(F.count(F.lit(1)).alias("tf")))
-
-
 def _weights_for_join(model: NBModel, max_rows: int):
     """(weights, broadcast?) -- broadcast only under a proven row bound."""
     if model.weight_rows is None:
@@ -201,30 +196,38 @@ def _weights_for_join(model: NBModel, max_rows: int):
 
 def score_wide(model: NBModel, df: DataFrame, id_col: str, tokens_col: str,
                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, carry=()) -> DataFrame:
-    """One row per document, one score column per (target, label).
+    """One row per input row (also when ids repeat), one score column per
+    (target, label).
 
-    Broadcast model: every token occurrence probes the hash table in the
+    Broadcast model: every token occurrence probes one weight row in the
     scan's pipeline and the per-document sum combines map-side (a document
     lives in one task), so the only shuffle carries one row per document.
-    Shuffle model: occurrences are first folded to tf per (doc, token) so the
-    join on token moves each distinct pair once.
+    Shuffle model: the rows are stored with their number, and occurrences are
+    folded to tf per (row, token) so the join on token moves each distinct pair once.
 
     ``carry`` names per-document columns (e.g. the true label) that ride
     along as extra grouping keys, so no join back to the documents is needed."""
     carry = list(carry)
     weights, small = _weights_for_join(model, max_broadcast_rows)
+    toks = F.col(tokens_col) if model.ngram == 1 else ngram_expr(F.col(tokens_col), model.ngram)
+    toks = F.coalesce(toks, F.array().cast("array<string>"))
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), id_col, *carry, toks.alias("_toks"))
+    keys = ["_row", id_col, *carry]
     if small:
-        tf = doc_terms(df, id_col, tokens_col, model.ngram, carry).withColumn("tf", F.lit(1))
+        # the null token keeps rows without any known token (their scores are the priors)
+        each = rows.select(*keys, F.explode(F.concat("_toks", F.array(F.lit(None).cast("string"))))
+                           .alias("token"), F.lit(1).alias("tf"))
+        contrib = each.join(weights, "token", "left").select(*keys, "tf", "ws")
     else:
-        tf = term_frequencies(df, id_col, tokens_col, model.ngram, carry)
-    contrib = tf.join(weights, "token").select(
-        id_col, *carry, "tl", (F.col("tf") * F.col("delta")).alias("c"))
-    # Documents without any known token still get a row (their scores are the priors).
-    zero = df.select(id_col, *carry, F.lit(KNOWN).alias("tl"), F.lit(0.0).alias("c"))
-    allc = contrib.unionByName(zero)
-    keys = [KNOWN] + [model.label_key(t, l) for t, l, *_ in model.labels]
-    sums = allc.groupBy(id_col, *carry).agg(*[
-        F.sum(F.when(F.col("tl") == k, F.col("c"))).alias(f"_s{i}") for i, k in enumerate(keys)])
+        rows = cut_lineage(rows, "nb-rows")
+        tf = (rows.select(*keys, F.explode("_toks").alias("token")).where(F.col("token").isNotNull())
+              .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf")))
+        contrib = (tf.join(weights, "token").select(*keys, "tf", "ws")
+                   .unionByName(rows.select(*keys, F.lit(1).cast("bigint").alias("tf"),
+                                            F.lit(None).cast("array<double>").alias("ws"))))
+    sums = contrib.groupBy(*keys).agg(
+        F.sum(F.when(F.col("ws").isNotNull(), F.col("tf"))).alias("_s0"),
+        *[F.sum(F.col("tf") * F.get("ws", F.lit(i - 1))).alias(f"_s{i}") for i in range(1, len(model.labels) + 1)])
     out = [F.col(id_col), *carry]
     n_known = F.coalesce(F.col("_s0"), F.lit(0.0))
     for i, (t, l, r, lp, base) in enumerate(model.labels, start=1):

@@ -1,24 +1,18 @@
-"""Exact k-nearest neighbours as a pruned, blocked equi-join.
-
-No cross join and no all-pairs group:
-
-1. Pivots: ``m`` training points with the smallest keyed hash (a bounded
-   ``orderBy().limit(m)``, collected: m x d numbers).
-2. Every training point gets its nearest pivot (``cell``) and the distance to
-   it (``dp``) — an Arrow-batched numpy UDF, one pass.
-3. Cell statistics (count, radius = max dp) per (group, cell): one row per
-   cell, collected under a bound.
-4. Per query (numpy UDF): distances to all pivots; an upper bound ``U`` on
-   its k-th neighbour distance (cells sorted by D + radius until k points are
-   covered); candidate cells are those with ``D - radius <= U`` (triangle
-   inequality), so every true neighbour lies in a candidate cell.
-5. A cell is split into blocks of at most ``block_rows`` training points;
-   query rows are replicated to the blocks of their candidate cells and the
-   two sides meet in an equi-join on (group, cell, block).  Points failing
-   ``|D_c - dp| <= U`` are skipped before the exact distance is computed.
-6. Top-k per (query, cell, block) inside the join partition (the window keys
-   contain the join keys, so no extra shuffle), then top-k per query over at
-   most k x blocks rows.
+"""Exact k-nearest neighbours by block products.
+
+In many dimensions no bound on distances prunes anything, so the work is every
+query against every training row of its group; what matters is the shape of it:
+
+1. Training rows and query rows fall into blocks of bounded size by the hash of
+   their id, inside their group; a group gets as many blocks as its size asks for.
+2. Every query block meets every training block of its group in an equi-join on
+   (group, training block): one row per pair of blocks, not per pair of rows.
+   The pairs of a hot group spread over all tasks.
+3. A pair of blocks is one matrix product in an Arrow batch (``|q|^2 - 2 q.t +
+   |t|^2``), cut to the block's k best before anything leaves the task; the
+   kept candidates get their distance from the coordinates' differences.
+4. The k best of a query over its blocks: at most k rows per training block,
+   ranked in salted sub-groups first.
 
 Distances are squared Euclidean in double precision, rounded to 9 decimals;
 order is (d2, train id), so ties are deterministic.
@@ -26,148 +20,86 @@ order is (d2, train id), so ties are deterministic.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.hashing import keyed_hash
-from .joins import DEFAULT_BROADCAST_ROWS
+from .ranking import top_k_per_group
 
-MAX_CELL_ROWS = 1_000_000
-MIN_PIVOTS = 32
-MAX_PIVOTS = 4096
-SLACK = 1e-7
+TRAIN_BLOCK, QUERY_BLOCK = 2048, 512
+SLACK = 1e-6
 
 
-def _stack(s: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in s.values]) if len(s) else \
-        np.zeros((0, 0))
+def _blocks(df: DataFrame, group: str, rows_per_block: int, id_name: str, vec: str, out: str) -> DataFrame:
+    """(group, block, ids, vectors): at most about ``rows_per_block`` rows each."""
+    sizes = df.groupBy(F.col(group).alias("_s")).agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_block)).alias(f"{out}_n"))
+    keyed = df.join(sizes, F.col(group).eqNullSafe(F.col("_s")))       # a null group is a group too
+    return (keyed.withColumn(f"{out}_b", F.pmod(F.xxhash64(id_name), F.col(f"{out}_n")))
+            .groupBy(group, f"{out}_b", f"{out}_n")
+            .agg(F.collect_list(F.struct(id_name, vec)).alias(out)))
 
 
-def _sq_dist(a: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Squared distances between rows of a (n x d) and p (m x d)."""
-    d = ((a[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)
-    return np.maximum(d, 0.0)
+def _matrix(column) -> tuple[list, np.ndarray]:
+    rows = column.as_py()
+    return [next(iter(r.values())) for r in rows], np.array([list(r.values())[1] for r in rows], dtype=np.float64)
 
 
-def squared_distance(a, b):
-    """JVM-side squared Euclidean distance of two array columns."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double"))
-                                  * (x.cast("double") - y.cast("double"))),
-                       F.lit(0.0), lambda acc, z: acc + z)
+def _block_top(q: np.ndarray, t: np.ndarray, k: int) -> np.ndarray:
+    """For each query the mask of training rows that can be among its k nearest."""
+    near = (q * q).sum(axis=1)[:, None] - 2 * (q @ t.T) + (t * t).sum(axis=1)[None, :]
+    if near.shape[1] <= k:
+        return np.ones(near.shape, bool)
+    edge = np.partition(near, k - 1, axis=1)[:, k - 1:k]
+    scale = 1 + np.abs(near).max()
+    return near <= edge + SLACK * scale
 
 
 def knn(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
         qid_col: str = "qid", group_col: str | None = None, exclude_self: bool = False,
-        n_pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
+        train_block: int = TRAIN_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, rank, id, d2): the k nearest training rows of every query row.
 
     ``group_col`` restricts neighbours to the query's own group (SMOTE's
-    within-class search); ``exclude_self`` drops the pair qid == id.
-    ``n_pivots`` defaults to ~sqrt(n_train / 4) clamped to [32, 4096], so cells
-    stay small (tight pruning) as the training set grows."""
-    spark = train.sparkSession
-    if n_pivots is None:
-        n_train = train.count()
-        n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, math.sqrt(n_train / 4.0))))
-    g = [group_col] if group_col else []
-    tr = train.select(F.col(id_col).alias("_tid"), F.col(vec_col).alias("_tv"),
-                      *[F.col(c) for c in g])
-    qs = queries.select(F.col(qid_col).alias("_qid"), F.col(vec_col).alias("_qv"),
-                        *[F.col(c) for c in g])
-
-    piv_rows = (tr.select("_tid", "_tv").orderBy(keyed_hash(F.col("_tid"), "pivot"), "_tid")
-                .limit(n_pivots).collect())
-    if not piv_rows:
-        return spark.createDataFrame([], f"{qid_col} long, rank int, {id_col} long, d2 double")
-    pivots = np.stack([np.asarray(r["_tv"], dtype=np.float64) for r in piv_rows])
-    m = len(pivots)
-    bpiv = spark.sparkContext.broadcast(pivots)
-
-    @F.pandas_udf("cell int, dp double")
-    def nearest_pivot(v: pd.Series) -> pd.DataFrame:
-        a = _stack(v)
-        d = _sq_dist(a, bpiv.value)
-        c = d.argmin(axis=1)
-        return pd.DataFrame({"cell": c.astype(np.int32),
-                             "dp": np.sqrt(d[np.arange(len(c)), c])})
-
-    tr = tr.withColumn("_np", nearest_pivot("_tv")).select("*", "_np.cell", "_np.dp").drop("_np")
-    cell_stats = tr.groupBy(*g, "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("r"))
-    stats_rows = cell_stats.limit(MAX_CELL_ROWS + 1).collect()
-    if len(stats_rows) > MAX_CELL_ROWS:
-        raise ValueError("too many (group, cell) pairs")
-    # per group: arrays over cells (n, radius)
-    groups = {}
-    for r in stats_rows:
-        key = r[group_col] if group_col else None
-        gs = groups.setdefault(key, (np.zeros(m), np.zeros(m)))
-        gs[0][r["cell"]] = r["n"]
-        gs[1][r["cell"]] = r["r"]
-    need = k + (1 if exclude_self else 0)
-    bstats = spark.sparkContext.broadcast(groups)
-
-    @F.pandas_udf("cells array<int>, dq array<double>, nb array<int>, u double")
-    def candidates(v: pd.Series, grp: pd.Series) -> pd.DataFrame:
-        a = _stack(v)
-        d = np.sqrt(_sq_dist(a, bpiv.value)) if len(a) else np.zeros((0, m))
-        st = bstats.value
-        cells, dqs, nbs, us = [], [], [], []
-        for i in range(len(a)):
-            key = grp.iloc[i] if grp is not None else None
-            if key not in st:
-                cells.append([]); dqs.append([]); nbs.append([]); us.append(0.0)
-                continue
-            ns, rs = st[key]
-            ub = d[i] + rs
-            order = np.argsort(ub, kind="stable")
-            pos = int(np.searchsorted(np.cumsum(ns[order]), need))
-            # fewer than `need` points in the group: every non-empty cell qualifies
-            u = float(ub[order[pos]]) if pos < len(order) else float(ub[ns > 0].max())
-            u = u * (1 + SLACK) + SLACK
-            keep = np.nonzero((ns > 0) & (d[i] - rs <= u))[0]
-            cells.append(keep.astype(np.int32).tolist())
-            dqs.append(d[i][keep].tolist())
-            nbs.append(np.maximum(1, np.ceil(ns[keep] / block_rows)).astype(np.int32).tolist())
-            us.append(u)
-        return pd.DataFrame({"cells": cells, "dq": dqs, "nb": nbs, "u": us})
-
-    grp_col = F.col(group_col) if group_col else F.lit(None).cast("string")
-    qc = qs.withColumn("_c", candidates("_qv", grp_col)).select(
-        "_qid", "_qv", *g, F.col("_c.u").alias("_u"),
-        F.explode(F.transform(F.col("_c.cells"), lambda c, i: F.struct(
-            c.alias("cell"), F.col("_c.dq")[i].alias("dq"), F.col("_c.nb")[i].alias("nb"))))
-        .alias("_cd")).select("_qid", "_qv", *g, "_u", "_cd.cell", "_cd.dq", "_cd.nb")
-    # a query row is replicated to every block of each candidate cell
-    qb = qc.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
-    # blocks per (group, cell) for the training side: the cell table is proven
-    # small (<= MAX_CELL_ROWS rows, checked above), so it is broadcast
-    nb_tab = cell_stats.select(*g, "cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows))
-                               .cast("int").alias("_nb"))
-    tb = (tr.join(F.broadcast(nb_tab), [*g, "cell"])
-          .withColumn("block", F.pmod(F.xxhash64("_tid"), F.col("_nb")).cast("int")).drop("_nb"))
-
-    keys = [*g, "cell", "block"]
-    # The join multiplies rows (every query meets every point of its candidate
-    # blocks), so its input size says little about its work: both sides are
-    # hash-partitioned on the block key with a fixed partition count, which
-    # AQE does not coalesce, keeping the distance work spread over all tasks.
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    j = qb.repartition(n_parts, *keys).join(tb.repartition(n_parts, *keys), keys)
-    j = j.where(F.abs(F.col("dq") - F.col("dp")) <= F.col("_u"))
-    if exclude_self:
-        j = j.where(F.col("_qid") != F.col("_tid"))
-    j = j.withColumn("d2", F.round(squared_distance(F.col("_qv"), F.col("_tv")), 9))
-    w1 = Window.partitionBy(*keys, "_qid").orderBy("d2", "_tid")
-    local = j.select(*keys, "_qid", "_tid", "d2").withColumn(
-        "_r", F.row_number().over(w1)).where(F.col("_r") <= k)
-    w2 = Window.partitionBy("_qid").orderBy("d2", "_tid")
-    top = local.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
-    return top.select(F.col("_qid").alias(qid_col), "rank", F.col("_tid").alias(id_col), "d2")
+    within-class search); ``exclude_self`` drops the pair qid == id."""
+    idt, qidt = train.schema[id_col].dataType, queries.schema[qid_col].dataType
+    g = F.col(group_col) if group_col else F.lit(0)
+    vec = F.transform(vec_col, lambda x: x.cast("double"))
+    tr = train.select(g.alias("_g"), F.col(id_col).alias("_tid"), vec.alias("_tv"))
+    qs = queries.select(g.alias("_g"), F.col(qid_col).alias("_qid"), vec.alias("_qv"))
+    tb = _blocks(tr, "_g", train_block, "_tid", "_tv", "t")
+    qb = _blocks(qs, "_g", query_block, "_qid", "_qv", "q")
+    counts = tb.select(F.col("_g").alias("_c"), "t_n").distinct()
+    pairs = (qb.join(counts, F.col("_g").eqNullSafe(F.col("_c"))).select("_g", "q", "t_n")
+             .withColumn("t_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t_n") - 1))))
+    met = (pairs.join(tb.select(F.col("_g").alias("_h"), F.col("t_b").alias("_tb"), "t"),
+                      F.col("_g").eqNullSafe(F.col("_h")) & (F.col("t_b") == F.col("_tb")))
+           .select("q", "t"))
+    want = k + (1 if exclude_self else 0)
+    types = [to_arrow_type(qidt), to_arrow_type(idt), pa.float64()]
+
+    def products(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                qid, q = _matrix(b.column(0)[i])
+                tid, t = _matrix(b.column(1)[i])
+                a, c = np.nonzero(_block_top(q, t, want))
+                d = np.round(((q[a] - t[c]) ** 2).sum(axis=1), 9)
+                best: dict[int, list] = {}
+                for x, y, z in zip(a.tolist(), c.tolist(), d.tolist()):
+                    if not (exclude_self and qid[x] == tid[y]):
+                        best.setdefault(x, []).append((z, tid[y]))
+                rows = [(qid[x], tid_, z) for x, hits in best.items() for z, tid_ in sorted(hits)[:k]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[j] for r in rows], type=types[j]) for j in range(3)],
+                    names=["_qid", "_tid", "d2"])
+
+    hits = met.mapInArrow(products, f"_qid {qidt.simpleString()}, _tid {idt.simpleString()}, d2 double")
+    top = top_k_per_group(hits, ["_qid"], [F.col("d2"), F.col("_tid")], k, salt_buckets=8,
+                          salt_on=F.xxhash64("_tid"))
+    return top.select(F.col("_qid").alias(qid_col), F.col("rank"), F.col("_tid").alias(id_col), "d2")
 
 
 def vote(neighbors: DataFrame, train_labels: DataFrame, qid_col: str = "qid", id_col: str = "id",

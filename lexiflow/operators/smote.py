@@ -7,9 +7,11 @@ Synthetic row j (0 <= j < D_c) starts from the class's row number
 class (excluding itself), and lies at ``x + lam * (nn - x)`` with
 ``lam = h(id:j:l) / 2^32``.  A class of one row gets no synthetic rows.
 
-Work: one within-class kNN (pruned blocked join), one distributed rank
-inside each class, an ``explode(sequence)`` that replicates base rows by
-their share of the deficit, and one join to the chosen neighbour.
+Work: one within-class kNN of the base rows of classes with a deficit (the
+largest class takes no part), one distributed rank inside each class, a
+replication of base rows by their share of the deficit in two levels with an
+exchange between (a class of few rows against billions doesn't explode in one
+task), and one join to the chosen neighbour.
 """
 
 from __future__ import annotations
@@ -23,25 +25,29 @@ from .ranking import rank_within
 
 
 def synthesize(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
-               n_pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
+               chunk: int = 4096) -> DataFrame:
     """Synthetic rows only: (label, base_id, j, vec)."""
     base = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
                      F.col(label_col).alias("label"))
     sizes = base.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
     sizes = sizes.withColumn("deficit", F.max("n_c").over(Window.partitionBy()) - F.col("n_c"))
     ranked = rank_within(base, ["label"], [F.col("id")], "r")
-    rows = (ranked.join(F.broadcast(sizes), "label")   # one row per class
+    rows = (ranked.join(sizes, "label")
             .where((F.col("deficit") > 0) & (F.col("n_c") > 1) & (F.col("r") < F.col("deficit"))))
     cnt = F.floor((F.col("deficit") - 1 - F.col("r")) / F.col("n_c")) + 1
-    reps = rows.withColumn("i", F.explode(F.sequence(F.lit(0), cnt.cast("int") - 1)))
+    rows = rows.withColumn("cnt", cnt.cast("bigint"))
+    parts = rows.withColumn("part", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("cnt") - 1) / chunk)))).repartition("id", "part")
+    reps = parts.withColumn("i", F.explode(F.sequence(
+        F.col("part") * chunk, F.least(F.col("cnt"), (F.col("part") + 1) * chunk) - 1))).drop("part", "cnt")
     reps = reps.withColumn("j", (F.col("r") + F.col("i") * F.col("n_c")).cast("bigint"))
     kk = F.least(F.lit(k), F.col("n_c") - 1)
     reps = reps.withColumn("nn_rank", (F.pmod(keyed_hash(F.col("id"), F.col("j"), "n"), kk) + 1)
                            .cast("int"))
     reps = reps.withColumn("lam", unit_interval(F.col("id"), F.col("j"), "l"))
-    nb = knn(base, base.select(F.col("id").alias("qid"), "vec", "label"), k, id_col="id",
-             vec_col="vec", qid_col="qid", group_col="label", exclude_self=True,
-             n_pivots=n_pivots, block_rows=block_rows)
+    short = base.join(sizes.where(F.col("deficit") > 0).select("label"), "label", "left_semi")
+    nb = knn(short, rows.select(F.col("id").alias("qid"), "vec", "label"), k, id_col="id",
+             vec_col="vec", qid_col="qid", group_col="label", exclude_self=True)
     picked = reps.join(nb.select(F.col("qid").alias("id"), F.col("rank").alias("nn_rank"),
                                  F.col("id").alias("nn_id")), ["id", "nn_rank"])
     nn_vec = base.select(F.col("id").alias("nn_id"), F.col("vec").alias("nn_vec"))

@@ -343,12 +343,20 @@ def train_and_validate(spark: SparkSession, train_path: str, heldout_path: str,
             "accuracy": M.accuracy(p, target, "prediction")}
 
 
-def tune_forest(df: DataFrame, features: list, target: str, key: str, head_rows: int = 20000,
-                seed: int = 42) -> DataFrame:
+TUNE_SPACE = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20, 30], "minInstancesPerNode": [1, 2, 4]}
+TUNE_GRID = {"numTrees": [100, 200], "maxDepth": [10, 20], "minInstancesPerNode": [1, 2]}
+
+
+def tune_forest(df: DataFrame, features: list, target: str, key: str, head_rows: int | None = None,
+                seed: int = 42, space: dict | None = None, grid: dict | None = None, draws: int = 100,
+                folds: int = 3) -> DataFrame:
     """Baseline vs randomised vs grid-searched forest regressor, scored by
-    the MAPE-style score (A12) on a held-out part, with improvement in percent."""
+    the MAPE-style score (A12) on a held-out part, with improvement in percent.
+    All rows take part unless ``head_rows`` asks for the first by ``key``; the
+    search sizes are parameters (``draws`` is cut to the size of ``space``)."""
     spark = df.sparkSession
-    d = df.orderBy(key).limit(head_rows)
+    d = df if head_rows is None else df.orderBy(key).limit(head_rows)
+    space, grid = space or TUNE_SPACE, grid or TUNE_GRID
     d = VectorAssembler(inputCols=features, outputCol="features").transform(d)
     d = d.withColumn("is_test", in_test(key, seed, 20))
     train, test = d.where(~F.col("is_test")).cache(), d.where(F.col("is_test"))
@@ -361,12 +369,10 @@ def tune_forest(df: DataFrame, features: list, target: str, key: str, head_rows:
     base = ML.random_forest_regressor(n_trees=100, label=target)
     s0 = score(base.fit(train))
     _, _, best_r = ML.random_search(train, ML.random_forest_regressor(label=target),
-                                    {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20, 30],
-                                     "minInstancesPerNode": [1, 2, 4]}, ev, n_iter=10, folds=3)
+                                    space, ev, n_iter=draws, folds=folds)
     s1 = score(best_r)
     _, _, best_g = ML.grid_search(train, ML.random_forest_regressor(label=target),
-                                  {"numTrees": [100, 200], "maxDepth": [10, 20],
-                                   "minInstancesPerNode": [1, 2]}, ev, folds=3)
+                                  grid, ev, folds=folds)
     s2 = score(best_g)
     train.unpersist()
     rows = [("baseline", s0, 0.0), ("random", s1, 100.0 * (s1 - s0) / s0),

@@ -200,8 +200,8 @@ def sampling_experiment(spark, sf):
     sm = oversample(train_raw, "vec_id", "embedding", "label", k=5)
     variants["smote"] = sm.select(F.col("label").cast("double").alias("label"),
                                   array_to_vector("vec").alias("features"))
-    smallest = train_raw.groupBy("label").count().agg(F.min("count")).first()[0]
-    us = undersample(train_raw, "vec_id", "label", {i: smallest for i in range(10)})
+    sizes = {r["label"]: r["count"] for r in train_raw.groupBy("label").count().collect()}   # one row per class
+    us = undersample(train_raw, "vec_id", "label", {c: min(sizes.values()) for c in sizes})
     variants["undersample"] = vec(us)
     test = vec(test_raw)
     out = []

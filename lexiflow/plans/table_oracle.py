@@ -110,14 +110,14 @@ def corr_threshold():
 
 
 def cross_entropy():
-    return """WITH s AS (SELECT list_transform(embedding[1:10], lambda x: x::DOUBLE) AS s, label FROM embeddings),
+    return """WITH s AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS s, label FROM embeddings),
 m AS (SELECT s, label, list_max(s) AS mx FROM s)
 SELECT round(avg(mx + ln(list_sum(list_transform(s, lambda x: exp(x - mx)))) - s[label + 1]), 6)
          AS cross_entropy, count(*)::BIGINT AS n FROM m"""
 
 
 def argmax_accuracy():
-    return """SELECT round(avg(CASE WHEN list_position(embedding[1:10], list_max(embedding[1:10])) - 1 = label
+    return """SELECT round(avg(CASE WHEN list_position(embedding, list_max(embedding)) - 1 = label
                   THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*)::BIGINT AS n FROM embeddings"""
 
 

@@ -144,16 +144,15 @@ def corr_threshold(spark, sf):
 # ------------------------------------------------------------- embeddings scores
 
 def cross_entropy(spark, sf):
-    """The first ten embedding dimensions read as class scores."""
-    e = read_table(spark, sf, "embeddings").select(
-        F.slice("embedding", 1, 10).alias("s"), "label")
+    """The whole embedding read as class scores."""
+    e = read_table(spark, sf, "embeddings").select(F.col("embedding").alias("s"), "label")
     return M.cross_entropy(e, "s", "label").select(_r("cross_entropy").alias("cross_entropy"), "n")
 
 
 def argmax_accuracy(spark, sf):
     """T6 + A7: arg-max of those scores against the label."""
     e = read_table(spark, sf, "embeddings").select(
-        M.argmax_index(F.slice("embedding", 1, 10)).alias("pred"), "label")
+        M.argmax_index("embedding").alias("pred"), "label")
     return M.accuracy(e, "label", "pred").select(_r("accuracy").alias("accuracy"), "n")
 
 

@@ -197,10 +197,9 @@ def sequence_encode(spark, sf):
 
 
 def stop_anti_join(spark, sf):
-    """J1 as a join: (doc, token) pairs not in a stop table, counted per doc."""
+    """J1 as a join: tokens not in a stop table, counted for every document."""
     from ..functions.constants import ENGLISH_STOP_WORDS
     d = read_table(spark, sf, "documents").select(
         "doc_id", X.split_ws(X.strip_punct_digits("text")).alias("tokens"))
     stop = spark.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS], "token string")
-    kept = L.drop_listed(d, "doc_id", "tokens", F.broadcast(stop))
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    return L.count_unlisted(d, "doc_id", "tokens", F.broadcast(stop), "n_kept")

@@ -50,7 +50,8 @@ def test_drop_top_uses_missing_alpha(spark):
     df = spark.createDataFrame(DOCS, "id long, tokens array<string>, label string")
     m = nb.fit(df, "id", "tokens", [nb.Target("y", F.col("label"), 1e-3, missing_alpha=0.5)],
                drop=1)
-    w = {(r["tl"], r["token"]): r["delta"] for r in m.weights.collect()}
+    w = {(f"{t}|{lab}", r["token"]): r["ws"][i] for r in m.weights.collect()
+         for i, (t, lab, *_r) in enumerate(m.labels)}
     # top token of pos is 'good' (3); of neg the tie bad/sad goes to 'bad'
     assert abs(w[("y|pos", "good")] - (math.log(0.5) - math.log(1e-3))) < 1e-12
     assert abs(w[("y|neg", "bad")] - (math.log(0.5) - math.log(1e-3))) < 1e-12
@@ -75,3 +76,13 @@ def test_multi_target_one_pass(spark):
                                     nb.Target("n", count_bucket("n"), 1e-6, missing_alpha=1.0)])
     preds = {(r["id"], r["target"]): r["pred"] for r in nb.predict(m, df, "id", "tokens").collect()}
     assert preds == {(1, "c"): "x", (2, "c"): "y", (1, "n"): "0", (2, "n"): "5"}
+
+
+def test_every_input_row_is_scored_once(spark):
+    df, m = _model(spark)
+    rows = [(10, ["good"], "pos"), (10, ["good"], "pos"), (10, ["bad", "sad"], "neg"), (None, None, "neg"), (11, [], "pos")]
+    q = spark.createDataFrame(rows, "id long, tokens array<string>, label string")
+    for bound in (10 ** 6, 0):       # broadcast, shuffle
+        got = nb.predict(m, q, "id", "tokens", max_broadcast_rows=bound, carry=["label"]).collect()
+        assert sorted((r["id"] or -1, r["pred"]) for r in got) == [
+            (-1, "pos"), (10, "neg"), (10, "pos"), (10, "pos"), (11, "pos")]

@@ -34,7 +34,7 @@ def test_knn_exact_with_small_blocks(spark):
     train = df.where(F.col("id") % 4 != 0)
     q = df.where(F.col("id") % 4 == 0).select(F.col("id").alias("qid"), "vec")
     got = {}
-    for r in knn(train, q, 5, n_pivots=8, block_rows=16).collect():
+    for r in knn(train, q, 5, train_block=16, query_block=7).collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
     exp = _brute(x, [i for i in range(300) if i % 4 == 0], [i for i in range(300) if i % 4], 5)
     assert {k: [t for _, t in sorted(v)] for k, v in got.items()} == exp
@@ -44,7 +44,7 @@ def test_knn_within_group_excluding_self(spark):
     x, df = _data(spark, n=200)
     q = df.select(F.col("id").alias("qid"), "vec", "g")
     got = {}
-    for r in knn(df, q, 3, group_col="g", exclude_self=True, n_pivots=5, block_rows=10).collect():
+    for r in knn(df, q, 3, group_col="g", exclude_self=True, train_block=10, query_block=9).collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
     exp = _brute(x, list(range(200)), list(range(200)), 3, same={i: i % 3 for i in range(200)},
                  exclude_self=True)
@@ -77,3 +77,18 @@ def test_smote_balances_and_stays_on_segments(spark):
                  for lam in [float(np.dot(v - base, x[j] - base) / max(np.dot(x[j] - base, x[j] - base), 1e-12))]
                  if 0 <= lam < 1)
         assert ok
+
+
+def test_smote_of_two_rows_against_many(spark):
+    df = spark.range(60_000).select("id", F.array(F.col("id") * 1.0, F.lit(0.5)).alias("vec"),
+                                    (F.col("id") < 2).cast("int").alias("label"))
+    syn = synthesize(df, "id", "vec", "label", chunk=256)
+    assert syn.count() == 59_996 and syn.select("base_id", "j").distinct().count() == 59_996
+
+
+def test_knn_with_every_query_at_one_point(spark):
+    train = spark.range(3000).select("id", F.array(F.col("id") % 7 * 1.0).alias("vec"))
+    q = spark.range(900).select(F.col("id").alias("qid"), F.array(F.lit(3.0)).alias("vec"))
+    got = knn(train, q, 4, train_block=256, query_block=64).collect()
+    assert len(got) == 3600 and {(r["rank"], r["id"], r["d2"]) for r in got} == {
+        (1, 3, 0.0), (2, 10, 0.0), (3, 17, 0.0), (4, 24, 0.0)}
