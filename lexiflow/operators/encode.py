@@ -29,23 +29,25 @@ def build_vocabulary(df: DataFrame, tokens_col: str, min_count: int = 1) -> Data
 
 def encode(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, max_len: int,
            max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """(id, input_ids, attention_mask, n_tokens): the whole token sequence is
-    mapped to ids, then cut to ``max_len`` and right-padded with PAD_ID."""
+    """(id, input_ids, attention_mask, n_tokens): the first ``max_len`` tokens as
+    ids, right-padded with PAD_ID; n_tokens counts the whole sequence.  One row
+    per input row: only the kept tokens are exploded, and a row's number, not its
+    id, brings them together again."""
     lex = checked_broadcast(vocab.select("token", F.col("id").alias("tid")), max_broadcast_rows)
-    pos = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token")).where(
-        F.col("token").isNotNull())
-    j = pos.join(lex, "token", "left")
-    g = j.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("tid", F.lit(UNK_ID)).alias("t"))))
+    toks = F.coalesce(F.col(tokens_col), F.array().cast("array<string>"))
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), id_col,
+                     F.size(F.filter(toks, lambda t: t.isNotNull())).alias("_n"),
+                     F.slice(F.filter(toks, lambda t: t.isNotNull()), 1, max_len).alias("_toks"))
+    # a last null token keeps rows without tokens; it meets no vocabulary row
+    pos = rows.select("_row", id_col, "_n", F.posexplode(
+        F.concat("_toks", F.array(F.lit(None).cast("string")))).alias("pos", "token"))
+    g = pos.join(lex, "token", "left").groupBy("_row", id_col, "_n").agg(F.sort_array(F.collect_list(
+        F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("tid", F.lit(UNK_ID)).alias("t")))))
         .alias("_pt"))
-    full = df.select(id_col).join(g, id_col, "left").select(
-        id_col, F.coalesce(F.transform("_pt", lambda x: x["t"]), F.array().cast("array<bigint>"))
-        .alias("_ids"))
-    n = F.size("_ids")
-    cut = F.slice("_ids", 1, max_len)
+    n, kept = F.col("_n"), F.transform("_pt", lambda x: x["t"])
     pad = F.greatest(F.lit(max_len) - n, F.lit(0))
-    ids = F.concat(cut, F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad))
+    ids = F.concat(kept, F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad))
     mask = F.concat(F.array_repeat(F.lit(1), F.least(n, F.lit(max_len))),
                     F.array_repeat(F.lit(0), pad))
-    return full.select(id_col, ids.alias("input_ids"), mask.alias("attention_mask"),
-                       n.cast("bigint").alias("n_tokens"))
+    return g.select(id_col, ids.alias("input_ids"), mask.alias("attention_mask"),
+                    n.cast("bigint").alias("n_tokens"))

@@ -125,10 +125,12 @@ def scale_array(col, stats: dict, kind: str = "minmax") -> Column:
 def tfidf_long(df: DataFrame, id_col: str, tokens_col: str,
                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """(id, token, tf, weight): raw counts, smoothed idf ln((1+n)/(1+df)) + 1,
-    rows L2-normalised.  The idf table (one row per token) is broadcast only
-    under a row bound."""
+    rows L2-normalised.  The text is tokenised once, into a stored (id, token, tf)
+    table; the idf table (one row per token) is broadcast only under a row bound."""
+    from ..session import cut_lineage
     tf = (df.select(id_col, F.explode_outer(tokens_col).alias("token")).where(F.col("token").isNotNull())
           .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
+    tf = cut_lineage(tf, "tf")
     n_docs = df.select(F.count(F.lit(1))).scalar()
     idf = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select(
         "token", (F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))

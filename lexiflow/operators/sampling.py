@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import in_test, keyed_hash
-from .ranking import rank_within
+from .ranking import rank_within, top_k_per_group
 
 
 def hash_split(df: DataFrame, key: str, seed: int = 0, test_pct: int = 20):
@@ -41,6 +41,7 @@ def undersample(df: DataFrame, key: str, label: str, targets: dict, seed: int =
     rest = df.where(~F.col(label).isin(*targets.keys()) | F.col(label).isNull())
     lim = F.create_map(*[x for c, n in targets.items() for x in (F.lit(c), F.lit(int(n)))])
     h = listed.withColumn("_h", keyed_hash(F.col(key), seed))
-    r = rank_within(h, [label], [F.col("_h"), F.col(key)], "_r")
-    kept = r.where(F.col("_r") < lim[F.col(label)]).drop("_h", "_r")
+    most = max((int(n) for n in targets.values()), default=0)
+    r = top_k_per_group(h, [label], [F.col("_h"), F.col(key)], most, "_r", salt_on=F.xxhash64(key))
+    kept = r.where(F.col("_r") <= lim[F.col(label)]).drop("_h", "_r")
     return kept.unionByName(rest)

@@ -90,11 +90,13 @@ def _conv_targets():
             nb.Target("turn", F.col("turn_bucket"), ALPHA_CUF, missing_alpha=ALPHA_S)]
 
 
-def _conv_predict(spark, sf, drop=0, ngram=1):
+def _conv_predict(spark, sf, drop=0, ngram=1, key=None):
     d = _conv_docs(spark, sf)
     model = nb.fit(d.where(~F.col("is_test")), "key", "tokens", _conv_targets(),
                    drop=drop, ngram=ngram)
     test = d.where(F.col("is_test"))
+    if key is not None:
+        test = test.withColumn("key", key)
     pred = nb.predict(model, test, "key", "tokens", carry=["role", "turn_bucket"])
     truth = F.when(F.col("target") == "role", F.col("role")).otherwise(
         F.col("turn_bucket").cast("string"))
@@ -106,6 +108,12 @@ def nb_multi_predict(spark, sf):
     return _conv_predict(spark, sf)
 
 
+def nb_duplicate_keys(spark, sf):
+    """M3 where rows share their key (the conversation, without the turn): every
+    turn keeps its own prediction."""
+    return _conv_predict(spark, sf, key=F.split_part("key", F.lit(":"), F.lit(1)))
+
+
 def nb_drop_top(spark, sf):
     """The 3 most frequent tokens of every label lose their counts."""
     return _conv_predict(spark, sf, drop=3)

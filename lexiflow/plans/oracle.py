@@ -155,6 +155,10 @@ def nb_multi_predict():
     return _conv_pred_sql()
 
 
+def nb_duplicate_keys():
+    return f"""SELECT split_part(key, ':', 1) AS key, target, truth, pred FROM ({_conv_pred_sql()}) p"""
+
+
 def nb_drop_top():
     return _conv_pred_sql(drop=3)
 

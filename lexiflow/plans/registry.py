@@ -14,7 +14,7 @@ from . import table_queries as RQ
 # (spark module, sql module, names)
 GROUPS = [
     (B, O, ["nb_lang_report", "nb_lang_predict", "nb_lang_scores", "nb_lang_model",
-            "nb_multi_predict", "nb_drop_top", "nb_bigram_predict", "token_counts", "log_priors",
+            "nb_multi_predict", "nb_duplicate_keys", "nb_drop_top", "nb_bigram_predict", "token_counts", "log_priors",
             "nb_top_tokens"]),
     (TQ, TO, ["clean_text_basic", "clean_text_symbols", "normalize_tokens", "dedupe_clean",
               "dropna_fill", "canonical_category", "ngrams", "vocabulary", "bucket_counts",
