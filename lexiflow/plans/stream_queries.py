@@ -11,10 +11,16 @@ from ..streaming.incremental_nb import read_counts, scratch_folder, stream_count
 from . import bindings as B
 
 
+ARRIVALS = 4      # files a one-file table arrives in, so that several batches merge
+
+
 def _stream(spark, sf):
-    path = f"{sf}/conversations*.parquet"
-    schema = spark.read.parquet(f"{sf}/conversations.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    n_files, path = len(table.inputFiles()), f"{sf}/conversations.parquet"
+    if n_files < ARRIVALS:
+        path, n_files = scratch_folder(spark, "arrivals"), ARRIVALS
+        table.repartition(ARRIVALS, "conv_id").write.parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", n_files // ARRIVALS).parquet(path)
 
 
 def _prepare(batch):
