@@ -46,6 +46,9 @@ class _Alias:
 STREAM_SQL = _Alias({"nb_incremental": O.token_counts, "nb_stream_predict": O.nb_multi_predict})
 GROUPS.append((SQ, STREAM_SQL, ["nb_incremental", "nb_stream_predict"]))
 
+from . import closed_form_queries as CF
+GROUPS.append((CF, _Alias(CF.SQL), list(CF.SQL)))
+
 # (module, name) pairs checked by row counts and invariants only
 NO_ORACLE: list = [(MQ, n) for n in [
     "pca_explained", "pca_project", "lr_fit_score", "lr_tfidf", "rf_importance", "rf_regress",
