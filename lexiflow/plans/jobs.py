@@ -8,8 +8,11 @@ part and reused on held-out data.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
+from pyspark.ml.classification import (DecisionTreeClassificationModel, LogisticRegressionModel,
+                                       RandomForestClassificationModel)
 from pyspark.ml.feature import (ElementwiseProduct, HashingTF, IDF, Normalizer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -28,6 +31,7 @@ from ..operators.neighbors import knn, vote
 from ..operators.sampling import undersample
 from ..operators.smote import oversample
 from ..operators.stats import corr_with_target, cov_with_target, top_n
+from ..session import cut_lineage
 from ..schemas import FEATURE_SETS, FLOW_CLASS_ALIASES, FLOW_FEATURES, REVIEW
 from ..sources.readers import (decode_with_defaults, encode_sorted_json, read_flows, read_reviews,
                                tail, write_json)
@@ -212,12 +216,26 @@ CATEGORICAL = ["srcip", "sport", "dstip", "dsport", "proto", "state", "service",
 
 @dataclass
 class FlowPrep:
-    """Fitted preprocessing (M16): factor codes, scaler statistics, family."""
+    """Fitted preprocessing (M16): factor codes, scaler statistics, family.
+    ``scaler`` is minmax, standard or none."""
     family: str
     features: list
     codes: DataFrame
     stats: dict = field(default_factory=dict)
     order_cols: list = field(default_factory=list)
+    scaler: str = "none"
+
+    def save(self, path: str) -> None:
+        """Codes as a Parquet table, the rest as one JSON row."""
+        self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        meta = json.dumps([self.family, self.features, self.stats, self.order_cols, self.scaler])
+        self.codes.sparkSession.createDataFrame([(meta,)], "meta string").coalesce(1) \
+            .write.mode("overwrite").json(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "FlowPrep":
+        family, features, stats, order_cols, scaler = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
+        return cls(family, features, spark.read.parquet(f"{path}/codes"), stats, order_cols, scaler)
 
     def transform(self, df: DataFrame) -> DataFrame:
         cats = [c for c in CATEGORICAL if c in df.columns]
@@ -229,24 +247,29 @@ class FlowPrep:
         num = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in self.features]
         out = out.select(*num, F.col("attack_cat").cast("double").alias("attack_cat"),
                          F.col("Label").cast("double").alias("Label"), *self.order_cols)
-        if self.family == "lr":
+        if self.scaler == "minmax":
             out = out.select(*[minmax_expr(c, self.stats[c]["min"], self.stats[c]["max"]).alias(c)
                                for c in self.features], "attack_cat", "Label", *self.order_cols)
-        elif self.family == "knn":
+        elif self.scaler == "standard":
             out = out.select(*[standard_expr(c, self.stats[c]["mean"], self.stats[c]["std"]).alias(c)
                                for c in self.features], "attack_cat", "Label", *self.order_cols)
         return VectorAssembler(inputCols=self.features, outputCol="features").transform(out)
 
 
-def fit_flow_prep(train: DataFrame, family: str, order_cols: list) -> FlowPrep:
+SCALERS = {"lr": "minmax", "knn": "standard", "rf": "none", "tree": "none"}
+
+
+def fit_flow_prep(train: DataFrame, family: str, order_cols: list, scaler: str | None = None) -> FlowPrep:
     """Feature set by family (lr: 15 min-max; knn: 47 standardised;
-    rf: 17 raw), factor codes fitted on the training rows only (D7)."""
+    rf and tree: 17 raw), factor codes fitted on the training rows only (D7).
+    ``scaler`` overrides the family's."""
     feats = {"lr": FEATURE_SETS["feat15"], "knn": FLOW_FEATURES,
-             "rf": FEATURE_SETS["rf17"]}[family]
+             "rf": FEATURE_SETS["rf17"], "tree": FEATURE_SETS["rf17"]}[family]
+    scaler = scaler or SCALERS[family]
     cats = [c for c in CATEGORICAL if c in train.columns]
     codes = fit_factorize(train, cats, order_cols)
-    prep = FlowPrep(family, list(feats), codes, order_cols=list(order_cols))
-    if family in ("lr", "knn"):
+    prep = FlowPrep(family, list(feats), codes, order_cols=list(order_cols), scaler=scaler)
+    if scaler != "none":
         base = FlowPrep(family="raw", features=list(feats), codes=codes, order_cols=list(order_cols))
         prep.stats = fit_scaler(base.transform(train), list(feats))
     return prep
@@ -287,16 +310,17 @@ def forest_flows(df: DataFrame, target: str = "Label", order_cols=("row_id",), n
                  use_correlation: bool = True, folds: int = 0, seed: int = 21) -> dict:
     """Forest on the features most correlated (or co-varying) with the target."""
     key = order_cols[0]
-    prep = fit_flow_prep(df, "knn", list(order_cols))   # codes only; raw values below
-    coded = FlowPrep("raw", FLOW_FEATURES, prep.codes, order_cols=list(order_cols)).transform(df)
-    others = [c for c in FLOW_FEATURES]
-    score = corr_with_target(coded, others, target) if use_correlation else \
-        cov_with_target(coded, others, target)
+    held = in_test(key, seed, 20)
+    prep = fit_flow_prep(df.where(~held), "knn", list(order_cols), scaler="none")   # codes of the training rows
+    coded = prep.transform(df).withColumn("is_test", held)
+    others, seen = list(FLOW_FEATURES), coded.where(~F.col("is_test"))
+    score = corr_with_target(seen, others, target) if use_correlation else \
+        cov_with_target(seen, others, target)
     col = "corr" if use_correlation else "cov"
     chosen = [r["feature"] for r in top_n(score.where(F.col(col).isNotNull()), col, n_features)
               .collect()]
     va = VectorAssembler(inputCols=chosen, outputCol="feat_sel")
-    data = va.transform(coded).withColumn("is_test", in_test(key, seed, 20))
+    data = va.transform(coded)
     rf = ML.random_forest(n_trees=100, max_depth=None, features="feat_sel", label=target)
     m = rf.fit(data.where(~F.col("is_test")))
     p = m.transform(data.where(F.col("is_test")))
@@ -309,12 +333,12 @@ def forest_flows(df: DataFrame, target: str = "Label", order_cols=("row_id",), n
 
 def knn_flows(df: DataFrame, target: str = "attack_cat", order_cols=("row_id",), k: int = 5,
               pca_k: int = 10, seed: int = 0) -> dict:
-    """Standardise -> split 70/30 -> PCA(10) fitted on train -> exact kNN ->
+    """Min-max -> split 70/30 -> PCA(10) fitted on train -> exact kNN ->
     macro/micro precision and class report."""
     key = order_cols[0]
     d = df.withColumn("is_test", in_test(key, seed, 30))
     train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    prep = fit_flow_prep(train, "knn", list(order_cols))
+    prep = fit_flow_prep(train, "knn", list(order_cols), scaler="minmax")
     pca = ML.pca_pipeline(pca_k).fit(prep.transform(train))
     tr = pca.transform(prep.transform(train)).select(
         F.col(key).alias("id"), vector_to_array("pca").alias("vec"), F.col(target).alias("label"))
@@ -326,19 +350,90 @@ def knn_flows(df: DataFrame, target: str = "attack_cat", order_cols=("row_id",),
             "class_report": M.class_report(pred, "truth", "pred")}
 
 
+def with_row_digest(df: DataFrame) -> DataFrame:
+    """A key that depends on the record alone, not on the file layout."""
+    return df.withColumn("row_id", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+
+
+@dataclass
+class FlowModel:
+    """A fitted flow classifier with its preprocessing: an MLlib model, or for
+    ``knn`` the training vectors (id, vec, label)."""
+    prep: FlowPrep
+    target: str
+    model: object
+    k: int = 5
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """(row_id, target, prediction) of flow records."""
+        d = self.prep.transform(df)
+        if self.prep.family != "knn":
+            return self.model.transform(d).select("row_id", self.target, "prediction")
+        q = d.select(F.col("row_id").alias("qid"), vector_to_array("features").alias("vec"), self.target)
+        votes = vote(knn(self.model, q.select("qid", "vec").dropDuplicates(["qid"]), self.k),
+                     self.model.select("id", "label"))
+        return q.join(votes, "qid").select(F.col("qid").alias("row_id"), self.target,
+                                           F.col("pred").cast("double").alias("prediction"))
+
+    def save(self, path: str) -> None:
+        """Preprocessing and model below one folder."""
+        self.prep.save(f"{path}/prep")
+        if self.prep.family == "knn":
+            self.model.write.mode("overwrite").parquet(f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
+        spark = self.prep.codes.sparkSession
+        spark.createDataFrame([(self.target, self.k)], "target string, k int").coalesce(1) \
+            .write.mode("overwrite").json(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "FlowModel":
+        prep, about = FlowPrep.load(spark, f"{path}/prep"), spark.read.json(f"{path}/about").first()
+        if prep.family == "knn":
+            model = spark.read.parquet(f"{path}/model")
+        else:
+            model = {"lr": LogisticRegressionModel, "rf": RandomForestClassificationModel,
+                     "tree": DecisionTreeClassificationModel}[prep.family].load(f"{path}/model")
+        return cls(prep, about["target"], model, about["k"])
+
+
+def train_flow_model(df: DataFrame, family: str = "rf", target: str = "Label", k: int = 5, sample: str = "none",
+                     samples: int = 100_000) -> FlowModel:
+    """Fit the family's preprocessing and model on cleaned records with ``row_id``."""
+    prep = fit_flow_prep(df, family, ["row_id"])
+    t = prep.transform(df)
+    if sample != "none":
+        t = _balance(t, target, "row_id", sample, samples, prep.features)
+    if family == "knn":
+        # equal records keep a vote each: the stored row number tells them apart
+        ids = F.concat_ws(":", F.col("row_id") if "row_id" in t.columns else F.lit("new"),
+                          F.monotonically_increasing_id().cast("string"))
+        rows = t.select(ids.alias("id"), vector_to_array("features").alias("vec"), F.col(target).alias("label"))
+        return FlowModel(prep, target, cut_lineage(rows, "knn-train"), k)
+    if family == "lr":
+        est = ML.logistic_regression(t.count(), max_iter=1000, label=target)
+    elif family == "rf":
+        est = ML.random_forest(n_trees=10, max_depth=30, label=target)
+    else:
+        est = ML.decision_tree(max_depth=30, label=target)
+    return FlowModel(prep, target, est.fit(t), k)
+
+
+def validate_saved(spark: SparkSession, model_path: str, heldout_path: str) -> dict:
+    """Load a saved model and report on a held-out file."""
+    m = FlowModel.load(spark, model_path)
+    p = m.predict(with_row_digest(clean_flows(read_flows(spark, heldout_path))))
+    return {"class_report": M.class_report(p, m.target, "prediction"),
+            "accuracy": M.accuracy(p, m.target, "prediction")}
+
+
 def train_and_validate(spark: SparkSession, train_path: str, heldout_path: str, family: str = "rf",
-                       target: str = "Label") -> dict:
-    """Fit the family's preprocessing and model on the training file, then
-    score the held-out file with the same fitted pieces."""
-    tr = clean_flows(read_flows(spark, train_path)).withColumn("row_id", F.monotonically_increasing_id())
-    ho = clean_flows(read_flows(spark, heldout_path)).withColumn("row_id", F.monotonically_increasing_id())
-    prep = fit_flow_prep(tr, family, ["row_id"])
-    t = prep.transform(tr)
-    est = {"lr": ML.logistic_regression(t.count(), max_iter=1000, label=target),
-           "rf": ML.random_forest(n_trees=10, max_depth=30, label=target),
-           "tree": ML.decision_tree(max_depth=30, label=target)}[family]
-    m = est.fit(t)
-    p = m.transform(prep.transform(ho))
+                       target: str = "Label", sample: str = "none", samples: int = 100_000) -> dict:
+    """Fit the family's preprocessing and model (lr, rf, tree or knn) on the
+    training file, then score the held-out file with the same fitted pieces."""
+    tr = with_row_digest(clean_flows(read_flows(spark, train_path)))
+    ho = with_row_digest(clean_flows(read_flows(spark, heldout_path)))
+    p = train_flow_model(tr, family, target, sample=sample, samples=samples).predict(ho)
     return {"class_report": M.class_report(p, target, "prediction"),
             "accuracy": M.accuracy(p, target, "prediction")}
 

@@ -78,3 +78,17 @@ def test_flow_jobs(spark, tmp_dir):
     assert kn["precision"].first()["micro_precision"] > 0.5
     res = J.train_and_validate(spark, p, p, family="rf", target="Label")
     assert res["accuracy"].first()["accuracy"] > 0.9
+
+
+def test_saved_flow_models_score_alike(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "flows.csv")
+    _flows(p, n=120)
+    df = J.with_row_digest(J.clean_flows(read_flows(spark, p))).cache()
+    for family in ("lr", "tree", "knn"):
+        m = J.train_flow_model(df, family, "Label", k=3)
+        m.save(f"{tmp_dir}/{family}")
+        before = sorted(map(tuple, m.predict(df).collect()))
+        after = sorted(map(tuple, J.FlowModel.load(spark, f"{tmp_dir}/{family}").predict(df).collect()))
+        assert before == after and len(before) == 120
+        acc = J.validate_saved(spark, f"{tmp_dir}/{family}", p)["accuracy"].first()["accuracy"]
+        assert acc > 0.9
