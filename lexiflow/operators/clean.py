@@ -35,6 +35,12 @@ def canonicalize(col, mapping: dict, null_value=None) -> Column:
     return c
 
 
+def try_to(col, kind: str) -> Column:
+    """Cast of a trimmed dirty string; NULL where it isn't of the type."""
+    c = F.col(col) if isinstance(col, str) else col
+    return strip(c.cast("string")).try_cast(kind)
+
+
 def to_bool(col) -> Column:
     """Truthiness cast; NULL -> false, '0'/'false'/'' -> false."""
     c = F.col(col) if isinstance(col, str) else col

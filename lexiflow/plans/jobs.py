@@ -82,6 +82,8 @@ def naive_bayes_reviews(spark: SparkSession, path: str, alpha_s: float = 0.07,
         "confusion": M.confusion(stars, "raw", "pred_i"),
         "off_by": M.off_by_histogram(stars, "raw", "pred_i", max_k=4),
         "vote_mae": M.mean_abs_error_by(votes, "target", "raw", "pred_i"),
+        "vote_rmse": votes.groupBy("target").agg(F.sqrt(F.avg(F.pow(F.col("raw") - F.col("pred_i"), 2)))
+                                                 .alias("rmse"), F.count(F.lit(1)).alias("n")),
         "model": model,
     }
 
@@ -174,7 +176,7 @@ def newest_encoded(spark: SparkSession, path: str, vocab: DataFrame, out_path: s
     raw = spark.read.text(path).select(F.col("value").alias("json"))
     rec = raw.select(decode_with_defaults("json", REVIEW).alias("r")).select("r.*")
     rec = _review_key(rec)
-    newest = tail(rec, n, seq_col)
+    newest = tail(rec.withColumn("_tie", F.md5(F.to_json(F.struct(*rec.columns)))), n, seq_col, ["_tie"]).drop("_tie")
     toks = newest.select("_key", X.split_ws(F.lower("text")).alias("tokens"))
     enc = encode(toks, "_key", "tokens", vocab, max_len)
     out = newest.join(enc, "_key").select("stars", "useful", "funny", "cool", "text",

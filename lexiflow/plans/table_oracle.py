@@ -198,7 +198,7 @@ FROM events"""
 
 
 def tail_n():
-    return "SELECT event_id, event_type, value FROM events ORDER BY ts DESC LIMIT 50"
+    return "SELECT event_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 50"
 
 
 def head_n():

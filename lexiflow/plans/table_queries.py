@@ -242,7 +242,7 @@ def json_encode(spark, sf):
 def tail_n(spark, sf):
     """Newest 50 events, newest first (the limit is the operator)."""
     ev = read_table(spark, sf, "events")
-    return tail(ev, 50, "ts").select("event_id", "event_type", "value")
+    return tail(ev, 50, "ts", ["event_id"]).select("event_id", "event_type", "value")
 
 
 def head_n(spark, sf):

@@ -49,13 +49,9 @@ def _flow_type(name):
     return T.LongType()
 
 
-# Read everything that may be dirty as string; clean-up casts with try_cast.
+# Read everything that may be dirty as string; clean-up casts with clean.try_to.
 FLOW = T.StructType([T.StructField(c, _flow_type(c)) for c in FLOW_FEATURES + FLOW_TARGETS])
 
-# Attack classes after cleaning.
-FLOW_CLASSES = ["Benign", "Generic", "Fuzzers", "Exploits", "DoS", "Reconnaissance",
-                "Backdoors", "Analysis", "Shellcode", "Worms"]
-
 # Category canonicalisation (raw value -> cleaned value).
 FLOW_CLASS_ALIASES = {"Backdoor": "Backdoors", " Fuzzers ": "Fuzzers", " Fuzzers": "Fuzzers",
                       " Reconnaissance ": "Reconnaissance", " Shellcode ": "Shellcode"}
@@ -76,6 +72,10 @@ FEATURE_SETS = {
                      "smeansz", "sport", "Dpkts"],
     "rf_categorical": ["srcip", "dstip"],
 }
+# The analysis set (18 columns).
+FEATURE_SETS["analysis18"] = [
+    "dur", "sbytes", "smeansz", "trans_depth", "Sjit", "dstip", "service", "Sload", "Stime", "Ltime", "synack",
+    "proto", "tcprtt", "state", "ackdat", "dttl", "ct_state_ttl", "sttl"]
 # The forest family uses correlated + important + categorical (17 columns).
 FEATURE_SETS["rf17"] = (FEATURE_SETS["rf_correlated"] + FEATURE_SETS["rf_important"]
                         + FEATURE_SETS["rf_categorical"])

@@ -49,9 +49,10 @@ def head(df: DataFrame, n: int, order_by) -> DataFrame:
     return df.orderBy(*cols).limit(n)
 
 
-def tail(df: DataFrame, n: int, seq_col: str) -> DataFrame:
-    """Last n rows by a sequence column, newest first."""
-    return df.orderBy(F.col(seq_col).desc()).limit(n)
+def tail(df: DataFrame, n: int, seq_col: str, ties) -> DataFrame:
+    """Last n rows by a sequence column, newest first; ``ties`` are the columns
+    that order rows with equal sequence values, so the result is determined."""
+    return df.orderBy(F.col(seq_col).desc(), *[F.col(c).desc() for c in ties]).limit(n)
 
 
 def decode_with_defaults(json_col, schema: T.StructType = REVIEW,
