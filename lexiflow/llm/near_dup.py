@@ -17,6 +17,9 @@
    members outside the component of the region's best-linked row (the hub) are
    compared with it, round after round, until no round finds a link.  Then come
    the neighbours that are not yet in one component, and the hubs once more.
+5. Regions larger than the window that are still not one component go on by an
+   exact join on the rarest shingles of their members (prefixes with a bound by
+   position), so no pair of a crowded region is left untried.
 
 The pass, the sets of region members and every round's table are written to
 the shared checkpoint folder; no ids, links or sketches reach the driver."""
@@ -191,6 +194,55 @@ def _join_hubs(crowded: DataFrame, links: DataFrame, comp: DataFrame, tried: Dat
     return links, comp, tried
 
 
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(h, i, head, id, n): the first shingles of each of ``rows`` (id, c, hs) in one order
+    of all shingles, those of a single component first, then rarest first.  Sets that
+    reach the threshold share a shingle among the first n - ceil(percent n / 100) + 1 of
+    both, and the smaller one has it in its ``head``: its overlap is larger yet."""
+    shingles = rows.select("id", "c", F.explode("hs").alias("h"))
+    spread = (shingles.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+              .where("lo <> hi").select("h", "f"))
+    listed = (shingles.join(spread, "h", "left").groupBy("id")
+              .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "h"))).alias("hs")))
+    probe = f"size(hs) - ({percent} * size(hs) + 99) div 100 + 1"
+    index = f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1"
+    return (listed.select("id", F.size("hs").alias("n"), F.posexplode(F.expr(f"slice(hs, 1, int({probe}))")).alias("i", "x"))
+            .where("x.f > 0").select("x.h", "i", F.expr(f"i < {index}").alias("head"), "id", "n"))
+
+
+def _join_rest(crowded: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame, percent: int, scratch):
+    """Every link between members of crowded regions that are not one component.  The
+    rows of a shingle's heads come in rounds, a few first and then fourfold, so that
+    what they link is one component before the many come; the last round has all."""
+    mixed = (_with_component(crowded, comp).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+             .where("lo <> hi").select("key"))
+    ids = scratch.cut(crowded.join(mixed, "key").select("id").distinct(), "open")
+    if ids.isEmpty():
+        return links, comp
+    prefixes = scratch.cut(_prefixes(_with_component(sets.join(ids, "id"), comp), percent), "prefixes")
+    most = prefixes.where("head").groupBy("h").count().agg(F.max("count")).first()[0] or 1
+    turn, last = F.xxhash64("id", F.lit("turn")), None
+    part = 4 ** max(0, (most.bit_length() - 1) // 2)
+    while part:
+        now = F.col("head") & (F.pmod(turn, F.lit(part)) == 0)
+        if last:
+            now &= F.pmod(turn, F.lit(last)) != 0
+        rows = _with_component(prefixes, comp)
+        x, y = (rows.where(w).select("h", *[F.col(v).alias(v + s) for v in ("i", "id", "n", "c")])
+                for w, s in ((now, "x"), (F.lit(True), "y")))
+        reach = (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) * (100 + percent)
+                 >= (F.col("nx") + F.col("ny")) * percent)
+        pairs = _pairs(x.join(y, (x["h"] == y["h"]) & (F.col("nx") <= F.col("ny")) & (F.col("cx") != F.col("cy")) & reach)
+                       .select(F.col("idx").alias("a"), F.col("idy").alias("b")))
+        more = scratch.cut(_confirmed(pairs, sets, percent), "links")
+        if not more.isEmpty():
+            links = scratch.cut(links.unionByName(more), "links")
+            comp = connected_components(links, scratch)
+        part, last = part // 4, part
+    scratch.drop(ids, prefixes)
+    return links, comp
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                     shingle: int = 5, percent: int = 80, trees: int = 20, depth: int = 8,
                     min_depth: int = 4, near: int = 8) -> DataFrame:
@@ -229,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirm(pairs):
         return scratch.cut(_confirmed(_similar_sketches(pairs, sketches, floor), sets, percent), "links")
 
-    # one leader per region, then hubs, then the sorted orders' neighbours, then hubs again
+    # one leader per region, then hubs, the sorted orders' neighbours, hubs again, and the exact join
     crowded = members.where(F.col("m") > near + 1).select("key", "id")
     tried = scratch.cut(_pairs(members.select(F.col("id").alias("a"), F.col("leader").alias("b"))), "tried")
     links = confirm(tried)
@@ -243,6 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = connected_components(links, scratch)
         links, comp, tried = _join_hubs(crowded, links, comp, scratch.cut(tried.unionByName(fresh), "tried"),
                                         confirm, scratch)
+    links, comp = _join_rest(crowded, sets, links, comp, percent, scratch)
     comp = scratch.cut(comp, "comp")
 
     # classes, then components, back to every row; rows without shingles stand alone

@@ -76,6 +76,17 @@ def test_near_duplicates_equal_brute_force(spark, rows):
                for r in got)
 
 
+def test_near_duplicates_within_a_template_family(spark):
+    """240 texts share a template at 0.71; each has one partner at 0.85 and no other link.
+    The forest is so shallow that its sorted orders alone miss most of them."""
+    template = [f"t{i}" for i in range(150)]
+    rows = [(g + 120 * j, " ".join(template + [f"g{g}x{i}" for i in range(16)] + [f"g{g}y{j}x{i}" for i in range(14)]))
+            for g in range(120) for j in (0, 1)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, trees=4,
+                                   depth=3, min_depth=2, near=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 120 for i, _ in rows} == components_brute(rows, 4)
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = documents(spark)
     got = near_dup.near_duplicates(docs).collect()
