@@ -185,6 +185,16 @@ def test_search_equals_brute_force(spark, monkeypatch, shard_rows):
         assert all(abs(r.score + s) <= 2e-6 for r, (s, _) in zip(found, hits))
 
 
+@pytest.mark.parametrize("shard_rows, first_part", [(4096, 16), (4, 1)])
+def test_search_counts_a_repeated_id_once(spark, monkeypatch, shard_rows, first_part):
+    monkeypatch.setattr(bm25, "SHARD_ROWS", shard_rows)
+    rows = [(1, "apple apple apple")] * 11 + [(i, "apple " + "pear " * i) for i in range(2, 20)] + [(5, "apple fig")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    queries = [(-1, "apple")]
+    got = bm25.top_k(docs, spark.createDataFrame(queries, "doc_id long, text string"), first_part=first_part).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in bm25_brute(rows, queries)[-1]]
+
+
 def test_search_odd_rows(spark):
     docs = documents(spark)
     got = bm25.top_k(docs, docs).collect()
