@@ -266,6 +266,20 @@ def test_constant_texts_are_template():
     assert ["/html/body/section", "Follow us on this site"] in [list(c) for c in w["constant"]]
 
 
+def test_title_and_lead_beside_the_body_stay():
+    pages = [f"<body><div class=post><h1>Title {i}</h1><p class=lead>Lead {i}.</p>"
+             f"<div class=entry>{''.join(f'<p>Body {i} {j} of many words.</p>' for j in range(40))}</div>"
+             + (f"<div class=end>Only here {i}</div>" if i == 4 else "") + "</div>"
+             + "<div class=deep>" + "<div>" * 80 + f"Deep {i}" + "</div>" * 81 + "</body>" for i in range(6)]
+    wrapper = html_extract.induce(pages)
+    for i, page in enumerate(pages):
+        got = html_extract.extract(page, wrapper)
+        assert all(t in got for t in (f"Title {i}", f"Lead {i}.", f"Body {i} 39 of many words.", f"Deep {i}"))
+        assert ("Only here 4" in got) == (i == 4)
+    shallow = [p.split("<div class=deep>")[0] for p in pages]
+    assert html_extract.induce(shallow)["path"].endswith("/div.post")
+
+
 def test_tree_matching_counts():
     a, b = (html_extract.fold(html_extract.parse(h)) for h in
             ("<div><h1>a</h1><p>b</p><ul><li>c</li></ul></div>", "<div><h1>x</h1><table></table><p>y</p></div>"))
