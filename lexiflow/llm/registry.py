@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bm25, bpe_trie, html_extract, lm_score, near_dup, packing, quality, sharding, token_counts,
-               toxicity)
+from . import (bm25, bpe_trie, html_extract, lm_score, merkle, near_dup, packing, quality, sharding,
+               token_counts, toxicity)
 
 QUERIES = {
     "op1_trie_unigram": token_counts.op1_trie_unigram,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_minhash_forest": near_dup.op8_minhash_forest,
     "op9_prefix_trie_bpe": bpe_trie.op9_prefix_trie_bpe,
     "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
+    "op13_lag_lead_merkle": merkle.op13_lag_lead_merkle,
 }
 
 SQL = {
     "op8_minhash_forest": near_dup.SQL,
+    "op13_lag_lead_merkle": merkle.SQL,
 }
 
 
