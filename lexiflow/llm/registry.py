@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bm25, bpe_trie, html_extract, lm_score, merkle, near_dup, packing, quality, sharding,
-               token_counts, token_files, toxicity)
+from . import (bm25, bpe_trie, cross_align, html_extract, lm_score, merkle, near_dup, packing, quality,
+               sharding, token_counts, token_files, toxicity)
 
 QUERIES = {
     "op1_trie_unigram": token_counts.op1_trie_unigram,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_prefix_trie_bpe": bpe_trie.op9_prefix_trie_bpe,
     "op10_minimum_bin_slack": packing.op10_minimum_bin_slack,
     "op11_fixed_width_ids": token_files.op11_fixed_width_ids,
+    "op12_divide_at_cuts": cross_align.op12_divide_at_cuts,
     "op13_lag_lead_merkle": merkle.op13_lag_lead_merkle,
 }
 

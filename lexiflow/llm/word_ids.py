@@ -22,16 +22,37 @@ MARK = "\x01"
 SPACE, LETTER, NUMBER, OTHER, LINE = range(5)
 
 
+class Ragged:
+    """Rows of any length, end to end."""
+
+    def __init__(self, kind=np.uint32):
+        self.values = np.empty(0, kind)
+        self.starts = np.zeros(1, np.int64)
+
+    def add(self, values: np.ndarray, ends: np.ndarray) -> None:
+        """Rows given end to end, and where each ends."""
+        self.starts = np.concatenate([self.starts, len(self.values) + np.asarray(ends, np.int64)])
+        self.values = np.concatenate([self.values, values.astype(self.values.dtype)])
+
+    def lengths(self, numbers: np.ndarray) -> np.ndarray:
+        return self.starts[numbers + 1] - self.starts[numbers]
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The values of the numbered rows, end to end."""
+        n = self.lengths(numbers)
+        at = np.repeat(self.starts[numbers] - (np.cumsum(n) - n), n)
+        return self.values[at + np.arange(len(at))]
+
+
 class Pool(dict):
-    """Numbers distinct byte strings as they are met; ``rows`` keeps their values,
-    arrays of any length, end to end.  Cleared between batches once it is full."""
+    """Numbers distinct byte strings as they are met; each of ``columns`` has a row
+    for every number.  Cleared between batches once it is full."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, *kinds, limit: int = 400_000):
         super().__init__()
-        self.limit = limit
+        self.limit, self.kinds = limit, kinds or (np.uint32,)
         self.new: list[bytes] = []
-        self.values = np.empty(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        self.columns = [Ragged(k) for k in self.kinds]
 
     def __missing__(self, key: bytes) -> int:
         n = self[key] = len(self)
@@ -42,24 +63,10 @@ class Pool(dict):
         """The numbers of all keys; ``new`` holds those met for the first time."""
         if len(self) > self.limit:
             self.clear()
-            self.values, self.starts = self.values[:0], self.starts[:1]
+            self.columns = [Ragged(k) for k in self.kinds]
         self.new = []
         return np.fromiter(map(self.__getitem__, chain.from_iterable(keys)), np.int64, sum(map(len, keys)))
 
-    def add(self, values: np.ndarray, ends: np.ndarray) -> None:
-        """The values of the new keys, end to end, and where each key's end."""
-        self.starts = np.concatenate([self.starts, len(self.values) + ends])
-        self.values = np.concatenate([self.values, values])
-
-    def lengths(self, numbers: np.ndarray) -> np.ndarray:
-        return self.starts[numbers + 1] - self.starts[numbers]
-
-    def gather(self, numbers: np.ndarray) -> np.ndarray:
-        """The values of the numbered keys, end to end."""
-        n = self.lengths(numbers)
-        at = np.repeat(self.starts[numbers] - (np.cumsum(n) - n), n)
-        return self.values[at + np.arange(len(at))]
-
 
 def character_classes() -> np.ndarray:
     """The class of every code point: white space, letter, number or other."""
@@ -137,7 +144,7 @@ class WordIds:
         if whole:
             parts = [p if w is None else w for p, w in zip(np.split(values, ends[:-1]), whole, strict=True)]
             values, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
-        self.pool.add(values, ends)
+        self.pool.columns[0].add(values, ends)
 
     def _whole(self, stretch: bytes) -> np.ndarray:
         """A stretch that holds the mark or a special token, by the tokenizers library."""
@@ -155,9 +162,10 @@ class WordIds:
         numbers = self.pool.numbers(cut)
         if self.pool.new:
             self._learn(self.pool.new)
-        upto = np.append(0, np.cumsum(self.pool.lengths(numbers)))
+        ids = self.pool.columns[0]
+        upto = np.append(0, np.cumsum(ids.lengths(numbers)))
         ends = upto[np.cumsum([len(c) for c in cut], dtype=np.int64)]
-        return self.pool.gather(numbers), np.diff(ends, prepend=0)
+        return ids.gather(numbers), np.diff(ends, prepend=0)
 
 
 _MODELS: dict[str, WordIds] = {}
