@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import models as ML
+from ..operators.boosting import BoostedRegressor
 from ..operators.stats import cumulative
 from ..sources.readers import read_table
 
@@ -127,3 +128,51 @@ SELECT pc, ratio, round(sum(ratio) OVER (ORDER BY pc), 6) AS cumulative FROM e""
 
 SQL = {"tree_stump": tree_stump_sql, "forest_stump": tree_stump_sql, "regressor_stump": regressor_stump_sql,
        "gbt_stump": regressor_stump_sql, "lr_shares": lr_shares_sql, "pca_two": pca_two_sql}
+
+
+# --- two boosting rounds of depth 2 ------------------------------------------------------------
+
+BOOST_FEATURES = ["l_linenumber", "l_discount", "l_tax"]
+BOOST = {"maxIter": 2, "maxDepth": 2, "stepSize": 0.1, "minSplitLoss": 0.85}
+
+
+def boost_two_rounds(spark, sf):
+    """M9: second-order boosting on few-valued features; the predictions of every cell."""
+    li = read_table(spark, sf, "lineitem").select(
+        *[F.col(c).cast("double").alias(c) for c in BOOST_FEATURES], F.col("l_quantity").cast("double").alias("label"))
+    li = VectorAssembler(inputCols=BOOST_FEATURES, outputCol="features").transform(li)
+    out = BoostedRegressor(**BOOST).fit(li).transform(li)
+    return out.groupBy(*BOOST_FEATURES).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("prediction"), 6).alias("prediction"))
+
+
+def boost_two_rounds_sql():
+    """Every cut of every feature in every node, level by level, over the cells."""
+    ctes = [f"""cell AS (SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in BOOST_FEATURES)}, count(*) AS n,
+  sum(l_quantity::DOUBLE) AS s FROM lineitem GROUP BY ALL)""",
+            "at_0_0 AS (SELECT *, 0 AS node, (SELECT sum(s) / sum(n) FROM cell) AS pred FROM cell)"]
+    for tree in range(BOOST["maxIter"]):
+        for level in range(BOOST["maxDepth"]):
+            name, here, then = f"{tree}_{level}", f"at_{tree}_{level}", f"at_{tree}_{level + 1}"
+            values = " UNION ALL ".join(
+                f"SELECT node, {i} AS f, {c} AS x, sum(pred * n - s) AS g, sum(n) AS h FROM {here} GROUP BY node, {c}"
+                for i, c in enumerate(BOOST_FEATURES))
+            own = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(BOOST_FEATURES))
+            ctes += [
+                f"value_{name} AS ({values})",
+                f"""cut_{name} AS (SELECT node, f, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl,
+  sum(g) OVER (PARTITION BY node, f) AS g, sum(h) OVER (PARTITION BY node, f) AS h
+  FROM value_{name} WINDOW w AS (PARTITION BY node, f ORDER BY x))""",
+                f"""best_{name} AS (SELECT node, f, x FROM (SELECT *, row_number() OVER (PARTITION BY node
+  ORDER BY gain DESC, f, x) AS r FROM (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1)
+  - g * g / (h + 1) AS gain FROM cut_{name} WHERE hl < h) WHERE gain >= {BOOST['minSplitLoss']}) WHERE r = 1)""",
+                f"""{then} AS (SELECT a.* REPLACE (CASE WHEN b.f IS NULL THEN a.node
+  WHEN CASE b.f {own} END <= b.x THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node)
+  FROM {here} a LEFT JOIN best_{name} b USING (node))"""]
+        ctes.append(f"""at_{tree + 1}_0 AS (SELECT a.* REPLACE (0 AS node, a.pred - {BOOST['stepSize']} * l.g / (l.h + 1) AS pred)
+  FROM at_{tree}_{BOOST['maxDepth']} a JOIN (SELECT node, sum(pred * n - s) AS g, sum(n) AS h
+  FROM at_{tree}_{BOOST['maxDepth']} GROUP BY node) l USING (node))""")
+    return (f"WITH {', '.join(ctes)} SELECT {', '.join(BOOST_FEATURES)}, n, round(pred, 6) AS prediction "
+            f"FROM at_{BOOST['maxIter']}_0")
+
+
+SQL["boost_two_rounds"] = boost_two_rounds_sql
