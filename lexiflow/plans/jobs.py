@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import (DecisionTreeClassificationModel, LogisticRegressionModel,
                                        RandomForestClassificationModel)
-from pyspark.ml.feature import (ElementwiseProduct, HashingTF, IDF, Normalizer, VectorAssembler)
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +26,14 @@ from ..operators import lexicon as L
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import naive_bayes as nb
-from ..operators.clean import canonicalize, count_bucket, dedupe, strip, to_bool
+from ..operators.boosting import BoostedRegressor
+from ..operators.clean import canonicalize, count_bucket, dedupe, drop_nulls, shift_label, strip, to_bool
 from ..operators.features import apply_factorize, fit_factorize, fit_scaler, minmax_expr, standard_expr
 from ..operators.neighbors import knn, vote
 from ..operators.sampling import undersample
 from ..operators.smote import oversample
 from ..operators.stats import corr_with_target, cov_with_target, top_n
+from ..operators.vectorizer import TfidfVectorizer
 from ..session import cut_lineage
 from ..schemas import FEATURE_SETS, FLOW_CLASS_ALIASES, FLOW_FEATURES, REVIEW
 from ..sources.readers import (decode_with_defaults, encode_sorted_json, read_flows, read_reviews,
@@ -88,65 +91,102 @@ def naive_bayes_reviews(spark: SparkSession, path: str, alpha_s: float = 0.07,
     }
 
 
-# ------------------------------------------------------------------------- E2
+# ------------------------------------------------------------------------- E2, E3
 
-def _tfidf_stages(train: DataFrame, tokens_col: str, num_features: int = 1 << 18):
-    """Hashed TF, idf + 1 (library default smoothing), L2 rows; fitted on train."""
-    htf = HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=num_features)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(htf.transform(train))
-    ep = ElementwiseProduct(scalingVec=Vectors.dense([x + 1.0 for x in idf.idf.toArray()]),
-                            inputCol="_tf", outputCol="_w")
-    norm = Normalizer(inputCol="_w", outputCol="features", p=2.0)
-    return lambda df: norm.transform(ep.transform(htf.transform(df))).drop("_tf", "_w")
+VOTES = ("useful", "funny", "cool")
+# fixed values: the regressor's settings
+BOOST = {"maxDepth": 6, "stepSize": 0.1, "minSplitLoss": 0.85}
+
+
+def review_tokens(reviews: DataFrame, lemma_lexicon: DataFrame | None = None) -> DataFrame:
+    """Cleaned, deduplicated reviews: _key, label (stars from 0), the votes, tokens
+    without the extra stop words, lemmatised when the lexicon is given."""
+    d = _review_key(reviews).select("_key", "stars", *VOTES, X.clean_tokens_b(F.col("text"), extra=True).alias("tokens"))
+    d = drop_nulls(d, ["stars", *VOTES, "tokens"])
+    d = dedupe(d.withColumn("_t", F.array_join("tokens", " ")), ["_t", "stars", *VOTES]).drop("_t")
+    d = cut_lineage(d, "reviews")
+    if lemma_lexicon is not None:
+        d = L.rewrite(d, "_key", "tokens", lemma_lexicon).join(d.drop("tokens"), "_key")
+    return d.withColumn("label", shift_label("stars").cast("double"))
+
+
+def _tagged(d: DataFrame, tag_lexicon: DataFrame) -> DataFrame:
+    return L.annotate(d, "_key", "tokens", tag_lexicon).join(d.drop("tokens"), "_key")
+
+
+def _adjusted(d: DataFrame, valence_lexicon: DataFrame) -> DataFrame:
+    """Labels moved by the text's sentiment, with the counters _down and _up."""
+    scored = d.join(L.sentiment(d, "_key", "tokens", valence_lexicon), "_key")
+    _, _, moved, down, up = L.adjust_label(F.col("label"), "neg", "compound")
+    return scored.withColumns({"label": moved.cast("double"), "_down": down, "_up": up})
+
+
+def _vote_errors(pred: DataFrame) -> DataFrame:
+    """(target, rmse) of the three vote counts."""
+    parts = [M.regression_metrics(pred, t, f"pred_{t}").select(F.lit(t).alias("target"), "rmse") for t in VOTES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tfidf_reviews(spark: SparkSession, path: str, lemma_lexicon: DataFrame | None = None,
                   tag_lexicon: DataFrame | None = None, valence_lexicon: DataFrame | None = None,
-                  seed: int = 42, gbt_iter: int = 100) -> dict:
+                  seed: int = 42, gbt_iter: int = 100, lr_iter: int = 2000, model_path: str | None = None) -> dict:
     """Clean -> dedupe -> extra stop words -> lemma -> TF-IDF -> LR (stars);
-    boosted trees for the vote counts; POS-annotated and sentiment-adjusted
-    variants when the lexicons are given.  The vectoriser is fitted on the
-    training part only."""
-    r = _review_key(read_reviews(spark, path))
-    d = r.select("_key", "stars", "useful", "funny", "cool",
-                 X.clean_tokens_b(F.col("text"), extra=True).alias("tokens"))
-    d = d.na.drop(subset=["stars", "useful", "funny", "cool"])
-    d = dedupe(d.withColumn("_t", F.array_join("tokens", " ")),
-               ["_t", "stars", "useful", "funny", "cool"]).drop("_t")
-    if lemma_lexicon is not None:
-        d = L.rewrite(d, "_key", "tokens", lemma_lexicon).join(d.drop("tokens"), "_key")
-    d = d.withColumn("label", (F.col("stars") - 1).cast("double"))
-    d = d.withColumn("is_test", in_test("_key", seed, 20))
-    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    prep = _tfidf_stages(train, "tokens")
-    tr = prep(train).cache()
-    out = {}
-    lr = ML.logistic_regression(tr.count(), C=1.0, max_iter=2000).fit(tr)
-    out["lr_report"] = M.class_report(lr.transform(prep(test)), "label", "prediction")
-    gb = ML.fit_multi_target(tr, ["useful", "funny", "cool"], max_iter=gbt_iter)
-    te = prep(test)
-    out["gbt_rmse"] = None
-    for t, m in gb.items():
-        rm = M.regression_metrics(m.transform(te), t, f"pred_{t}").select(
-            F.lit(t).alias("target"), "rmse")
-        out["gbt_rmse"] = rm if out["gbt_rmse"] is None else out["gbt_rmse"].unionByName(rm)
+    boosted trees with second-order gains for the vote counts; POS-annotated and
+    sentiment-adjusted variants when the lexicons are given.  Vectorisers are fitted
+    on the training part only.  Every fitted pipeline is in ``models`` and, with a
+    ``model_path``, saved below it (classifier, regression, classifier_pos,
+    classifier_adjusted) for ``validate_reviews``."""
+    d = review_tokens(read_reviews(spark, path), lemma_lexicon)
+    out: dict = {"models": {}}
+
+    def split(df):
+        held = in_test("_key", seed, 20)
+        return df.where(~held), df.where(held)
+
+    def classify(name, df, C=1.0, penalty="l2", max_iter=lr_iter):
+        train, test = split(df)
+        vectors = TfidfVectorizer().fit(train)
+        rows = cut_lineage(vectors.transform(train).select("features", "label", *VOTES), f"{name}-vectors")
+        lr = ML.logistic_regression(rows.count(), C=C, penalty=penalty, max_iter=max_iter).fit(rows)
+        out["models"][name] = PipelineModel(stages=[vectors, lr])
+        return vectors, rows, M.class_report(out["models"][name].transform(test), "label", "prediction")
+
+    vectors, rows, out["lr_report"] = classify("classifier", d)
+    trees = [BoostedRegressor(labelCol=t, predictionCol=f"pred_{t}", maxIter=gbt_iter, **BOOST).fit(rows) for t in VOTES]
+    out["models"]["regression"] = PipelineModel(stages=[vectors, *trees])
+    out["gbt_rmse"] = _vote_errors(out["models"]["regression"].transform(split(d)[1]))
+    if tag_lexicon is not None:
+        *_, out["pos_report"] = classify("classifier_pos", _tagged(d, tag_lexicon))
+    if valence_lexicon is not None:
+        moved = cut_lineage(_adjusted(d, valence_lexicon), "adjusted")
+        out["adjust_counts"] = moved.agg(F.sum("_down").alias("down"), F.sum("_up").alias("up"))
+        *_, out["adjusted_report"] = classify("classifier_adjusted", moved)
+    if model_path:
+        for name, model in out["models"].items():
+            model.write().overwrite().save(f"{model_path}/{name}")
+    return out
+
+
+def validate_reviews(spark: SparkSession, model_path: str, path: str, lemma_lexicon: DataFrame | None = None,
+                     tag_lexicon: DataFrame | None = None, valence_lexicon: DataFrame | None = None) -> dict:
+    """The saved pipelines, loaded as fitted (nothing is refitted), on held-out
+    reviews: accuracy and class report of the classifier, error of each vote count,
+    and the same reports for the POS and the sentiment-adjusted classifier when their
+    lexicons are given."""
+    d = review_tokens(read_reviews(spark, path), lemma_lexicon)
+
+    def report(name, df):
+        p = cut_lineage(PipelineModel.load(f"{model_path}/{name}").transform(df).select("_key", "label", "prediction"),
+                        name)
+        return {f"{name}_accuracy": M.accuracy(p, "label", "prediction"),
+                f"{name}_report": M.class_report(p, "label", "prediction"), f"{name}_predictions": p}
+
+    out = report("classifier", d)
+    out["regression_rmse"] = _vote_errors(PipelineModel.load(f"{model_path}/regression").transform(d))
     if tag_lexicon is not None:
-        tagged = L.annotate(d, "_key", "tokens", tag_lexicon).join(d.drop("tokens"), "_key")
-        ttr, tte = tagged.where(~F.col("is_test")), tagged.where(F.col("is_test"))
-        p2 = _tfidf_stages(ttr, "tokens")
-        m2 = ML.logistic_regression(ttr.count(), C=1.0, penalty="l1", max_iter=100).fit(p2(ttr))
-        out["pos_report"] = M.class_report(m2.transform(p2(tte)), "label", "prediction")
+        out |= report("classifier_pos", _tagged(d, tag_lexicon))
     if valence_lexicon is not None:
-        s = L.sentiment(d, "_key", "tokens", valence_lexicon)
-        a = d.join(s, "_key")
-        s1, s2, s3, down, up = L.adjust_label(F.col("label"), "neg", "compound")
-        a = a.withColumn("label", s3.cast("double")).withColumn("_down", down).withColumn("_up", up)
-        out["adjust_counts"] = a.agg(F.sum("_down").alias("down"), F.sum("_up").alias("up"))
-        atr, ate = a.where(~F.col("is_test")), a.where(F.col("is_test"))
-        p3 = _tfidf_stages(atr, "tokens")
-        m3 = ML.logistic_regression(atr.count(), C=3.0, penalty="l1", max_iter=1000).fit(p3(atr))
-        out["adjusted_report"] = M.class_report(m3.transform(p3(ate)), "label", "prediction")
-    tr.unpersist()
+        out |= report("classifier_adjusted", _adjusted(d, valence_lexicon))
     return out
 
 

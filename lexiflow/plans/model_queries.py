@@ -6,10 +6,8 @@ components or candidates, never by the data."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import (ElementwiseProduct, HashingTF, IDF, Normalizer, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ..functions.hashing import in_test
@@ -19,6 +17,8 @@ from ..operators import models as ML
 from ..operators.sampling import undersample
 from ..operators.smote import oversample
 from ..operators.stats import cumulative
+from ..operators.vectorizer import TfidfVectorizer
+from ..session import cut_lineage
 from ..sources.readers import read_table
 from .table_queries import LINEITEM_FEATURES, _lineitem
 
@@ -72,22 +72,17 @@ def lr_fit_score(spark, sf):
 
 
 def lr_tfidf(spark, sf):
-    """E2 core: hashed TF-IDF (idf + 1, L2 rows) -> multinomial LR on language."""
+    """E2 core: TF-IDF by vocabulary index -> multinomial LR on language."""
     d = read_table(spark, sf, "documents").select(
         "doc_id", "lang", word_tokens("text").alias("tokens"))
     d = StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc").fit(d) \
         .transform(d)
     t = in_test("doc_id", 0, 20)
     train, test = d.where(~t), d.where(t)
-    htf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=1 << 18)
-    tr = htf.transform(train)
-    idf = IDF(inputCol="tf", outputCol="_idf").fit(tr)
-    scale = Vectors.dense([x + 1.0 for x in idf.idf.toArray()])
-    ep = ElementwiseProduct(scalingVec=scale, inputCol="tf", outputCol="w")
-    norm = Normalizer(inputCol="w", outputCol="features", p=2.0)
-    prep = lambda df: norm.transform(ep.transform(htf.transform(df)))
-    model = ML.logistic_regression(train.count(), C=1.0, max_iter=50).fit(prep(train))
-    return _report(model.transform(prep(test)))
+    vectors = TfidfVectorizer().fit(train)
+    rows = cut_lineage(vectors.transform(train).select("features", "label"), "lr-tfidf")
+    model = ML.logistic_regression(rows.count(), C=1.0, max_iter=50).fit(rows)
+    return _report(model.transform(vectors.transform(test)))
 
 
 def _li_indexed(spark, sf):

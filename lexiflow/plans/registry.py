@@ -47,7 +47,9 @@ STREAM_SQL = _Alias({"nb_incremental": O.token_counts, "nb_stream_predict": O.nb
 GROUPS.append((SQ, STREAM_SQL, ["nb_incremental", "nb_stream_predict"]))
 
 from . import closed_form_queries as CF
-GROUPS.append((CF, _Alias(CF.SQL), list(CF.SQL)))
+from . import review_queries as VQ
+for _module in (CF, VQ):
+    GROUPS.append((_module, _Alias(_module.SQL), list(_module.SQL)))
 
 # (module, name) pairs checked by row counts and invariants only
 NO_ORACLE: list = [(MQ, n) for n in [

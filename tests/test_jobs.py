@@ -92,3 +92,27 @@ def test_saved_flow_models_score_alike(spark, tmp_dir):
         assert before == after and len(before) == 120
         acc = J.validate_saved(spark, f"{tmp_dir}/{family}", p)["accuracy"].first()["accuracy"]
         assert acc > 0.9
+
+
+def test_review_models_are_saved_and_validated(spark, tmp_dir):
+    p, held = os.path.join(tmp_dir, "reviews.json"), os.path.join(tmp_dir, "held.json")
+    _reviews(p)
+    _reviews(held, 120)
+    lemma = spark.createDataFrame([("tasty", "taste")], "form string, lemma string")
+    tags = spark.createDataFrame([("love", "VB"), ("cold", "JJ")], "token string, tag string")
+    valence = spark.createDataFrame([("great", 3.1), ("love", 3.2), ("awful", -2.0), ("rude", -2.0)],
+                                    "token string, valence double")
+    out = J.tfidf_reviews(spark, p, lemma, tags, valence, gbt_iter=1, lr_iter=20, model_path=f"{tmp_dir}/models")
+    assert set(out["models"]) == {"classifier", "regression", "classifier_pos", "classifier_adjusted"}
+    words = {r.token for r in out["models"]["classifier"].stages[0].vocabulary.collect()}
+    assert "taste" in words and "tasty" not in words
+    assert {"love_VB", "cold_JJ", "food_NN"} <= {
+        r.token for r in out["models"]["classifier_pos"].stages[0].vocabulary.collect()}
+    again = J.validate_reviews(spark, f"{tmp_dir}/models", held, lemma, tags, valence)
+    d = J.review_tokens(J.read_reviews(spark, held), lemma)
+    direct = out["models"]["classifier"].transform(d)
+    a, b = (sorted(map(tuple, x.select("_key", "prediction").collect())) for x in (direct, again["classifier_predictions"]))
+    assert a == b and len(a) > 100
+    assert again["classifier_accuracy"].first()["accuracy"] > 0.3
+    assert {r.target for r in again["regression_rmse"].collect()} == set(J.VOTES)
+    assert again["classifier_pos_report"].count() > 3 and again["classifier_adjusted_report"].count() > 3
