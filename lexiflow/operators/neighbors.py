@@ -32,8 +32,13 @@ TRAIN_BLOCK, QUERY_BLOCK = 2048, 512
 SLACK = 1e-6
 
 
-def _blocks(df: DataFrame, group: str, rows_per_block: int, id_name: str, vec: str, out: str) -> DataFrame:
-    """(group, block, ids, vectors): at most about ``rows_per_block`` rows each."""
+def _blocks(df: DataFrame, group: str | None, rows_per_block: int, id_name: str, vec: str, out: str) -> DataFrame:
+    """([group,] block, blocks of the group, ids and vectors): at most about
+    ``rows_per_block`` rows each."""
+    if group is None:                      # the number of blocks is a constant: no join
+        n = max(1, -(-df.count() // rows_per_block))
+        return (df.groupBy(F.pmod(F.xxhash64(id_name), F.lit(n)).alias(f"{out}_b"))
+                .agg(F.collect_list(F.struct(id_name, vec)).alias(out)).withColumn(f"{out}_n", F.lit(n).cast("bigint")))
     sizes = df.groupBy(F.col(group).alias("_s")).agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_block)).alias(f"{out}_n"))
     keyed = df.join(sizes, F.col(group).eqNullSafe(F.col("_s")))       # a null group is a group too
@@ -65,18 +70,24 @@ def knn(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_co
     ``group_col`` restricts neighbours to the query's own group (SMOTE's
     within-class search); ``exclude_self`` drops the pair qid == id."""
     idt, qidt = train.schema[id_col].dataType, queries.schema[qid_col].dataType
-    g = F.col(group_col) if group_col else F.lit(0)
+    g = [F.col(group_col).alias("_g")] if group_col else []
     vec = F.transform(vec_col, lambda x: x.cast("double"))
-    tr = train.select(g.alias("_g"), F.col(id_col).alias("_tid"), vec.alias("_tv"))
-    qs = queries.select(g.alias("_g"), F.col(qid_col).alias("_qid"), vec.alias("_qv"))
-    tb = _blocks(tr, "_g", train_block, "_tid", "_tv", "t")
-    qb = _blocks(qs, "_g", query_block, "_qid", "_qv", "q")
-    counts = tb.select(F.col("_g").alias("_c"), "t_n").distinct()
-    pairs = (qb.join(counts, F.col("_g").eqNullSafe(F.col("_c"))).select("_g", "q", "t_n")
-             .withColumn("t_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t_n") - 1))))
-    met = (pairs.join(tb.select(F.col("_g").alias("_h"), F.col("t_b").alias("_tb"), "t"),
-                      F.col("_g").eqNullSafe(F.col("_h")) & (F.col("t_b") == F.col("_tb")))
-           .select("q", "t"))
+    tr = train.select(*g, F.col(id_col).alias("_tid"), vec.alias("_tv"))
+    qs = queries.select(*g, F.col(qid_col).alias("_qid"), vec.alias("_qv"))
+    group = "_g" if group_col else None
+    tb = _blocks(tr, group, train_block, "_tid", "_tv", "t")
+    qb = _blocks(qs, group, query_block, "_qid", "_qv", "q")
+    same_block = F.col("t_b") == F.col("_tb")
+    if group_col:
+        counts = tb.select(F.col("_g").alias("_c"), "t_n").distinct()
+        pairs = qb.join(counts, F.col("_g").eqNullSafe(F.col("_c"))).select("_g", "q", "t_n")
+        same_block = same_block & F.col("_g").eqNullSafe(F.col("_h"))
+        tb = tb.withColumnRenamed("_g", "_h")
+    else:
+        n_blocks = max(1, -(-tr.count() // train_block))
+        pairs = qb.select("q", F.lit(n_blocks).cast("bigint").alias("t_n"))
+    pairs = pairs.withColumn("t_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t_n") - 1))).drop("t_n")
+    met = pairs.join(tb.withColumnRenamed("t_b", "_tb").drop("t_n"), same_block).select("q", "t")
     want = k + (1 if exclude_self else 0)
     types = [to_arrow_type(qidt), to_arrow_type(idt), pa.float64()]
 

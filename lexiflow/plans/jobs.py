@@ -29,6 +29,7 @@ from ..operators import naive_bayes as nb
 from ..operators.boosting import BoostedRegressor
 from ..operators.clean import canonicalize, count_bucket, dedupe, drop_nulls, shift_label, strip, to_bool
 from ..operators.features import apply_factorize, fit_factorize, fit_scaler, minmax_expr, standard_expr
+from ..operators.kd_tree import knn_tree
 from ..operators.neighbors import knn, vote
 from ..operators.sampling import undersample
 from ..operators.smote import oversample
@@ -386,7 +387,7 @@ def knn_flows(df: DataFrame, target: str = "attack_cat", order_cols=("row_id",),
         F.col(key).alias("id"), vector_to_array("pca").alias("vec"), F.col(target).alias("label"))
     te = pca.transform(prep.transform(test)).select(
         F.col(key).alias("qid"), vector_to_array("pca").alias("vec"), F.col(target).alias("truth"))
-    nbrs = knn(tr, te.select("qid", "vec"), k)
+    nbrs = knn_tree(tr, te.select("qid", "vec"), k)         # few dimensions: the tree skips most blocks
     pred = vote(nbrs, tr.select("id", "label"), weighted=False).join(te.select("qid", "truth"), "qid")
     return {"precision": M.macro_micro_precision(pred, "truth", "pred"),
             "class_report": M.class_report(pred, "truth", "pred")}

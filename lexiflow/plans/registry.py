@@ -25,7 +25,7 @@ GROUPS = [
               "feature_corr", "feature_cov", "corr_matrix", "corr_top_n", "corr_threshold",
               "cross_entropy", "argmax_accuracy", "factorize", "factorize_codes", "minmax_scale",
               "standard_scale", "hash_split", "stratified_folds", "undersample", "value_counts",
-              "json_decode_defaults", "json_encode", "tail_n", "head_n", "knn_neighbors",
+              "json_decode_defaults", "json_encode", "tail_n", "head_n", "knn_neighbors", "knn_tree_events",
               "knn_classify", "knn_classify_weighted", "smote", "smote_class_counts"]),
 ]
 

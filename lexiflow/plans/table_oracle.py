@@ -224,6 +224,15 @@ def knn_neighbors():
     return _knn_sql() + "\nSELECT qid AS query_id, rank::BIGINT AS rank, tid AS train_id, d2 FROM nb"
 
 
+def knn_tree_events():
+    return """WITH e AS (SELECT event_id, value::DOUBLE AS x, user_id / 100.0::DOUBLE AS y,
+  hour(ts) + minute(ts) / 60.0::DOUBLE AS z FROM events),
+d AS (SELECT q.event_id AS qid, t.event_id, round((q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y)
+  + (q.z - t.z) * (q.z - t.z), 9) AS d2 FROM e q JOIN e t ON q.event_id % 100 = 0)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d2, event_id) AS rank, event_id, d2 FROM d
+QUALIFY rank <= 5"""
+
+
 def _knn_vote(weighted):
     if weighted:
         w = """CASE WHEN max(CASE WHEN d2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) = 1

@@ -269,6 +269,18 @@ def knn_neighbors(spark, sf):
                      F.col("vec_id").alias("train_id"), "d2")
 
 
+def knn_tree_events(spark, sf):
+    """M7 / E9 in few dimensions: the five nearest of all events for every hundredth one
+    (a stated query set), by a space-partition tree."""
+    from ..operators.kd_tree import knn_tree
+    ev = read_table(spark, sf, "events").select("event_id", F.array(
+        F.col("value").cast("double"), (F.col("user_id") / 100.0).cast("double"),
+        (F.hour("ts") + F.minute("ts") / 60.0).cast("double")).alias("vec"))
+    q = ev.where(F.col("event_id") % 100 == 0).select(F.col("event_id").alias("qid"), "vec")
+    return knn_tree(ev, q, 5, id_col="event_id").select(
+        "qid", F.col("rank").cast("bigint").alias("rank"), "event_id", "d2")
+
+
 def _knn_pred(spark, sf, weighted):
     from ..operators.neighbors import knn, vote
     train, test = _emb_split(spark, sf)

@@ -92,3 +92,12 @@ def test_knn_with_every_query_at_one_point(spark):
     got = knn(train, q, 4, train_block=256, query_block=64).collect()
     assert len(got) == 3600 and {(r["rank"], r["id"], r["d2"]) for r in got} == {
         (1, 3, 0.0), (2, 10, 0.0), (3, 17, 0.0), (4, 24, 0.0)}
+
+
+def test_no_cartesian_product_is_planned(spark):
+    from lexiflow.operators.neighbors import knn
+    df = spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(50)], "id int, vec array<double>, g int")
+    for group in (None, "g"):
+        out = knn(df, df.withColumnRenamed("id", "qid"), 3, group_col=group)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan, plan
