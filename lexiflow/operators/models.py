@@ -3,22 +3,17 @@
 MLlib estimators train data-parallel (tree aggregation, distributed L-BFGS /
 OWL-QN), so these are thin factories with the parameter translations the
 original settings need, plus our own pieces MLlib lacks: a macro-F1
-evaluator, per-fold scores, recursive feature elimination and randomised
-search.
+evaluator, per-fold scores and recursive feature elimination (searches: search.py).
 """
 
 from __future__ import annotations
 
-import itertools
-import random
-
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,33 +153,6 @@ def fold_scores(df: DataFrame, estimator, key: str, label: str, k: int = 5, seed
     return out
 
 
-def grid_search(df: DataFrame, estimator, grid: dict, evaluator, folds: int = 3, seed: int = 0,
-                parallelism: int = 2):
-    """Exhaustive grid, k-fold; returns (param maps, average scores, best model)."""
-    b = ParamGridBuilder()
-    for p, values in grid.items():
-        b = b.addGrid(getattr(estimator, p), values)
-    maps = b.build()
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator,
-                        numFolds=folds, seed=seed, parallelism=parallelism)
-    m = cv.fit(df)
-    return maps, list(m.avgMetrics), m.bestModel
-
-
-def random_search(df: DataFrame, estimator, space: dict, evaluator, n_iter: int = 10,
-                  folds: int = 3, seed: int = 42, parallelism: int = 2):
-    """Seeded draws without repeats from the parameter lists (all of them when
-    there are no more than ``n_iter``), then the same cross-validation."""
-    names = sorted(space)
-    every = list(itertools.product(*(space[p] for p in names)))
-    drawn = random.Random(seed).sample(every, min(n_iter, len(every)))
-    maps = [{getattr(estimator, p): v for p, v in zip(names, values)} for values in drawn]
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator,
-                        numFolds=folds, seed=seed, parallelism=parallelism)
-    m = cv.fit(df)
-    return maps, list(m.avgMetrics), m.bestModel
-
-
 def rfe(df: DataFrame, features: list[str], label: str, n: int, step: int = 10,
         n_trees: int = 10, max_depth: int = 10, seed: int = 0) -> list[list[str]]:
     """Fit a forest, drop the ``min(step, m - n)`` least important

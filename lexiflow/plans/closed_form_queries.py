@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..operators import models as ML
 from ..operators.boosting import BoostedRegressor
+from ..operators.search import grid_maps, search
 from ..operators.stats import cumulative
 from ..sources.readers import read_table
+from .sqltext import keyed_hash
 
 CLASSES = ["A", "N", "R"]      # return flags in alphabetical order
 
@@ -176,3 +178,45 @@ def boost_two_rounds_sql():
 
 
 SQL["boost_two_rounds"] = boost_two_rounds_sql
+
+
+# --- a search whose folds and trees have a closed form -------------------------------------------
+
+LETTERS = ["é", "ñ", "ß"]
+SEARCH_FOLDS = 3
+
+
+def search_stumps(spark, sf):
+    """Trees of depth 0 and 1 on three letters of a text, for its language: the
+    accuracy of every (parameters, fold)."""
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", *[
+        F.coalesce(F.contains("text", F.lit(x)), F.lit(False)).cast("double").alias(f"x{i}") for i, x in enumerate(LETTERS)])
+    d = StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc").fit(d).transform(d)
+    d = VectorAssembler(inputCols=[f"x{i}" for i in range(len(LETTERS))], outputCol="features").transform(d)
+    est = ML.decision_tree()
+    out = search(d, est, grid_maps(est, {"maxDepth": [0, 1]}), "doc_id", "label", SEARCH_FOLDS, metric="accuracy", refit=False)
+    return out.scores.select("params", F.col("fold").cast("bigint").alias("fold"), F.round("score", 9).alias("score"))
+
+
+def search_stumps_sql():
+    has = ", ".join(f"coalesce(contains(text, '{x}'), false) AS x{i}" for i, x in enumerate(LETTERS))
+    h = keyed_hash("CAST(doc_id AS VARCHAR) || ':0'")
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, fold, {i} AS f, x{i} AS v FROM d" for i in range(len(LETTERS)))
+    return f"""WITH d AS (SELECT doc_id, lang, {has},
+  (row_number() OVER (PARTITION BY lang ORDER BY {h}, doc_id) - 1) % {SEARCH_FOLDS} AS fold FROM documents),
+long AS ({long}), held AS (SELECT range AS held FROM range({SEARCH_FOLDS})),
+cell AS (SELECT held, f, v, lang, count(*) AS n FROM long, held WHERE fold <> held GROUP BY ALL),
+side AS (SELECT *, sum(n) OVER (PARTITION BY held, f, v) AS m FROM cell),
+best AS (SELECT held, f FROM side GROUP BY held, f
+  QUALIFY row_number() OVER (PARTITION BY held ORDER BY sum(-n * log2(n / m)), f) = 1),
+leaf AS (SELECT held, f, v, lang FROM cell JOIN best USING (held, f)
+  QUALIFY row_number() OVER (PARTITION BY held, v ORDER BY n DESC, lang) = 1),
+root AS (SELECT held, lang FROM cell WHERE f = 0 GROUP BY held, lang
+  QUALIFY row_number() OVER (PARTITION BY held ORDER BY sum(n) DESC, lang) = 1)
+SELECT 'maxDepth=0' AS params, fold::BIGINT AS fold, round(avg((d.lang = root.lang)::INT), 9) AS score
+FROM d JOIN root ON held = fold GROUP BY fold
+UNION ALL SELECT 'maxDepth=1', fold::BIGINT, round(avg((long.lang = leaf.lang)::INT), 9)
+FROM long JOIN leaf ON held = fold AND long.f = leaf.f AND long.v = leaf.v GROUP BY fold"""
+
+
+SQL["search_stumps"] = search_stumps_sql

@@ -32,12 +32,13 @@ from ..operators.features import apply_factorize, fit_factorize, fit_scaler, min
 from ..operators.kd_tree import knn_tree
 from ..operators.neighbors import knn, vote
 from ..operators.sampling import undersample
+from ..operators.search import grid_maps, random_maps, search
 from ..operators.smote import oversample
 from ..operators.stats import corr_with_target, cov_with_target, top_n
 from ..operators.vectorizer import TfidfVectorizer
 from ..session import cut_lineage
 from ..schemas import FEATURE_SETS, FLOW_CLASS_ALIASES, FLOW_FEATURES, REVIEW
-from ..sources.readers import (decode_with_defaults, encode_sorted_json, read_flows, read_reviews,
+from ..sources.readers import (decode_with_defaults, encode_sorted_json, head, read_flows, read_reviews,
                                tail, write_json)
 from ..operators.encode import encode
 
@@ -481,38 +482,39 @@ def train_and_validate(spark: SparkSession, train_path: str, heldout_path: str,
             "accuracy": M.accuracy(p, target, "prediction")}
 
 
-TUNE_SPACE = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20, 30], "minInstancesPerNode": [1, 2, 4]}
-TUNE_GRID = {"numTrees": [100, 200], "maxDepth": [10, 20], "minInstancesPerNode": [1, 2]}
+# fixed values: the original searches (100 draws, 108 points).  MLlib has no least size of
+# a node to split, so the grid varies the bins instead, and depths end at its limit of 30
+TUNE_SPACE = {"numTrees": [20, 51, 82, 113, 144, 175, 206, 237, 268, 300], "maxDepth": [10, 20, 30],
+              "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["log2", "sqrt", "all"],
+              "bootstrap": [True, False]}
+TUNE_GRID = {"numTrees": [30, 100, 200], "maxDepth": [5, 10, 20, 30], "minInstancesPerNode": [1, 2, 3],
+             "maxBins": [32, 64, 128]}
 
 
 def tune_forest(df: DataFrame, features: list, target: str, key: str, head_rows: int | None = None,
                 seed: int = 42, space: dict | None = None, grid: dict | None = None, draws: int = 100,
-                folds: int = 3) -> DataFrame:
-    """Baseline vs randomised vs grid-searched forest regressor, scored by
-    the MAPE-style score (A12) on a held-out part, with improvement in percent.
-    All rows take part unless ``head_rows`` asks for the first by ``key``; the
-    search sizes are parameters (``draws`` is cut to the size of ``space``)."""
+                folds: int = 3, base_trees: int = 10) -> dict:
+    """Baseline vs randomised vs grid-searched forest regressor, scored by the
+    MAPE-style score (A12) on a held-out part, with improvement in percent (A16), and
+    every search's score per (parameters, fold).  All rows take part unless
+    ``head_rows`` asks for the first by ``key``; the search sizes are parameters."""
     spark = df.sparkSession
-    d = df if head_rows is None else df.orderBy(key).limit(head_rows)
-    space, grid = space or TUNE_SPACE, grid or TUNE_GRID
+    d = df if head_rows is None else head(df, head_rows, key)
     d = VectorAssembler(inputCols=features, outputCol="features").transform(d)
     d = d.withColumn("is_test", in_test(key, seed, 20))
-    train, test = d.where(~F.col("is_test")).cache(), d.where(F.col("is_test"))
-    from pyspark.ml.evaluation import RegressionEvaluator
-    ev = RegressionEvaluator(labelCol=target, metricName="mae")
-    ev.isLargerBetter = lambda: False
+    train, test = cut_lineage(d.where(~F.col("is_test")), "tune-train"), cut_lineage(d.where(F.col("is_test")), "tune-test")
 
     def score(model):
         return M.mape_score(model.transform(test), target, "prediction").first()["score"]
-    base = ML.random_forest_regressor(n_trees=100, label=target)
-    s0 = score(base.fit(train))
-    _, _, best_r = ML.random_search(train, ML.random_forest_regressor(label=target),
-                                    space, ev, n_iter=draws, folds=folds)
-    s1 = score(best_r)
-    _, _, best_g = ML.grid_search(train, ML.random_forest_regressor(label=target),
-                                  grid, ev, folds=folds)
-    s2 = score(best_g)
-    train.unpersist()
-    rows = [("baseline", s0, 0.0), ("random", s1, 100.0 * (s1 - s0) / s0),
-            ("grid", s2, 100.0 * (s2 - s0) / s0)]
-    return spark.createDataFrame(rows, "variant string, score double, improvement_pct double")
+
+    est = ML.random_forest_regressor(label=target)
+    variants = {"random": random_maps(est, space or TUNE_SPACE, draws, seed), "grid": grid_maps(est, grid or TUNE_GRID)}
+    rows, folds_of = [("baseline", score(ML.random_forest_regressor(n_trees=base_trees, label=target).fit(train)))], {}
+    for name, maps in variants.items():
+        # regression has no classes to share out: folds by the key's hash alone
+        found = search(train.withColumn("_one", F.lit(1)), est, maps, key, target, folds, seed, "mape", strata="_one")
+        rows.append((name, score(found.best_model)))
+        folds_of[name] = found.scores
+    out = spark.createDataFrame(rows, "variant string, score double")
+    out = out.withColumn("improvement_pct", M.improvement_pct(F.lit(rows[0][1]), F.col("score")))
+    return {"variants": out, "random_folds": folds_of["random"], "grid_folds": folds_of["grid"]}

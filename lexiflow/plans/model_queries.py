@@ -15,6 +15,7 @@ from ..functions.text import word_tokens
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators.sampling import undersample
+from ..operators.search import grid_maps, random_maps, search
 from ..operators.smote import oversample
 from ..operators.stats import cumulative
 from ..operators.vectorizer import TfidfVectorizer
@@ -153,25 +154,17 @@ def rfe_select(spark, sf):
 
 
 def grid_search(spark, sf):
-    """M10 + A9: forest grid scored by macro-F1 with 3 folds."""
-    e = _emb(spark, sf)
+    """M10 + A9: forest grid, macro-F1 of every point in every fold."""
     est = ML.random_forest(seed=0)
-    maps, scores, _ = ML.grid_search(e, est, {"maxDepth": [3, 5], "numTrees": [5, 10]},
-                                     ML.MacroF1Evaluator(), folds=3)
-    rows = [(",".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)),
-             float(s)) for m, s in zip(maps, scores)]
-    return spark.createDataFrame(rows, "params string, macro_f1 double")
+    maps = grid_maps(est, {"maxDepth": [3, 5], "numTrees": [5, 10]})
+    return search(_emb(spark, sf), est, maps, "vec_id", "label", refit=False).scores
 
 
 def random_search(spark, sf):
-    """Four seeded draws from a forest parameter space."""
-    e = _emb(spark, sf)
+    """Four seeded draws from a forest parameter space, macro-F1 in every fold."""
     est = ML.random_forest(seed=0)
-    maps, scores, _ = ML.random_search(e, est, {"maxDepth": [2, 4, 6, 8], "numTrees": [5, 10, 20]},
-                                       ML.MacroF1Evaluator(), n_iter=4, folds=3)
-    rows = [(",".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)),
-             float(s)) for m, s in zip(maps, scores)]
-    return spark.createDataFrame(rows, "params string, macro_f1 double")
+    maps = random_maps(est, {"maxDepth": [2, 4, 6, 8], "numTrees": [5, 10, 20]}, 4)
+    return search(_emb(spark, sf), est, maps, "vec_id", "label", refit=False).scores
 
 
 def cv_scores(spark, sf):
