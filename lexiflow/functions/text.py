@@ -108,3 +108,8 @@ def ngrams(tokens, n: int) -> Column:
     return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.size(t) - n),
                     lambda i: F.array_join(F.slice(t, i + 1, n), " ")))
+
+
+def written_words(col) -> Column:
+    """Cased words and single other signs, as sub-word splitting takes them."""
+    return F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(r"([\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}])"))

@@ -41,6 +41,9 @@ from ..schemas import FEATURE_SETS, FLOW_CLASS_ALIASES, FLOW_FEATURES, REVIEW
 from ..sources.readers import (decode_with_defaults, encode_sorted_json, head, read_flows, read_reviews,
                                tail, write_json)
 from ..operators.encode import encode
+from ..operators.subwords import encode_pieces
+from ..sources.checked import issue_counts, read_flows_checked
+from ..sources.line_tail import tail_lines
 
 
 def _review_key(df: DataFrame) -> DataFrame:
@@ -213,16 +216,24 @@ def apply_model(df: DataFrame, make_predict_fn, input_col: str, n_classes: int |
 # ------------------------------------------------------------------------- E5
 
 def newest_encoded(spark: SparkSession, path: str, vocab: DataFrame, out_path: str | None = None,
-                   n: int = 5000, max_len: int = 512, seq_col: str = "date") -> DataFrame:
-    """E5: newest n reviews -> records with defaults -> fixed-length ids -> JSON."""
-    raw = spark.read.text(path).select(F.col("value").alias("json"))
-    rec = raw.select(decode_with_defaults("json", REVIEW).alias("r")).select("r.*")
-    rec = _review_key(rec)
-    newest = tail(rec.withColumn("_tie", F.md5(F.to_json(F.struct(*rec.columns)))), n, seq_col, ["_tie"]).drop("_tie")
-    toks = newest.select("_key", X.split_ws(F.lower("text")).alias("tokens"))
-    enc = encode(toks, "_key", "tokens", vocab, max_len)
-    out = newest.join(enc, "_key").select("stars", "useful", "funny", "cool", "text",
-                                          "input_ids", "attention_mask")
+                   n: int = 5000, max_len: int = 512, seq_col: str | None = None) -> DataFrame:
+    """E5: newest n reviews -> records with defaults -> fixed-length ids -> JSON.
+
+    Newest are the last n lines by their place in the files, read from the files' ends;
+    with a ``seq_col``, the n largest of that column.  A ``vocab`` (piece, id) gives
+    sub-word pieces of the cased text, one with (token, id) whole lower-case words."""
+    if seq_col is None:
+        raw = tail_lines(spark, path, n).select(F.col("place").cast("string").alias("_key"), F.col("value").alias("json"))
+        newest = raw.select("_key", decode_with_defaults("json", REVIEW).alias("r")).select("_key", "r.*")
+    else:
+        raw = spark.read.text(path).select(F.col("value").alias("json"))
+        rec = _review_key(raw.select(decode_with_defaults("json", REVIEW).alias("r")).select("r.*"))
+        newest = tail(rec.withColumn("_tie", F.md5(F.to_json(F.struct(*rec.columns)))), n, seq_col, ["_tie"]).drop("_tie")
+    if "piece" in vocab.columns:
+        enc = encode_pieces(newest.select("_key", X.written_words("text").alias("tokens")), "_key", "tokens", vocab, max_len)
+    else:
+        enc = encode(newest.select("_key", X.split_ws(F.lower("text")).alias("tokens")), "_key", "tokens", vocab, max_len)
+    out = newest.join(enc, "_key").select("stars", "useful", "funny", "cool", "text", "input_ids", "attention_mask")
     if out_path:
         write_json(out.select(encode_sorted_json(out).alias("value")), out_path)
     return out
@@ -466,20 +477,22 @@ def train_flow_model(df: DataFrame, family: str = "rf", target: str = "Label", k
 def validate_saved(spark: SparkSession, model_path: str, heldout_path: str) -> dict:
     """Load a saved model and report on a held-out file."""
     m = FlowModel.load(spark, model_path)
-    p = m.predict(with_row_digest(clean_flows(read_flows(spark, heldout_path))))
+    rows, issues = read_flows_checked(spark, heldout_path)
+    p = m.predict(with_row_digest(clean_flows(rows)))
     return {"class_report": M.class_report(p, m.target, "prediction"),
-            "accuracy": M.accuracy(p, m.target, "prediction")}
+            "accuracy": M.accuracy(p, m.target, "prediction"), "issues": issue_counts(issues)}
 
 
 def train_and_validate(spark: SparkSession, train_path: str, heldout_path: str, family: str = "rf",
                        target: str = "Label", sample: str = "none", samples: int = 100_000) -> dict:
     """Fit the family's preprocessing and model (lr, rf, tree or knn) on the
     training file, then score the held-out file with the same fitted pieces."""
-    tr = with_row_digest(clean_flows(read_flows(spark, train_path)))
-    ho = with_row_digest(clean_flows(read_flows(spark, heldout_path)))
+    rows, issues = read_flows_checked(spark, train_path)
+    held, more = read_flows_checked(spark, heldout_path)
+    tr, ho = with_row_digest(clean_flows(rows)), with_row_digest(clean_flows(held))
     p = train_flow_model(tr, family, target, sample=sample, samples=samples).predict(ho)
     return {"class_report": M.class_report(p, target, "prediction"),
-            "accuracy": M.accuracy(p, target, "prediction")}
+            "accuracy": M.accuracy(p, target, "prediction"), "issues": issue_counts(issues.unionByName(more))}
 
 
 # fixed values: the original searches (100 draws, 108 points).  MLlib has no least size of

@@ -49,7 +49,8 @@ GROUPS.append((SQ, STREAM_SQL, ["nb_incremental", "nb_stream_predict"]))
 from . import closed_form_queries as CF
 from . import context_queries as XQ
 from . import review_queries as VQ
-for _module in (CF, VQ, XQ):
+from . import source_queries as FQ
+for _module in (CF, VQ, XQ, FQ):
     GROUPS.append((_module, _Alias(_module.SQL), list(_module.SQL)))
 
 # (module, name) pairs checked by row counts and invariants only

@@ -116,3 +116,38 @@ def test_review_models_are_saved_and_validated(spark, tmp_dir):
     assert again["classifier_accuracy"].first()["accuracy"] > 0.3
     assert {r.target for r in again["regression_rmse"].collect()} == set(J.VOTES)
     assert again["classifier_pos_report"].count() > 3 and again["classifier_adjusted_report"].count() > 3
+
+
+def test_newest_reviews_by_place_as_pieces(spark, tmp_dir):
+    for name, texts in (("a.json", ["Old one", "older"]), ("b.json", ["Tasty food!", None, "un-known"])):
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            for t in texts:
+                f.write(json.dumps({"stars": 4, "text": t} if t else {}) + "\n")
+    pieces = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "T", "##asty", "food", "!", "un", "-", "known"]
+    vocab = spark.createDataFrame(list(zip(pieces, range(len(pieces)))), "piece string, id int")
+    out = J.newest_encoded(spark, tmp_dir, vocab, f"{tmp_dir}/out", n=3, max_len=8)
+    got = {r.text: (r.input_ids, sum(r.attention_mask), r.stars) for r in out.collect()}
+    assert got == {"Tasty food!": ([2, 4, 5, 6, 7, 3, 0, 0], 6, 4), "un-known": ([2, 8, 9, 10, 3, 0, 0, 0], 5, 4),
+                   "": ([2, 3, 0, 0, 0, 0, 0, 0], 2, 0)}
+    written = [json.loads(json.loads(r.value)["value"]) for r in spark.read.text(f"{tmp_dir}/out").collect()]
+    assert sorted(w["text"] for w in written) == ["", "Tasty food!", "un-known"]
+    words = spark.createDataFrame([("tasty", 2), ("old", 3)], "token string, id bigint")
+    by_column = J.newest_encoded(spark, tmp_dir, words, n=5, max_len=3, seq_col="stars").collect()
+    assert len(by_column) == 5 and [2, 1, 0] in [r.input_ids for r in by_column]
+
+
+def test_dirty_flows_are_reported(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "flows.csv")
+    _flows(p, n=120)
+    lines = open(p).read().split("\n")
+    at = lines[0].split(",").index("dur")
+    cells = lines[3].split(",")
+    cells[at] = "1.2.3"
+    lines[3] = ",".join(cells)
+    lines[7] = "cut,short"
+    with open(p, "w") as f:
+        f.write("\n".join(lines))
+    out = J.train_and_validate(spark, p, p, family="tree", target="Label")
+    issues = {(r["column"], r.reason): r.n for r in out["issues"].collect()}
+    assert issues["dur", "not a double"] == 2 and issues[None, "malformed"] == 2 and len(issues) == 2
+    assert out["accuracy"].first()["accuracy"] > 0.9
