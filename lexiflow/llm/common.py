@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import xxhash
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 # ASCII white space of the word definition [^\x20\x09-\x0D]+ ; bytes.split() cuts at exactly these
 WORD_SEP = r"[\x20\x09-\x0D]+"
+# the UTF-8 bytes of the white space beyond ASCII
+WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80").search
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import checked_broadcast
 from ..session import Scratch
 from . import vocab
-from .common import in_parts, small_batches, table, utf8
+from .common import WIDE_SPACE, in_parts, small_batches, table, utf8
 from .word_ids import Pool, Ragged
 
 HOT_PAIRS = 1 << 20
@@ -127,14 +127,16 @@ class Pair:
     def keys(text: bytes) -> list[bytes]:
         """Stretches of white space and what follows, of a blank and the text; without
         their blank where it is one blank before another character."""
+        if not text.isascii() and WIDE_SPACE(text):       # white space that isn't cut at: the text as it is
+            return [b" " + text if text[0] in _WHITE else text]
         if text[0] not in _WHITE and text[-1] not in _WHITE and not any(x in text for x in _RUNS):
             return text.replace(b"\n", b" \n").split(b" ")
         return [s[1:] if s[0] == 32 and len(s) > 1 and s[1] not in _WHITE else s for s in _STRETCH(b" " + text)]
 
     def _learn(self, keys: list[bytes]) -> None:
         raw = [k if k[0] in _WHITE else b" " + k for k in keys]
-        # stretches of white space alone would run into the next one: they go one by one
-        blank = [i for i, s in enumerate(raw) if not s.strip()]
+        # white space at a stretch's end would run into the next one: such stretches go one by one
+        blank = [i for i, s in enumerate(raw) if s[-1] in _WHITE or not s.isascii() and WIDE_SPACE(s)]
         full = np.setdiff1d(np.arange(len(raw)), blank)
         found = Ragged()
         flat = self.a.encode_to_numpy(b"".join([raw[i] for i in full] if blank else raw).decode("utf-8", "replace"),
@@ -142,7 +144,7 @@ class Pair:
         ends = np.cumsum([len(raw[i]) for i in full], dtype=np.int64)
         found.add(flat, np.searchsorted(np.cumsum(self.length_a[flat]), ends) + 1)
         for i in blank:
-            ids = self.a.encode_to_numpy(raw[i].decode(), disallowed_special=())
+            ids = self.a.encode_to_numpy(raw[i].decode("utf-8", "replace"), disallowed_special=())
             found.add(ids, [len(ids)])
         place = np.argsort(np.concatenate([full, np.array(blank, np.int64)]))
         # the library puts a blank before every text: it stands for the one cut off, or goes again

@@ -28,20 +28,20 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from . import vocab
-from .common import in_parts, small_batches, table, utf8
+from .common import WIDE_SPACE, in_parts, small_batches, table, utf8
+from .word_ids import Pool, Ragged
 
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)").split
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z").search
+_STRETCH = re.compile(rb"[\x09-\x0d\x20]+[^\x09-\x0d\x20]*|[^\x09-\x0d\x20]+").findall
+_WHITE = frozenset(b" \t\n\v\f\r")
+_RUNS = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\v", b"\f", b"\r")
 
 
-class ByteBpe(dict):
-    """Ids of a text, as little-endian 32-bit numbers.  The pattern never joins
-    across a single space between two other characters, so texts are cut there
-    and the ids of each distinct stretch are kept (a bounded dictionary)."""
+class ByteBpe:
+    """Ids of texts, in batches.  The pattern never joins across the beginning of white
+    space, so texts are cut there; the distinct new stretches of a batch are encoded in
+    one call and kept in a bounded pool."""
 
     def __init__(self, path: str):
-        super().__init__()
         import tiktoken
         d = vocab.load(path)
         chars = {c: b for b, c in vocab.byte_symbols().items()}
@@ -50,25 +50,55 @@ class ByteBpe(dict):
         self.encoding = tiktoken.Encoding(
             "file", mergeable_ranks=ranks, special_tokens={},
             pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.lengths = np.zeros(1 + max(ranks.values()), np.int64)
+        self.lengths[list(ranks.values())] = [len(t) for t in ranks]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(stretch), np.uint32).tobytes()
-        if len(stretch) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[stretch] = ids
-        return ids
-
-    def _plain(self, text: str) -> bytes:
-        first, *rest = (_INNER_SPACE if _RUNS(text) else str.split)(text, *(() if _RUNS(text) else (" ",)))
-        return self[first] + b"".join(map(self.__getitem__, [" " + x for x in rest]))
-
-    def ids(self, text: str) -> bytes:
-        if "<|" in text:
-            return b"".join(np.uint32(self.special[x]).tobytes() if x in self.special else self._plain(x)
-                            for x in self.cut(text) if x)
-        return self._plain(text) if text else b""
+        self.odd = re.compile(b"|".join(re.escape(t.encode()) for t in self.special)).search
+        self.pool = Pool()
+
+    @staticmethod
+    def stretches(text: bytes) -> list[bytes]:
+        if not text:
+            return []
+        if not text.isascii() and WIDE_SPACE(text):       # white space that isn't cut at: the text as it is
+            return [text]
+        if text[0] not in _WHITE and text[-1] not in _WHITE and not any(x in text for x in _RUNS):
+            first, *rest = text.replace(b"\n", b" \n").split(b" ")
+            return [first, *[r if r[0] == 10 else b" " + r for r in rest]]
+        return _STRETCH(text)
+
+    def _plain(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
+
+    def _learn(self, new: list[bytes]) -> None:
+        # white space alone would run into the next stretch, a special token is cut out: one by one
+        alone = [i for i, s in enumerate(new) if s[-1] in _WHITE or self.odd(s) or not s.isascii() and WIDE_SPACE(s)]
+        together = np.setdiff1d(np.arange(len(new)), alone)
+        found, parts = Ragged(), [new[i] for i in together]
+        # a stretch that begins a text has no white space before it: a line feed keeps it apart
+        loose = np.array([p[0] not in _WHITE for p in parts], np.int64)
+        flat = self._plain(b"".join([b"\n" + p if x else p for p, x in zip(parts, loose)]).decode("utf-8", "replace"))
+        upto = np.cumsum(self.lengths[flat])
+        ends = np.searchsorted(upto, np.cumsum(np.array([len(p) for p in parts], np.int64) + loose)) + 1
+        begins = np.append(0, ends[:-1]) if len(ends) else ends
+        flat = np.delete(flat, begins[loose == 1])
+        found.add(flat, ends - np.cumsum(loose))
+        for i in alone:
+            pieces = [p for p in self.cut(new[i].decode("utf-8", "replace")) if p]
+            ids = [np.array([self.special[p]]) if p in self.special else self._plain(p) for p in pieces]
+            found.add(np.concatenate(ids), [sum(map(len, ids))])
+        place = np.argsort(np.concatenate([together, np.array(alone, np.int64)]))
+        self.pool.columns[0].add(found.gather(place), np.cumsum(found.lengths(place)))
+
+    def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each text has."""
+        cut = [self.stretches(t) for t in texts]
+        numbers = self.pool.numbers(cut)
+        if self.pool.new:
+            self._learn(self.pool.new)
+        ids = self.pool.columns[0]
+        upto = np.append(0, np.cumsum(ids.lengths(numbers)))
+        return ids.gather(numbers), np.diff(upto[np.cumsum([len(c) for c in cut], dtype=np.int64)], prepend=0)
 
 
 _MODELS: dict[str, ByteBpe] = {}
@@ -90,17 +120,20 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, window: int, path: str,
         used = np.zeros(window + 1, np.int64)
         for b in in_parts(batches):
             row, start, length, crc, total, local, ids = [], [], [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                blob = memoryview(model.ids(text.decode("utf-8", "replace")) + b"\0\0\0\0")
-                m = len(blob) // 4
+            found, counts = model.batch(b.column(1).to_pylist())
+            stops = np.cumsum(counts)
+            blob = memoryview(np.insert(found, stops, 0).astype("<u4")).cast("B")      # the closing id
+            base = 0
+            for i, m in enumerate((counts + 1).tolist()):
                 for s in range(0, m, window):
-                    cut = blob[4 * s:4 * (s + window)]
-                    n = len(cut) // 4
+                    n = min(window, m - s)
+                    cut = blob[4 * (base + s):4 * (base + s + n)]
                     row.append(i), start.append(s), length.append(n), crc.append(zlib.crc32(cut))
                     total.append(m), local.append(used[n])
                     used[n] += 1
                     if with_ids:
                         ids.append(bytes(cut))
+                base += m
             cols = [b.column(0).take(pa.array(row, pa.int64()))]
             cols += [pa.array(x, pa.int64()) for x in (start, length, crc, total, [part] * len(row), local)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local"]

@@ -97,7 +97,7 @@ def test_align_finds_every_cut():
 
 def test_odd_texts(plain):
     rng = random.Random(2)
-    signs = "ab;) c  \r\n\tdé中x.1'▁<s>😀"
+    signs = "ab;) c  \r\n\tdé中x.1'▁<s>😀\xa0\u2003\x85"
     texts = [t for _, t in TEXTS] + ["<s>a</s> <|endoftext|>", "▁", "a▁b", "a\x00b", "xyz" * 3000, " " * 900 + "\n" * 90]
     texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     model = cross_align.Pair(*PATHS)

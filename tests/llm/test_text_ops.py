@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -300,3 +301,19 @@ def test_packing_odd_rows(spark):
     check_packed(rows)
     assert sum(r.start == 0 for r in rows) == len(TEXTS)
     assert packing.pack(documents(spark, [])).collect() == []
+
+
+def test_batches_of_ids_are_the_librarys():
+    path = vocab.default_path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    signs = [*"ab c   \r\n\tdé中x.1'<>|", "<|endoftext|>", " ", "\xa0", " ", "\x85"]
+    texts = ["<|endoftext|>", "\n<|endoftext|>\n\nx <|endoftext|>", "  ", "\n", "a\n", " \n a", "x" * 3000]
+    texts += ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(4000)]
+    model = packing.ByteBpe(path)
+    model.pool.limit = 500                       # cleared again and again
+    lib = Tokenizer.from_file(path)
+    for at in range(0, len(texts), 256):
+        part = texts[at:at + 256]
+        ids, n = model.batch([t.encode() for t in part])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [
+            e.ids for e in lib.encode_batch(part, add_special_tokens=False)]
