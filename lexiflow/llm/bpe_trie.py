@@ -6,12 +6,14 @@ with the last token before it.  So one number per prefix -- its last token -- is
 enough state.  The distinct new words of a batch are put in trie order; going
 depth-first, a word keeps the states of the prefix it shares with its
 predecessor and computes only the rest; the word-end symbol closes the word, and
-its tokens are read back along the last tokens.
+its tokens are read back along the last tokens.  The entries that end at a prefix
+are those at its place in the vocabulary's suffix automaton, longest first, so
+a prefix tries no start where nothing ends.
 
-Texts are cut at ASCII white space, and each distinct stretch between is
-normalised, split and encoded once per worker (a bounded dictionary); a text's
-ids are the joined ids of its stretches.  No shuffle; memory is bounded by the
-dictionary and one batch."""
+Texts are cut at ASCII white space; each distinct stretch between is normalised
+and split, and each distinct word encoded, once per worker (bounded dictionaries);
+a text's ids are the joined ids of its stretches.  No shuffle; memory is bounded by
+the dictionaries and one batch."""
 
 from __future__ import annotations
 
@@ -30,6 +32,65 @@ from .common import Recent, in_parts, small_batches, table, utf8
 MAX_PAIRS = 1_000_000
 
 
+class Suffixes:
+    """Automaton over the byte strings of several tables: from a place and a byte to the
+    place of the longest suffix that begins some string.  ``ends[k]`` has, for places
+    asked before, the (length, value) of table k's strings that end there, longest first."""
+
+    def __init__(self, *tables: dict[bytes, int]):
+        self.edges: dict[int, int] = {}               # place << 8 | byte -> place
+        self.own: list[dict[int, tuple[int, int]]] = [{} for _ in tables]
+        above, n = [(0, 0)], 1                        # (parent, byte) of every place
+        for own, strings in zip(self.own, tables):
+            for key, value in strings.items():
+                here = 0
+                for b in key:
+                    edge = here << 8 | b
+                    there = self.edges.get(edge)
+                    if there is None:
+                        there = self.edges[edge] = n
+                        above.append((here, b))
+                        n += 1
+                    here = there
+                own[here] = (len(key), value)
+        depth = [0] * n
+        for i in range(1, n):                         # parents have smaller numbers
+            depth[i] = depth[above[i][0]] + 1
+        self.back = [0] * n
+        for i in sorted(range(1, n), key=depth.__getitem__):
+            parent, b = above[i]
+            if parent:
+                self.back[i] = self._step(self.back[parent], b)
+        self.ends: list[dict[int, list]] = [{} for _ in tables]
+        self.learnt: list[int] = []
+
+    def _step(self, place: int, byte: int) -> int:
+        while True:
+            there = self.edges.get(place << 8 | byte)
+            if there is not None or not place:
+                return there or 0
+            place = self.back[place]
+
+    def step(self, edge: int) -> int:
+        """The place for an edge that no string has, remembered as an edge."""
+        if len(self.learnt) >= MAX_PAIRS:
+            for old in self.learnt:
+                del self.edges[old]
+            self.learnt = []
+        self.learnt.append(edge)
+        there = self.edges[edge] = self._step(edge >> 8, edge & 255)
+        return there
+
+    def ending(self, table: int, place: int) -> list[tuple[int, int]]:
+        out, here, own = [], place, self.own[table]
+        while here:
+            if here in own:
+                out.append(own[here])
+            here = self.back[here]
+        self.ends[table][place] = out                 # bounded by the vocabulary's places
+        return out
+
+
 class TrieBpe:
     """Vocabulary and states of a word-level BPE file with word-end symbols."""
 
@@ -60,12 +121,13 @@ class TrieBpe:
             key = bytes(back[c] for c in (t[:-len(self.suffix)] if closed else t))
             (self.end if closed else self.mid)[key] = i
             self.length[i] = len(key)
-        self.longest = max(self.length)
+        self.suffixes = Suffixes(self.mid, self.end if self.suffix else self.mid)
         self.token = dict(zip(ids.values(), ids)) | {i: t for t, i in self.special.items()}
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
+        self.split = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.raw = {i: int(i).to_bytes(4, "little") for i in self.token}
         self.name = {i: t.encode() for i, t in self.token.items()}
+        self.known = Recent(self.learn_words)
         self.recent = Recent(self.learn)
 
     def _compatible(self, a: int, b: int, limit: float = float("inf")) -> bool:
@@ -89,61 +151,92 @@ class TrieBpe:
                     if a == limit:
                         return True
 
-    def _last(self, tokens: dict, word: bytes, stop: int, state: list[int]) -> int:
-        """The last token of word[:stop], its earlier prefixes' last tokens given."""
-        ok = self.ok
-        for start in range(max(0, stop - self.longest), stop):
-            t = tokens.get(word[start:stop])
-            if t is None:
-                continue
-            if not start:
-                return t
-            key = (state[start - 1], t)
-            good = ok.get(key)
-            if good is None:
-                if len(ok) >= MAX_PAIRS:
-                    ok.clear()
-                good = ok[key] = self._compatible(*key)
-            if good:
-                return t
-        raise ValueError(f"no token ends at {stop} of {word!r}")
+    def _apart(self, a: int, b: int) -> bool:
+        """``_compatible``, remembered."""
+        if len(self.ok) >= MAX_PAIRS:
+            self.ok.clear()
+        good = self.ok[a, b] = self._compatible(a, b)
+        return good
 
     def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
         """Ids of each word, by one depth-first pass over their trie."""
-        out, state, prev = {}, [], b""
-        final = self.end if self.suffix else self.mid
+        out, state, places, prev = {}, [], [0], b""
+        suffixes, known, length = self.suffixes, self.ok, self.length
+        edges, (inside, final) = suffixes.edges, suffixes.ends
         for word in sorted(words):
-            shared, most = 0, min(len(state), len(word) - 1)
+            size = len(word)
+            shared, most = 0, min(len(state), size - 1)
             while shared < most and word[shared] == prev[shared]:
                 shared += 1
             del state[shared:]
-            for stop in range(shared + 1, len(word)):
-                state.append(self._last(self.mid, word, stop, state))
-            tokens, at = [self._last(final, word, len(word), state)], len(word)
-            while (at := at - self.length[tokens[-1]]) > 0:
-                tokens.append(state[at - 1])
+            del places[shared + 1:]
+            place = places[-1]
+            for stop in range(shared + 1, size + 1):
+                edge = place << 8 | word[stop - 1]
+                place = edges.get(edge)
+                if place is None:
+                    place = suffixes.step(edge)
+                if stop < size:
+                    ends = inside.get(place)
+                    if ends is None:
+                        ends = suffixes.ending(0, place)
+                else:
+                    ends = final.get(place)
+                    if ends is None:
+                        ends = suffixes.ending(1, place)
+                for n, t in ends:                     # the last token is the one that stays apart
+                    if n == stop:
+                        break
+                    pair = (state[stop - n - 1], t)
+                    good = known.get(pair)
+                    if good or good is None and self._apart(*pair):
+                        break
+                else:
+                    raise ValueError(f"no token ends at {stop} of {word!r}")
+                if stop < size:
+                    places.append(place)
+                    state.append(t)
+            tokens, at = [t], size - length[t]
+            while at > 0:
+                t = state[at - 1]
+                tokens.append(t)
+                at -= length[t]
             out[word], prev = [self.ids[t] for t in reversed(tokens)], word
         return out
 
-    def _parts(self, stretch: bytes):
-        """The special tokens' ids and the words' bytes of one stretch, in order."""
-        text = stretch.decode("utf-8", "replace")
-        for piece in self.cut(text) if "<|" in text else (text,):
-            if piece in self.special:
-                yield self.special[piece]
-            elif piece:
-                plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                for w in self.split(plain):
-                    yield w.encode()
+    def learn_words(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """(ids as little-endian 32-bit, decoded text and a blank) of each word."""
+        coded = {w: w.encode() for w in words}
+        ids = self.encode_words(set(coded.values()))
+        raw = self.raw
+        return {w: (b"".join([raw[i] for i in ids[c]]), self.decode(ids[c]) + b" ") for w, c in coded.items()}
 
     def learn(self, stretches: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit, decoded text and a blank) of each stretch."""
-        parts = {s: list(self._parts(s)) for s in stretches}
-        ids = self.encode_words({w for p in parts.values() for w in p if not isinstance(w, int)})
-        out = {}
-        for s, p in parts.items():
-            flat = [i for w in p for i in ([w] if isinstance(w, int) else ids[w])]
-            out[s] = (b"".join([self.raw[i] for i in flat]), self.decode(flat) + b" " if flat else b"")
+        """(ids, decoded text and a blank) of each stretch."""
+        plain, parts = list(stretches), []             # (stretch, its pieces but the special tokens)
+        marked = [s for s in plain if b"<|" in s and any(x in s.decode("utf-8", "replace") for x in self.special)]
+        if marked:
+            plain = list(stretches.difference(marked))
+            parts = [[p for p in self.cut(s.decode("utf-8", "replace")) if p] for s in marked]
+        lines = b"\n".join(plain).decode("utf-8", "replace").split("\n") if plain else []
+        lines += [p for pieces in parts for p in pieces if p not in self.special]
+        found = self.split(unicodedata.normalize("NFC", "\n".join(lines)).replace("Σ", "σ").lower())
+        known = self.known.values(set(found).difference("\n"))
+        rows, row = [], []
+        for w in found:
+            if w == "\n":
+                rows.append(row)
+                row = []
+            else:
+                row.append(known[w])
+        rows.append(row)
+        joined = [r[0] if len(r) == 1 else (b"".join([x for x, _ in r]), b"".join([y for _, y in r])) for r in rows]
+        out = dict(zip(plain, joined))
+        rest = iter(joined[len(plain):])
+        for s, pieces in zip(marked, parts):
+            both = [(self.raw[self.special[p]], self.name[self.special[p]] + b" ") if p in self.special else next(rest)
+                    for p in pieces]
+            out[s] = b"".join([x for x, _ in both]), b"".join([y for _, y in both])
         return out
 
     def decode(self, ids) -> bytes:
