@@ -7,11 +7,12 @@ joined back (broadcast under a row bound).
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
 from .ranking import rank_within
 
@@ -23,26 +24,53 @@ MAX_DIMS = 100_000
 def fit_factorize(df: DataFrame, cols: list[str], order_cols) -> DataFrame:
     """Codes by first appearance for several columns in one pass:
     (column, value, code).  ``order_cols`` define "first" (file order is not a
-    Spark notion).  Ties of first position are broken by the value."""
+    Spark notion).  Ties of first position are broken by the value.
+
+    Firsts are found one order column after the other -- the least value of the first
+    column, among those rows the least of the second -- so every step is a hash
+    aggregation on (column, value) with map-side combine."""
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    first = F.struct(*order)
     e = F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                      F.col(c).cast("string").alias("value")) for c in cols]))
-    firsts = (df.select(e.alias("e"), first.alias("_first")).select("e.*", "_first")
-              .where(F.col("value").isNotNull())
-              .groupBy("column", "value").agg(F.min("_first").alias("_first")))
-    coded = rank_within(firsts, ["column"], [F.col("_first"), F.col("value")], "code")
-    return coded.select("column", "value", F.col("code").cast("bigint").alias("code"))
+    names = [f"_o{i}" for i in range(len(order))]
+    each = (df.select(e.alias("e"), *[c.alias(n) for c, n in zip(order, names)]).select("e.*", *names)
+            .where(F.col("value").isNotNull()))
+    firsts = None
+    for i, n in enumerate(names):
+        seen = each
+        if firsts is not None:
+            known = checked_broadcast(firsts.select(F.col("column").alias("_c"), F.col("value").alias("_v"),
+                                                    *[F.col(x).alias(f"_f{x}") for x in names[:i]]))
+            same = [F.col("column") == F.col("_c"), F.col("value") == F.col("_v")]
+            same += [F.col(x).eqNullSafe(F.col(f"_f{x}")) for x in names[:i]]
+            seen = each.join(known, reduce(lambda a, b: a & b, same), "left_semi")
+        # no position at all comes first, as nulls do in an ascending order
+        found = seen.groupBy("column", "value").agg(F.min(n).alias(n), F.max(F.col(n).isNull()).alias("_null"))
+        found = found.select("column", "value", F.when(~F.col("_null"), F.col(n)).alias(n))
+        firsts = found if firsts is None else firsts.join(found, ["column", "value"])
+    coded = rank_within(firsts, ["column"], [*[F.col(n) for n in names], F.col("value")], "code")
+    codes = cut_lineage(coded.select("column", "value", F.col("code").cast("bigint").alias("code")), "codes")
+    return codes
+
+
+def code_sizes(codes: DataFrame) -> dict:
+    """column -> (codes, bytes), one job for all columns, remembered with the table."""
+    if not hasattr(codes, "_code_sizes"):
+        rows = codes.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 40).alias("b"))
+        codes._code_sizes = {r["column"]: (r["n"], r["b"]) for r in rows.collect()}          # one row a column
+    return codes._code_sizes
 
 
 def apply_factorize(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "",
                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Replace each column by its code; null and unseen values -> -1."""
-    out = df
+    """Replace each column by its code; null and unseen values -> -1.  Columns whose codes
+    are proven small meet them in the scan's pipeline, the others in a shuffle join."""
+    out, sizes = df, code_sizes(codes)
     for c in cols:
+        n, size = sizes.get(c, (0, 0))
         m = codes.where(F.col("column") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        m = checked_broadcast(m, max_broadcast_rows)
+        m = checked_broadcast(m, max_broadcast_rows, known_rows=n, known_bytes=size)
         out = (out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
                .withColumn(c + suffix, F.coalesce(F.col(f"_c_{c}"), F.lit(-1).cast("bigint")))
                .drop(f"_v_{c}", f"_c_{c}"))
@@ -127,7 +155,6 @@ def tfidf_long(df: DataFrame, id_col: str, tokens_col: str,
     """(id, token, tf, weight): raw counts, smoothed idf ln((1+n)/(1+df)) + 1,
     rows L2-normalised.  The text is tokenised once, into a stored (id, token, tf)
     table; the idf table (one row per token) is broadcast only under a row bound."""
-    from ..session import cut_lineage
     tf = (df.select(id_col, F.explode_outer(tokens_col).alias("token")).where(F.col("token").isNotNull())
           .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
     tf = cut_lineage(tf, "tf")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams as ngram_expr
 from ..session import cut_lineage
-from .joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
+from .joins import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, checked_broadcast
 from .ranking import top_k_per_group
 
 MAX_LABELS = 100_000
@@ -187,11 +187,13 @@ def fit(df: DataFrame, id_col: str, tokens_col: str, targets: list[Target], ngra
 
 
 def _weights_for_join(model: NBModel, max_rows: int):
-    """(weights, broadcast?) -- broadcast only under a proven row bound."""
+    """(weights, broadcast?) -- broadcast only under a proven bound of rows and of bytes:
+    a row holds a token and one double per label."""
     if model.weight_rows is None:
         model.weight_rows = model.weights.count()
-    small = model.weight_rows <= max_rows
-    return checked_broadcast(model.weights, max_rows, known_rows=model.weight_rows), small
+    size = model.weight_rows * (8 * len(model.labels) + 64)
+    small = model.weight_rows <= max_rows and size <= DEFAULT_BROADCAST_BYTES
+    return checked_broadcast(model.weights, max_rows, known_rows=model.weight_rows, known_bytes=size), small
 
 
 def score_wide(model: NBModel, df: DataFrame, id_col: str, tokens_col: str,

@@ -27,8 +27,10 @@ from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import naive_bayes as nb
 from ..operators.boosting import BoostedRegressor
-from ..operators.clean import canonicalize, count_bucket, dedupe, drop_nulls, shift_label, strip, to_bool
-from ..operators.features import apply_factorize, fit_factorize, fit_scaler, minmax_expr, standard_expr
+from ..operators.clean import (canonicalize, count_bucket, dedupe, drop_nulls, select_by_position, shift_label,
+                               string_columns, strip, to_bool)
+from ..operators.features import (apply_factorize, fit_factorize, fit_scaler, minmax_expr, minmax_scale,
+                                 standard_expr)
 from ..operators.kd_tree import knn_tree
 from ..operators.neighbors import knn, vote
 from ..operators.sampling import undersample
@@ -265,6 +267,35 @@ def clean_flows(df: DataFrame, dialect: str = "create_model") -> DataFrame:
     return out
 
 
+TARGETS = 2          # attack_cat and Label, the last two columns
+
+
+def coded_flows(df: DataFrame, dialect: str = "create_model", order_cols=("row_id",), codes: DataFrame | None = None,
+                stats: dict | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """E6 as a whole: (numeric table, codes, scaler statistics) of flow records plus the
+    ``order_cols`` that say which value comes first.  Codes and statistics are fitted
+    here unless those of the training records are given.
+
+    * ``create_model``: clean, booleans as 0 / 1, the listed columns coded.
+    * ``lr``: clean, every string column coded, every column but the two targets min-max.
+    * ``listed``: clean, the listed columns coded and nothing else."""
+    names = [c for c in df.columns if c not in order_cols]
+    out = clean_flows(df, dialect)
+    coded = string_columns(out.select(*names)) if dialect == "lr" else [c for c in CATEGORICAL if c in names]
+    if codes is None:
+        codes = fit_factorize(out, coded, list(order_cols))
+    out = apply_factorize(out, codes, coded)
+    if dialect == "create_model":
+        flags = [c for c, t in out.dtypes if t == "boolean" and c not in order_cols]
+        out = out.withColumns({c: F.col(c).cast("int") for c in flags})
+    if dialect == "lr":
+        features = select_by_position(out.select(*names), stop=-TARGETS).columns
+        out = out.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in features], *names[-TARGETS:], *order_cols)
+        stats = stats or fit_scaler(out, features)
+        out = minmax_scale(out, features, stats)
+    return out.select(*[F.col(f"`{c}`") for c in names], *order_cols), codes, stats or {}
+
+
 CATEGORICAL = ["srcip", "sport", "dstip", "dsport", "proto", "state", "service",
                "ct_flw_http_mthd", "ct_ftp_cmd", "attack_cat"]
 
@@ -272,25 +303,30 @@ CATEGORICAL = ["srcip", "sport", "dstip", "dsport", "proto", "state", "service",
 @dataclass
 class FlowPrep:
     """Fitted preprocessing (M16): factor codes, scaler statistics, family.
-    ``scaler`` is minmax, standard or none."""
+    ``scaler`` is minmax, standard or none; ``pca`` reduces the vectors, if given."""
     family: str
     features: list
     codes: DataFrame
     stats: dict = field(default_factory=dict)
     order_cols: list = field(default_factory=list)
     scaler: str = "none"
+    pca: object = None
 
     def save(self, path: str) -> None:
         """Codes as a Parquet table, the rest as one JSON row."""
         self.codes.write.mode("overwrite").parquet(f"{path}/codes")
-        meta = json.dumps([self.family, self.features, self.stats, self.order_cols, self.scaler])
+        meta = json.dumps([self.family, self.features, self.stats, self.order_cols, self.scaler, self.pca is not None])
         self.codes.sparkSession.createDataFrame([(meta,)], "meta string").coalesce(1) \
             .write.mode("overwrite").json(f"{path}/meta")
+        if self.pca is not None:
+            self.pca.write().overwrite().save(f"{path}/pca")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FlowPrep":
-        family, features, stats, order_cols, scaler = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
-        return cls(family, features, spark.read.parquet(f"{path}/codes"), stats, order_cols, scaler)
+        *about, reduced = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
+        family, features, stats, order_cols, scaler = about
+        pca = PipelineModel.load(f"{path}/pca") if reduced else None
+        return cls(family, features, spark.read.parquet(f"{path}/codes"), stats, order_cols, scaler, pca)
 
     def transform(self, df: DataFrame) -> DataFrame:
         cats = [c for c in CATEGORICAL if c in df.columns]
@@ -308,18 +344,23 @@ class FlowPrep:
         elif self.scaler == "standard":
             out = out.select(*[standard_expr(c, self.stats[c]["mean"], self.stats[c]["std"]).alias(c)
                                for c in self.features], "attack_cat", "Label", *self.order_cols)
-        return VectorAssembler(inputCols=self.features, outputCol="features").transform(out)
+        out = VectorAssembler(inputCols=self.features, outputCol="features").transform(out)
+        if self.pca is not None:
+            out = self.pca.transform(out).drop("features", "_centred").withColumnRenamed("pca", "features")
+        return out
 
 
 SCALERS = {"lr": "minmax", "knn": "standard", "rf": "none", "tree": "none"}
 
 
-def fit_flow_prep(train: DataFrame, family: str, order_cols: list, scaler: str | None = None) -> FlowPrep:
-    """Feature set by family (lr: 15 min-max; knn: 47 standardised;
-    rf and tree: 17 raw), factor codes fitted on the training rows only (D7).
+def fit_flow_prep(train: DataFrame, family: str, order_cols: list, scaler: str | None = None,
+                  reduce_dimensions: bool = False, components: int = 10) -> FlowPrep:
+    """Feature set by family (lr: 15 min-max; knn: 47 standardised; rf: 17 raw;
+    tree: 47 raw), factor codes fitted on the training rows only (D7).
+    ``reduce_dimensions`` gives knn its principal components and the tree 15 columns;
     ``scaler`` overrides the family's."""
-    feats = {"lr": FEATURE_SETS["feat15"], "knn": FLOW_FEATURES,
-             "rf": FEATURE_SETS["rf17"], "tree": FEATURE_SETS["rf17"]}[family]
+    feats = {"lr": FEATURE_SETS["feat15"], "knn": FLOW_FEATURES, "rf": FEATURE_SETS["rf17"],
+             "tree": FEATURE_SETS["feat15"] if reduce_dimensions else FLOW_FEATURES}[family]
     scaler = scaler or SCALERS[family]
     cats = [c for c in CATEGORICAL if c in train.columns]
     codes = fit_factorize(train, cats, order_cols)
@@ -327,6 +368,8 @@ def fit_flow_prep(train: DataFrame, family: str, order_cols: list, scaler: str |
     if scaler != "none":
         base = FlowPrep(family="raw", features=list(feats), codes=codes, order_cols=list(order_cols))
         prep.stats = fit_scaler(base.transform(train), list(feats))
+    if reduce_dimensions and family == "knn":
+        prep.pca = ML.pca_pipeline(components).fit(prep.transform(train))
     return prep
 
 
@@ -425,7 +468,8 @@ class FlowModel:
         if self.prep.family != "knn":
             return self.model.transform(d).select("row_id", self.target, "prediction")
         q = d.select(F.col("row_id").alias("qid"), vector_to_array("features").alias("vec"), self.target)
-        votes = vote(knn(self.model, q.select("qid", "vec").dropDuplicates(["qid"]), self.k),
+        search_ = knn if self.prep.pca is None else knn_tree          # few dimensions: blocks can be skipped
+        votes = vote(search_(self.model, q.select("qid", "vec").dropDuplicates(["qid"]), self.k),
                      self.model.select("id", "label"))
         return q.join(votes, "qid").select(F.col("qid").alias("row_id"), self.target,
                                            F.col("pred").cast("double").alias("prediction"))
@@ -453,9 +497,9 @@ class FlowModel:
 
 
 def train_flow_model(df: DataFrame, family: str = "rf", target: str = "Label", k: int = 5, sample: str = "none",
-                     samples: int = 100_000) -> FlowModel:
+                     samples: int = 100_000, reduce_dimensions: bool = False) -> FlowModel:
     """Fit the family's preprocessing and model on cleaned records with ``row_id``."""
-    prep = fit_flow_prep(df, family, ["row_id"])
+    prep = fit_flow_prep(df, family, ["row_id"], reduce_dimensions=reduce_dimensions)
     t = prep.transform(df)
     if sample != "none":
         t = _balance(t, target, "row_id", sample, samples, prep.features)

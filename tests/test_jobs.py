@@ -151,3 +151,49 @@ def test_dirty_flows_are_reported(spark, tmp_dir):
     issues = {(r["column"], r.reason): r.n for r in out["issues"].collect()}
     assert issues["dur", "not a double"] == 2 and issues[None, "malformed"] == 2 and len(issues) == 2
     assert out["accuracy"].first()["accuracy"] > 0.9
+
+
+def test_cleaning_dialects(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "flows.csv")
+    _flows(p, n=60)
+    df = read_flows(spark, p).withColumn("row_id", F.monotonically_increasing_id()).cache()
+    strings = {}
+    for dialect in ("create_model", "lr", "listed"):
+        out, codes, stats = J.coded_flows(df, dialect)
+        assert out.columns == df.columns and out.count() == 60
+        strings[dialect] = {c for c, t in out.dtypes if t == "string"}
+        first = codes.where("column = 'attack_cat' AND code = 0").first()["value"]
+        assert first == "Generic" and {r[0] for r in out.select("attack_cat").distinct().collect()} == set(range(5))
+        again = J.coded_flows(df.where("row_id % 2 = 0"), dialect, codes=codes, stats=stats)[0]
+        whole = {r.row_id: r for r in out.collect()}
+        assert all(whole[r.row_id] == r for r in again.collect())
+        if dialect == "lr":
+            low, high = out.agg(*[f(c) for f in (F.min, F.max) for c in ("dur", "sport")]).first()[0::2]
+            assert (low, high) == (0.0, 1.0)
+        if dialect == "create_model":
+            assert {r[0] for r in out.select("Label").distinct().collect()} == {0, 1}
+    assert strings["lr"] <= {"Label"} and "is_ftp_login" in strings["listed"]
+
+
+def test_reduced_dimensions_and_forest_and_tuning(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "flows.csv")
+    _flows(p, n=120)
+    df = J.with_row_digest(J.clean_flows(read_flows(spark, p))).cache()
+    m = J.train_flow_model(df, "knn", "Label", k=3, reduce_dimensions=True)
+    m.save(f"{tmp_dir}/knn")
+    again = J.FlowModel.load(spark, f"{tmp_dir}/knn")
+    before, after = (sorted(map(tuple, x.predict(df).collect())) for x in (m, again))
+    assert before == after and again.prep.pca is not None
+    assert sum(t == q for _, t, q in before) / len(before) > 0.9
+    tree = J.fit_flow_prep(df, "tree", ["row_id"], reduce_dimensions=True)
+    assert len(tree.features) == 15 and len(J.fit_flow_prep(df, "tree", ["row_id"]).features) == 47
+    smote = J._balance(tree.transform(df), "Label", "row_id", "both", 20, tree.features)
+    assert {r["Label"]: r["count"] for r in smote.groupBy("Label").count().collect()} == {0.0: 20, 1.0: 20}
+    numbers = df.select("row_id", F.col("dur").cast("double").alias("a"), F.col("sbytes").cast("double").alias("b"),
+                        (F.col("dur") * 2 + 1).cast("double").alias("y"))
+    tuned = J.tune_forest(numbers, ["a", "b"], "y", "row_id", space={"maxDepth": [2, 4], "numTrees": [3, 5]},
+                          grid={"maxDepth": [3], "numTrees": [4, 6]}, draws=3, folds=2, base_trees=3)
+    assert [r.variant for r in tuned["variants"].collect()] == ["baseline", "random", "grid"]
+    assert tuned["random_folds"].count() == 6 and tuned["grid_folds"].count() == 4
+    base = tuned["variants"].first()
+    assert base.improvement_pct == 0.0 and base.score > 50
