@@ -2,29 +2,37 @@
 
 Records hash into a fixed number of virtual slots by their text, so equal texts
 share a slot.  One hash aggregation sums the bytes of each slot (two numbers per
-slot leave a task).  A versioned map gives each slot a shard: the largest slots
-first, each to the least loaded shard.  A slot heavier than a shard's fair share
--- a text that holds a large part of all bytes -- is split by the record id,
-which is an edit of the map like any other.  Growing to more shards edits the
-map too: slots move from loaded shards into the new ones and nowhere else.
-
-The map is bounded by the number of slots.  Rows get their shard by looking up
-the map as a constant, and their place in the shard from a range exchange on
+slot leave a task).  A versioned map gives each slot a shard.  Version 1 deals the
+slots in turn; every change after it is an edit that is stored as the next version:
+
+* rebalancing: the largest slots first, each to the least loaded shard;
+* splitting: while a shard is more than ``slack`` over its fair share, its slots
+  heavier than the slack -- a text that holds a large part of all bytes -- are split by
+  the record id and the map is rebalanced (a single record stays whole);
+* growing: slots move from loaded shards into new ones and nowhere else.
+
+The map is a table in the shared folder, one row per (version, slot); rows are sharded
+by the version read back from it.  It is bounded by the number of slots: rows look it
+up as a constant, and get their place in the shard from a range exchange on
 (shard, slot, id) of a few numbers per row; no task holds a shard."""
 
 from __future__ import annotations
 
 import heapq
+import os
+import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import rank_within
-from ..session import Scratch
+from ..session import Scratch, ensure_checkpoint_dir
 from .common import constant_array, table
 
 LAW = "bytes"
+SLACK = 0.01
 
 
 @dataclass
@@ -70,9 +78,33 @@ class SlotMap:
                 heapq.heappush(old, (-loads[o], o))
         return SlotMap(self.slots, n_shards, shard, self.weight, self.split, self.parts, self.version + 1)
 
-    def rows(self):
-        """The map as rows (version, slot, shard, bytes) for storing."""
-        return [(self.version, s, x, w) for s, (x, w) in enumerate(zip(self.shard, self.weight))]
+    def store(self, spark, path: str) -> "SlotMap":
+        """Write this version beside the others; versions are never changed."""
+        split = [*self.split, *[-1] * (len(self.shard) - len(self.split))]
+        slot = F.col("slot").cast("int")
+        about = spark.range(len(self.shard)).withColumnRenamed("id", "slot").select(
+            slot.alias("slot"), F.get(constant_array(self.shard, "array<int>"), slot).alias("shard"),
+            F.get(constant_array(self.weight, "array<bigint>"), slot).alias("bytes"),
+            F.get(constant_array(split, "array<int>"), slot).alias("split"), F.lit(self.slots).alias("slots"),
+            F.lit(self.n_shards).alias("n_shards"), F.lit(self.parts).alias("parts"))
+        about.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={self.version}")
+        return self
+
+    @classmethod
+    def load(cls, spark, path: str, version: int | None = None) -> "SlotMap":
+        """A stored version, by default the newest."""
+        stored = spark.read.parquet(path)
+        if version is None:
+            version = stored.agg(F.max("version")).first()[0]
+        rows = stored.where(F.col("version") == version).orderBy("slot").collect()      # a row a slot
+        split = [r["split"] for r in rows]
+        slots = rows[0]["slots"]
+        return cls(slots, rows[0]["n_shards"], [r["shard"] for r in rows], [r["bytes"] for r in rows],
+                   split[:slots] if max(split) >= 0 else [], rows[0]["parts"], version)
+
+    def edited(self, shard: list[int], weight: list[int], split: list[int] | None = None) -> "SlotMap":
+        return SlotMap(self.slots, self.n_shards, shard, weight, self.split if split is None else split, self.parts,
+                       self.version + 1)
 
 
 def assign(weights: list[int], n_shards: int) -> list[int]:
@@ -101,26 +133,34 @@ def slot_of(m: SlotMap):
         start + F.pmod(F.xxhash64("id"), F.lit(m.parts)).cast("int"))
 
 
-def build_map(rows: DataFrame, slots: int, n_shards: int, parts: int = 64) -> SlotMap:
-    """Version 1 of the map for rows (id, size, base_slot)."""
+def build_map(rows: DataFrame, slots: int, n_shards: int, path: str, parts: int = 64, slack: float = SLACK) -> SlotMap:
+    """The map for rows (id, size, base_slot), every version stored below ``path``."""
+    spark = rows.sparkSession
+    m = SlotMap(slots, n_shards, [s % n_shards for s in range(slots)], [0] * slots, [], parts).store(spark, path)
     weights = _weights(rows, F.col("base_slot"), slots)
-    share, split, n = sum(weights) / n_shards, [], slots
-    if any(w > share for w in weights):
-        for w in weights:
-            split.append(n if w > share else -1)
-            n += parts * (w > share)
-    m = SlotMap(slots, n_shards, [], weights, split, parts)
-    if split:
+    m = m.edited(assign(weights, n_shards), weights).store(spark, path)
+    most = (1 + slack) * sum(weights) / n_shards
+    while True:
+        loads, split = m.loads(), m.split or [-1] * slots
+        heavy = [s for s in range(slots) if split[s] < 0 and loads[m.shard[s]] > most
+                 and m.weight[s] > slack * sum(weights) / n_shards]
+        if not heavy:
+            return m
+        split, n = list(split), len(m.weight)
+        for s in heavy:
+            split[s], n = n, n + parts
+        m = m.edited([0] * n, [0] * n, split)
         m.weight = _weights(rows, slot_of(m), n)
-    m.shard = assign(m.weight, n_shards)
-    return m
+        m.shard = assign(m.weight, n_shards)
+        m.store(spark, path)
 
 
 def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_shards: int = 8,
-               slots: int = 4096, slot_map: SlotMap | None = None) -> DataFrame:
+               slots: int = 4096, map_path: str | None = None) -> DataFrame:
     """One row per input row: the id, size (UTF-8 bytes and 1), text_crc32, law,
     shard, slot (place in the shard, gapless from 0), grown_shard (null under this
-    law), virtual_slot and map_version.
+    law), virtual_slot and map_version.  The newest map below ``map_path`` is used; where
+    there is none, or without a path, the map is built and stored.
 
     A null text has the size 1 and shares a slot with the empty text; repeated
     rows each take a place; null ids are one id; an empty table gives an empty
@@ -131,7 +171,13 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("base_slot")), "rows")
-    m = slot_map or build_map(rows, slots, n_shards)
+    spark = docs.sparkSession
+    path = map_path or os.path.join(ensure_checkpoint_dir(spark), f"slot-map-{uuid.uuid4().hex}")
+    try:
+        m = SlotMap.load(spark, path)
+    except AnalysisException:                         # no map yet
+        build_map(rows, slots, n_shards, path)
+        m = SlotMap.load(spark, path)
     placed = (rows.withColumn("virtual_slot", slot_of(m))
               .withColumn("shard", F.get(constant_array(m.shard, "array<int>"), F.col("virtual_slot"))))
     ranked = rank_within(placed, ["shard"], ["virtual_slot", "id", "text_crc32", "size"], "slot")

@@ -143,7 +143,7 @@ def test_growing_moves_slots_into_the_new_shard_only():
     new = old.grown(9)
     assert new.version == 2 and all(b in (a, 8) for a, b in zip(old.shard, new.shard))
     assert max(new.loads()) - min(new.loads()) <= 0.02 * sum(weights) / 9
-    assert len(new.rows()) == 4096
+    assert len(new.shard) == 4096
 
 
 def test_sharding_odd_rows(spark):
