@@ -200,19 +200,33 @@ def validate_reviews(spark: SparkSession, model_path: str, path: str, lemma_lexi
 # ------------------------------------------------------------------------- E4
 
 def apply_model(df: DataFrame, make_predict_fn, input_col: str, n_classes: int | None = None,
-                batch_size: int = 256) -> DataFrame:
+                batch_size: int = 256, width: int | None = None) -> DataFrame:
     """Bulk inference with a user-supplied model through Arrow batches
-    (``predict_batch_udf``); adds ``scores`` and, for classifiers, ``pred``."""
+    (``predict_batch_udf``); adds ``scores`` and, for classifiers, ``pred``.  The input
+    column holds arrays of one length, ``width`` (looked up where it isn't given)."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
-    if n_classes:
-        udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
-                                batch_size=batch_size, input_tensor_shapes=[[-1]])
-        out = df.withColumn("scores", udf(input_col))
-        return out.withColumn("pred", M.argmax_index("scores"))
-    udf = predict_batch_udf(make_predict_fn, return_type=T.FloatType(), batch_size=batch_size,
-                            input_tensor_shapes=[[-1]])
-    return df.withColumn("scores", udf(input_col))
+    if width is None:
+        width = df.agg(F.max(F.size(input_col))).first()[0] or 1
+    kind = T.ArrayType(T.FloatType()) if n_classes else T.FloatType()
+    udf = predict_batch_udf(make_predict_fn, return_type=kind, batch_size=batch_size, input_tensor_shapes=[[width]])
+    out = df.withColumn("scores", udf(input_col))
+    return out.withColumn("pred", M.argmax_index("scores")) if n_classes else out
+
+
+def evaluate_model(df: DataFrame, make_predict_fn, input_col: str, target: str, n_classes: int = 5,
+                   batch_size: int = 256) -> dict:
+    """Score a user-supplied model and report by target.  ``stars`` (1-based classes)
+    gives the class report, accuracy and mean cross-entropy; a vote count gives mse, rmse,
+    mae and r2.  Rows without a label take no part."""
+    df = df.where(F.col(target).isNotNull())
+    if target == "stars":
+        scored = apply_model(df.withColumn("label", shift_label(target)), make_predict_fn, input_col, n_classes, batch_size)
+        scored = cut_lineage(scored.select("label", "pred", "scores"), "scored")     # the model runs once
+        return {"class_report": M.class_report(scored, "label", "pred"), "accuracy": M.accuracy(scored, "label", "pred"),
+                "loss": M.cross_entropy(scored, "scores", "label")}
+    scored = apply_model(df, make_predict_fn, input_col, None, batch_size)
+    return {"errors": M.regression_metrics(scored, target, "scores")}
 
 
 # ------------------------------------------------------------------------- E5

@@ -64,4 +64,41 @@ SELECT label::VARCHAR AS class, support::BIGINT AS support FROM c UNION ALL
 SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), sum(support)::BIGINT FROM c"""
 
 
-SQL = {"tfidf_vectors": tfidf_vectors_sql, "review_models_validated": review_models_validated_sql}
+def _sums_by_class():
+    """A model without parameters: class j scores the sum of coordinates j, j + 10, ..."""
+    import numpy as np
+    return lambda x: np.stack([x[:, j::10].astype(np.float64).sum(axis=1) for j in range(10)], axis=1)
+
+
+def _total():
+    import numpy as np
+    return lambda x: x.astype(np.float64).sum(axis=1)
+
+
+def model_reports(spark, sf):
+    """E4 + M15: a supplied model scored in Arrow batches, reported by target."""
+    e = read_table(spark, sf, "embeddings").select("embedding", (F.col("label") + 1).alias("stars"), F.col("label").alias("cool"))
+    c = jobs.evaluate_model(e, _sums_by_class, "embedding", "stars", 10)
+    r = jobs.evaluate_model(e, _total, "embedding", "cool")["errors"]
+    stack = "stack(4, 'mse', mse, 'rmse', rmse, 'mae', mae, 'r2', r2) AS (metric, value)"
+    out = (c["accuracy"].selectExpr("'accuracy' AS metric", "accuracy AS value")
+           .unionByName(c["loss"].selectExpr("'loss' AS metric", f"`{c['loss'].columns[0]}` AS value"))
+           .unionByName(r.selectExpr(stack)))
+    return out.select("metric", F.round("value", 4).alias("value"))
+
+
+def model_reports_sql():
+    scores = ", ".join(f"list_sum(list_transform([{', '.join(str(i + 1) for i in range(j, 64, 10))}], "
+                       f"lambda i: embedding[i]::DOUBLE))" for j in range(10))
+    return f"""WITH s AS (SELECT label, [{scores}] AS s, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS p
+  FROM embeddings),
+t AS (SELECT (list_position(s, list_max(s)) - 1 = label)::INT AS hit,
+  ln(list_sum(list_transform(s, lambda x: exp(x - list_max(s))))) + list_max(s) - s[label + 1] AS loss,
+  p - label AS e, label::DOUBLE AS y FROM s),
+m AS (SELECT avg(hit) AS a, avg(loss) AS l, avg(e * e) AS mse, avg(abs(e)) AS mae,
+  1 - sum(e * e) / (count(*) * var_pop(y)) AS r2 FROM t)
+SELECT unnest(['accuracy', 'loss', 'mse', 'rmse', 'mae', 'r2']) AS metric,
+  round(unnest([a, l, mse, sqrt(mse), mae, r2]), 4) AS value FROM m"""
+
+
+SQL = {"model_reports": model_reports_sql, "tfidf_vectors": tfidf_vectors_sql, "review_models_validated": review_models_validated_sql}

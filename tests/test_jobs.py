@@ -94,7 +94,8 @@ def test_saved_flow_models_score_alike(spark, tmp_dir):
         assert acc > 0.9
 
 
-def test_review_models_are_saved_and_validated(spark, tmp_dir):
+def test_review_models_are_saved_and_validated(spark, tmp_dir, monkeypatch):
+    monkeypatch.setitem(J.BOOST, "maxDepth", 1)
     p, held = os.path.join(tmp_dir, "reviews.json"), os.path.join(tmp_dir, "held.json")
     _reviews(p)
     _reviews(held, 120)
