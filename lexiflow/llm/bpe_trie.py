@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import vocab
 from .common import Recent, in_parts, small_batches, table, utf8
 
-MAX_PAIRS, KEPT = 300_000, 100_000
+MAX_PAIRS, KEPT_WORDS, KEPT_STRETCHES = 300_000, 200_000, 50_000
 
 
 class Suffixes:
@@ -127,8 +127,8 @@ class TrieBpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.raw = {i: int(i).to_bytes(4, "little") for i in self.token}
         self.name = {i: t.encode() for i, t in self.token.items()}
-        self.known = Recent(self.learn_words, KEPT)
-        self.recent = Recent(self.learn, KEPT)
+        self.known = Recent(self.learn_words, KEPT_WORDS)
+        self.recent = Recent(self.learn, KEPT_STRETCHES)
 
     def _compatible(self, a: int, b: int, limit: float = float("inf")) -> bool:
         """Whether tokens a, b stay apart: no merge across their border, undone
