@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
+from .joins import DEFAULT_BROADCAST_ROWS, UNPACKED, checked_broadcast, file_bytes
 from .ranking import rank_within
 
 MAX_DIMS = 100_000
@@ -39,8 +39,11 @@ def fit_factorize(df: DataFrame, cols: list[str], order_cols) -> DataFrame:
     for i, n in enumerate(names):
         seen = each
         if firsts is not None:
-            known = checked_broadcast(firsts.select(F.col("column").alias("_c"), F.col("value").alias("_v"),
-                                                    *[F.col(x).alias(f"_f{x}") for x in names[:i]]))
+            firsts = cut_lineage(firsts, "firsts")            # read twice: here and for the result
+            known = checked_broadcast(
+                firsts.select(F.col("column").alias("_c"), F.col("value").alias("_v"),
+                              *[F.col(x).alias(f"_f{x}") for x in names[:i]]),
+                known_rows=firsts.count(), known_bytes=file_bytes(firsts) * UNPACKED)
             same = [F.col("column") == F.col("_c"), F.col("value") == F.col("_v")]
             same += [F.col(x).eqNullSafe(F.col(f"_f{x}")) for x in names[:i]]
             seen = each.join(known, reduce(lambda a, b: a & b, same), "left_semi")

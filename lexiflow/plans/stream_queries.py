@@ -37,7 +37,7 @@ def nb_incremental(spark, sf):
     """Token counts maintained over micro-batches (equal to the batch A3)."""
     root = scratch_folder(spark, "nb-incremental")
     q = stream_counts(_stream(spark, sf), _prepare, "tokens", B._conv_targets(),
-                      os.path.join(root, "counts"), os.path.join(root, "checkpoint"), compact_every=2)
+                      os.path.join(root, "counts"), os.path.join(root, "checkpoint"), compact_every=3)
     q.awaitTermination()
     c = read_counts(spark, os.path.join(root, "counts"))
     return c.where(F.col("token").isNotNull()).select("target", "label", "token", "cnt")
