@@ -135,3 +135,19 @@ def test_pieces(spark):
         assert got[i].attention_mask == [1] * len(ids) + [0] * (10 - len(ids))
     with pytest.raises(ValueError):
         encode_pieces(df, "id", "tokens", table, 10, max_bytes=5)
+
+
+def test_pieces_of_a_large_batch_come_in_slices():
+    """A worker holds a slice of a batch at a time, whatever the batch."""
+    import pyarrow as pa
+    from lexiflow.operators import subwords
+    texts = [["ab", None, ""] * (i % 5) for i in range(1300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array(texts, pa.list_(pa.string()))], names=["id", "tokens"])
+    words = {"ids": {"a": 5, "##b": 6}, "longest": 3, "mark": "##", "unknown": 1, "max_word": 9}
+    out = list(subwords.encode_batches([batch], words, 6, [2], [3], 0, "id"))
+    assert [b.num_rows for b in out] == [512, 512, 276]
+    got = [r for b in out for r in b.to_pylist()]
+    for i, r in enumerate(got):
+        ids = [2, *([5, 6] * (i % 5))[:4], 3]
+        assert r["id"] == i and r["n_pieces"] == 2 * (i % 5) and r["input_ids"] == ids + [0] * (6 - len(ids))
+        assert r["attention_mask"] == [1] * len(ids) + [0] * (6 - len(ids))
