@@ -68,3 +68,33 @@ def test_saving_and_odd_rows(spark, tmp_dir):
     assert {r.prediction for r in empty.transform(df).collect()} == {0.0}
     same = BoostedRegressor(maxIter=2).fit(df.withColumn("label", df.label * 0 + 4))
     assert {r.prediction for r in same.transform(df).collect()} == {4.0}
+
+
+def test_binning_in_place_equals_the_join(spark):
+    """Few cuts are binned without a shuffle, as the join with the cuts bins them."""
+    from pyspark.sql import functions as F
+    from lexiflow.operators import boosting as B
+    from lexiflow.session import Scratch
+    rows, df = data(spark, 11, False)
+    odd = spark.createDataFrame([(1000, Vectors.sparse(4, {}), 2.0), (1001, Vectors.dense([0, -9.5, 9.5, 0]), 3.0)], df.schema)
+    raw = Scratch(spark).cut(B._arrays(df.unionByName(odd).withColumnRenamed("label", "y"), ["y"], "features")
+                             .withColumn("row", F.monotonically_increasing_id()), "raw")
+    entries = raw.select("row", F.inline(F.arrays_zip("index", "value")).alias("feature", "value"))
+    cuts = B.fit_cuts(entries, 4)
+    place = B._binned_in_place(raw, cuts)
+    assert "Exchange" not in place._jdf.queryExecution().executedPlan().toString()
+
+    def plain(d):
+        return sorted((r.y, sorted(zip(r.features, r.bins))) for r in d.collect())
+    assert plain(place) == plain(B._binned_by_join(raw, entries, cuts)) and len(plain(place)) == 122
+
+
+def test_a_level_reads_its_rows_once(spark):
+    """Totals are cells of the one aggregation, rows without entries in them."""
+    from lexiflow.operators.boosting import _best_splits, _cells
+    level = spark.createDataFrame([(0, -2.0, [0], [1]), (0, -2.0, [0], [1]), (0, 3.0, [], []), (0, 1.0, [], [])],
+                                  "node int, g double, features array<int>, bins array<int>")
+    cells = _cells(level)
+    assert {(r.feature, r.bin, r.g, r.h) for r in cells.collect()} == {(-1, 0, 0.0, 4), (0, 1, -4.0, 2)}
+    best = _best_splits(cells, 1.0).first()
+    assert (best.feature, best.bin) == (0, 0) and best.gain == pytest.approx(2 * 16 / 3)
