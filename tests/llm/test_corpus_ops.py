@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -195,6 +196,53 @@ def test_search_counts_a_repeated_id_once(spark, monkeypatch, shard_rows, first_
     assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in bm25_brute(rows, queries)[-1]]
 
 
+def test_search_in_blocks_of_few_words(spark):
+    docs = sample(spark, 60)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = bm25.top_k(docs, docs.where("doc_id % 5 = 0"), query_words=700).collect()
+    for q, hits in bm25_brute(rows, [r for r in rows if r[0] % 5 == 0]).items():
+        assert [r.doc_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [
+            i for _, i in hits]
+
+
+@pytest.mark.parametrize("dense", [0, 3, 512])
+def test_shard_search_with_and_without_matrix_rows(monkeypatch, dense):
+    import pyarrow as pa
+    monkeypatch.setattr(bm25, "DENSE", dense)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(1, 60)))) for i in range(300)]
+    made = bm25.Postings()
+    for i, t in rows:
+        made.add(i, lower(t))
+    df = Counter(w for _, t in rows for w in set(lower(t)))
+    shard = bm25.Shard(made.record(pa.int64()).to_pylist()[0], sum(len(lower(t)) for _, t in rows) / 300, 1.2, 0.75, 16)
+    assert len(shard.dense) <= dense
+    queries = rows[::10] + [(-1, "none of these")]
+    asked = [sorted((w, x * math.log1p((300 - df[w] + 0.5) / (df[w] + 0.5))) for w, x in Counter(lower(t)).items())
+             for _, t in queries]
+    ready = shard.batch([([w for w, _ in q], np.array([x for _, x in q])) for q in asked])
+    for (q, hits), query in zip(bm25_brute(rows, queries).items(), ready, strict=True):
+        least = round(-hits[-1][0], bm25.DIGITS) - 1e-6 if len(hits) == 10 else 0.0
+        for floor in (0.0, least):
+            found = shard.search(*query, floor, 10)
+            assert [i for _, i in found] == [i for _, i in hits]
+            assert all(abs(a - b) <= 2e-6 for (a, _), (b, _) in zip(found, hits))
+    assert shard.search(*ready[0], 1e6, 10) == []
+
+
+def test_index_holds_no_word_lists():
+    import tracemalloc
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 2000)}" for _ in range(500)) for _ in range(400)]
+    tracemalloc.start()
+    made = bm25.Postings()
+    for i, t in enumerate(texts):
+        made.add(i, lower(t))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 16 * sum(len(lower(t)) for t in texts)       # a list of words takes over 40 bytes each
+
+
 def test_search_odd_rows(spark):
     docs = documents(spark)
     got = bm25.top_k(docs, docs).collect()
