@@ -164,7 +164,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = (pairs.join(side("a"), "a").join(side("b"), "b")
             .withColumn("common", F.size(F.array_intersect("ha", "hb")).cast("bigint")))
     union = F.size("ha") + F.size("hb") - F.col("common")
-    return both.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct()
+    found = both.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct()
+    return found.coalesce(pairs.sparkSession.sparkContext.defaultParallelism)      # few rows: few files
 
 
 def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
 
 def _join_rest(crowded: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame, percent: int, scratch):
     """Every link between members of crowded regions that are not one component.  The
-    rows of a shingle's heads come in rounds, a few first and then fourfold, so that
+    rows of a shingle's heads come in rounds, a few first and then sixteenfold, so that
     what they link is one component before the many come; the last round has all."""
     mixed = (_with_component(crowded, comp).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
              .where("lo <> hi").select("key"))
@@ -222,7 +223,7 @@ def _join_rest(crowded: DataFrame, sets: DataFrame, links: DataFrame, comp: Data
     prefixes = scratch.cut(_prefixes(_with_component(sets.join(ids, "id"), comp), percent), "prefixes")
     most = prefixes.where("head").groupBy("h").count().agg(F.max("count")).first()[0] or 1
     turn, last = F.xxhash64("id", F.lit("turn")), None
-    part = 4 ** max(0, (most.bit_length() - 1) // 2)
+    part = 16 ** max(0, (most.bit_length() - 1) // 4)
     while part:
         now = F.col("head") & (F.pmod(turn, F.lit(part)) == 0)
         if last:
@@ -238,7 +239,7 @@ def _join_rest(crowded: DataFrame, sets: DataFrame, links: DataFrame, comp: Data
         if not more.isEmpty():
             links = scratch.cut(links.unionByName(more), "links")
             comp = connected_components(links, scratch)
-        part, last = part // 4, part
+        part, last = part // 16, part
     scratch.drop(ids, prefixes)
     return links, comp
 

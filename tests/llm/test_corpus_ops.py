@@ -109,6 +109,31 @@ def test_components_of_a_path_and_a_hub(spark):
     assert {r.u: r.v for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components_in_one_and_in_many_partitions(spark, monkeypatch, few):
+    from lexiflow.session import Scratch as Owner
+    monkeypatch.setattr(components, "FEW", few)
+    plans, cut = [], Owner.cut
+    monkeypatch.setattr(Owner, "cut", lambda self, df, name="table": (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(self, df, name))[1])
+    rng = random.Random(9)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    got = components.connected_components(spark.createDataFrame(links, "a long, b long"), Owner(spark)).collect()
+    top = {i: i for i in range(400)}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    linked = {i for a, b in links if a != b for i in (a, b)}
+    assert {r.u: r.v for r in got} == {i: find(i) for i in linked} and len(got) == len(linked)
+    assert any("Exchange" in p for p in plans) == (few == 0)
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 def test_shards_are_near_equal_and_gapless(spark):
