@@ -268,6 +268,37 @@ def test_index_holds_no_word_lists():
     assert held < 16 * sum(len(lower(t)) for t in texts)       # a list of words takes over 40 bytes each
 
 
+def test_index_rows_stay_small(spark):
+    docs = spark.range(5000, numPartitions=1).selectExpr(
+        "id", "array_join(transform(sequence(0, 149), j -> concat('w', cast(pmod(xxhash64(id, j), 3000) as string))), ' ') text")
+    sizes = bm25.build_index(docs).selectExpr(
+        "size(ids) n", "length(lengths) + length(terms) + length(starts) + length(docs) + length(tfs) bytes").collect()
+    assert sum(r.n for r in sizes) == 5000
+    assert max(r.bytes for r in sizes) < 2 << 20        # a row passes whole through the executors and their workers
+
+
+def test_shard_keeps_counts_of_any_size():
+    import pyarrow as pa
+    rows = [(i, "common " * (1 + i % 3) + f"only{i}") for i in range(300)] + [(300, "common " * 300 + "only7"),
+                                                                         (301, "common " * 70000 + "only9 only9")]
+    for used in (rows[:3], rows[:300], rows[:301], rows):
+        made = bm25.Postings()
+        for i, t in used:
+            made.add(i, lower(t))
+        row = made.record(pa.int64()).to_pylist()[0]
+        mean = sum(len(lower(t)) for _, t in used) / len(used)
+        shard = bm25.Shard(row, mean, 1.2, 0.75, 16)
+        for word, t in shard.number.items():
+            of = slice(shard.starts[t], shard.starts[t + 1])
+            want = {i: n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(lower(x)) / mean)) for i, x in used
+                    if (n := lower(x).count(word))}
+            assert shard.docs[of].tolist() == list(want)
+            assert np.allclose(shard.impact[of], list(want.values()), rtol=1e-12)
+    nothing = bm25.Postings()
+    nothing.add(1, [])
+    assert bm25.Shard(nothing.record(pa.int64()).to_pylist()[0], 0.0, 1.2, 0.75, 16).starts.tolist() == [0]
+
+
 def test_search_odd_rows(spark):
     docs = documents(spark)
     got = bm25.top_k(docs, docs).collect()
