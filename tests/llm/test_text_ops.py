@@ -135,6 +135,42 @@ def test_lm_odd_rows(spark):
     assert {(r.n_known, r.base_score) for r in lm_score.lm_scores(documents(spark, only_held)).collect()} == {(0, 0.0)}
 
 
+@pytest.mark.parametrize("settings", [{}, {"piece": 300, "keep": 40}, {"order": 2, "piece": 300}, {"order": 1},
+                                      {"word_share": 1e-3, "gram_share": 5e-4}])
+def test_lm_scores_equal_the_whole_automaton(spark, settings, monkeypatch):
+    from lexiflow.session import Scratch
+    monkeypatch.setattr(lm_score, "BUCKET", 5_000)
+    monkeypatch.setattr(lm_score, "SLICE", 200 if "piece" in settings else 1 << 22)
+    docs = sample(spark).union(documents(spark).select("doc_id", "text"))
+    rows = docs.withColumn("t", docs.text.cast("binary")).collect()
+    learnt = [(bytearray(r.t or b""),) for r in rows if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 7 != 2]
+    shares = {k: settings.get(k, 0.0) for k in ("word_share", "gram_share")}
+    m, counts, f = lm_score.fit(spark.createDataFrame(learnt, "text binary"), Scratch(spark), **shares,
+                                order=settings.get("order", 3), discount=0.75)
+    c = {bytes(r.word): r.c for r in counts.collect()}
+
+    def score(text):
+        words = lower(text)
+        tails = [c.get(w, 0) for w in words if w not in m.head]
+        inside = sum(math.log10((x - f["d"] if x else f["d"] * f["v"]) / (f["n"] * f["p_tail"])) for x in tails)
+        return float(m.steps(m.symbols(words)).sum()) + inside
+
+    expected = sorted((str(r.doc_id), round(score(r.text), 4)) for r in rows)
+    found = sorted((str(r.doc_id), round(r.score, 4)) for r in lm_score.lm_scores(docs, **settings).collect())
+    for a, b in zip(found, expected, strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-6, abs=2e-4)
+
+
+def test_lm_stores_what_is_seen_twice_in_a_large_corpus(spark):
+    """A phrase seen twice is learnt however many other words there are."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(held[0], "rare kept phrase"), (held[1], "phrase rare kept")]
+    rows += [(1000 + i, "rare kept phrase") for i in range(40) if zlib.crc32(str(1000 + i).encode()) % 7 != 2][:2]
+    rows += [(10_000 + i, "filler " * 60_000) for i in range(30)]
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 3
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 def quality_brute(t):
